@@ -23,7 +23,8 @@ def previous_value(
 ) -> DataFrame:
     """Add ``output``: the ``value`` of the row before this one within ``keys``.
 
-    ``chunk`` must grow with ``value``. NULL for the first row of a key.
+    ``chunk`` must grow with ``value``; keys and ``value`` are not NULL. The
+    first row of a key gets NULL.
     """
     split = df.withColumn("__chunk", chunk)
     across = Window.partitionBy(*keys).orderBy("__chunk")
@@ -34,13 +35,7 @@ def previous_value(
         .drop("__high")
     )
     inside = Window.partitionBy(*keys, "__chunk").orderBy(value, *tie)
-    null_safe = [split[k].eqNullSafe(carried[k]) for k in (*keys, "__chunk")]
-    condition = null_safe[0]
-    for part in null_safe[1:]:
-        condition = condition & part
-    joined = split.join(carried, condition, "left").select(
-        *[split[c] for c in split.columns], carried["__carried"]
-    )
+    joined = split.join(carried, [*keys, "__chunk"], "left")
     return joined.withColumn(
         output, F.coalesce(F.lag(value).over(inside), F.col("__carried"))
     ).drop("__chunk", "__carried")

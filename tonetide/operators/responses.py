@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tonetide.functions import payload
+from tonetide.functions.stage import with_once
 
 # --- fixed values: fields and domains of answers, sampling options, defaults ----
 REQUESTS: dict[str, dict[str, str]] = {
@@ -86,7 +87,7 @@ def unfence(response: Column) -> Column:
 
 
 def _answer(responses: DataFrame) -> DataFrame:
-    return responses.withColumn("__v", payload.parse(unfence(F.col("response")))).withColumn(
+    return with_once(responses, {"__v": payload.parse(unfence(F.col("response")))}).withColumn(
         "__ok", F.coalesce(payload.is_object(F.col("__v")), F.lit(False))
     )
 

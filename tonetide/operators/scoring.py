@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tonetide.functions.stage import with_once
 from tonetide.functions.text import tokens, weigh_tokens
 
 Scorer = Callable[[DataFrame], DataFrame]
@@ -44,7 +45,7 @@ def lexicon_scorer(lexicon: Mapping[str, int] = DEFAULT_LEXICON) -> Scorer:
     def score(df: DataFrame) -> DataFrame:
         terms = {t: 1 for t in lexicon}
         counted = (
-            df.withColumn("__words", tokens(F.col("text")))
+            with_once(df, {"__words": tokens(F.col("text"))})
             .withColumn("__net", weigh_tokens(F.col("__words"), lexicon))
             .withColumn("__hits", weigh_tokens(F.col("__words"), terms))
             .withColumn("__total", F.size("__words"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonetide.functions import payload
+from tonetide.functions.stage import with_once
 from tonetide.functions.text import bigrams, count_tokens, strip_markup, tokens
 from tonetide.schemas import TEXT_FIELDS
 
@@ -22,15 +23,14 @@ STOP_WORDS: dict[str, tuple[str, ...]] = {
 # ----------------------------------------------------------------------------
 
 
-def text_of(source: Column, content: Column) -> Column:
-    """The text to score, by source, from the JSON text ``content``.
+def text_of(source: Column, content: Column, variant: Column) -> Column:
+    """The text to score, by source, from JSON text and its parsed form.
 
     News joins headline and summary, tweets give their text, market data the
     symbol; other sources give the first field of ``TEXT_FIELDS`` that is a
     string, else the whole JSON. Content that is no object is its own text. A
     payload without any text gives NULL.
     """
-    variant = payload.parse(content)
     headline = payload.text_field(variant, "headline")
     summary = payload.text_field(variant, "summary")
     news = F.when(
@@ -44,12 +44,12 @@ def text_of(source: Column, content: Column) -> Column:
         ),
     )
     other = F.coalesce(
-        *[payload.string_field(variant, name) for name in TEXT_FIELDS], F.to_json(variant)
+        *[payload.string_field(variant, name) for name in TEXT_FIELDS], content
     )
     plain = F.coalesce(variant.try_cast("string"), content)
     text = (
         F.when(variant.isNull(), content)
-        .when(~payload.is_object(variant), plain)
+        .when(~F.regexp_like(content, F.lit(r"^\s*\{")), plain)
         .when(source == "news", news)
         .when(source == "twitter", payload.text_field(variant, "text"))
         .when(source == "truedata", payload.text_field(variant, "symbol"))
@@ -60,7 +60,10 @@ def text_of(source: Column, content: Column) -> Column:
 
 def extract_text(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(messages with ``text``, rejects of type 'no_text')."""
-    with_text = messages.withColumn("text", text_of(F.col("source"), F.col("content")))
+    parsed = with_once(messages, {"__payload": payload.parse(F.col("content"))})
+    with_text = with_once(
+        parsed, {"text": text_of(F.col("source"), F.col("content"), F.col("__payload"))}
+    ).drop("__payload")
     rejects = (
         with_text.filter(F.col("text").isNull())
         .drop("text")
@@ -86,7 +89,7 @@ def detect_language(
     no hit gives 'und'. ``keep`` filters by language. Row-local: the profile is
     part of the expression, so nothing is exploded or shuffled.
     """
-    words = df.withColumn("__words", tokens(F.col(text)))
+    words = with_once(df, {"__words": tokens(F.col(text))})
     counts = [
         F.struct(
             count_tokens(F.col("__words"), list(terms)).cast("long").alias("hits"),
@@ -126,9 +129,9 @@ def gazetteer_table(spark: SparkSession, gazetteer: Sequence[Instrument]) -> Dat
     )
 
 
-def entities_of(text: Column, gazetteer: Sequence[Instrument]) -> Column:
-    """Sorted distinct ``array<struct<entity_type, entity_value, asset_class>>`` of a text."""
-    words = tokens(text)
+def entities_of(words: Column, gazetteer: Sequence[Instrument]) -> Column:
+    """Sorted distinct ``array<struct<entity_type, entity_value, asset_class>>`` of a token
+    array (one and two word aliases)."""
     grams = F.concat(words, bigrams(words))
     aliases = [g.alias for g in gazetteer]
     lookup = F.create_map(
@@ -153,7 +156,11 @@ def with_entities(
     df: DataFrame, gazetteer: Sequence[Instrument], text: str = "text"
 ) -> DataFrame:
     """Add ``entities`` to a text table, row by row."""
-    return df.withColumn("entities", entities_of(F.col(text), gazetteer))
+    return (
+        with_once(df, {"__words": tokens(F.col(text))})
+        .withColumn("entities", entities_of(F.col("__words"), gazetteer))
+        .drop("__words")
+    )
 
 
 def link_entities(
@@ -164,7 +171,7 @@ def link_entities(
     Only matched aliases leave the row; the gazetteer itself is configuration
     inside the expression.
     """
-    return (
-        df.select(key, F.explode(entities_of(F.col(text), gazetteer)).alias("e"))
-        .select(key, "e.entity_type", "e.entity_value", "e.asset_class")
+    linked = with_entities(df.select(key, text), gazetteer, text).drop(text)
+    return linked.select(key, F.explode("entities").alias("e")).select(
+        key, "e.entity_type", "e.entity_value", "e.asset_class"
     )

@@ -9,23 +9,27 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tonetide.functions import payload
+from tonetide.functions.stage import with_once
 from tonetide.schemas import LOG_LEVELS, PAYLOAD_RULES, SENTIMENT_LABELS, PayloadRule
 
 URL_SHAPE = r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^\s/?#]+"
 
 
 def reject_reason(value: Column, variant: Column) -> Column:
-    """Why a raw line cannot be ingested; NULL for a JSON object."""
+    """Why a raw line cannot be ingested; NULL for a JSON object.
+
+    Valid JSON that opens with a brace is an object, so its type need not be derived.
+    """
     return (
         F.when(value.isNull() | (F.trim(value) == ""), F.lit("empty"))
         .when(variant.isNull(), F.lit("malformed_json"))
-        .when(~payload.is_object(variant), F.lit("not_an_object"))
+        .when(~F.regexp_like(value, F.lit(r"^\s*\{")), F.lit("not_an_object"))
     )
 
 
 def reject_malformed(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Split lines into (accepted with ``payload`` VARIANT, rejects with ``reason``)."""
-    parsed = lines.withColumn("payload", payload.parse(F.col("value"))).withColumn(
+    parsed = with_once(lines, {"payload": payload.parse(F.col("value"))}).withColumn(
         "reason", reject_reason(F.col("value"), F.col("payload"))
     )
     accepted = parsed.filter(F.col("reason").isNull()).drop("reason")
@@ -67,7 +71,7 @@ def validate_required(
     Required numbers must be non-zero, as an unset number and zero are the same
     to the sender's encoding. Sources without rules never have violations.
     """
-    parsed = messages.withColumn("__payload", payload.parse(F.col("content")))
+    parsed = with_once(messages, {"__payload": payload.parse(F.col("content"))})
     checks = F.array(*[_violation(rule, F.col("__payload")) for rule in rules])
     return parsed.withColumn("violations", F.array_compact(checks)).drop("__payload")
 

@@ -11,6 +11,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tonetide.functions.stage import with_once
 from tonetide.operators.scoring import lexicon_scorer
 from tonetide.operators.texts import Instrument, with_entities
 from tonetide.operators.vectors import split_vectors
@@ -74,8 +75,7 @@ def v_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def json_text(name: str) -> Column:
     """A string column as a quoted JSON string."""
-    wrapped = F.to_json(F.struct(F.col(name).alias("t")))
-    return F.substr(wrapped, F.lit(6), F.length(wrapped) - 6)
+    return F.regexp_replace(F.to_json(F.array(F.col(name))), r"^\[|\]$", "")
 
 
 SOURCE_ORDER = ("truedata", "news", "twitter", "reddit", "economic")
@@ -175,7 +175,7 @@ def v_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("shape") == 11, F.lit("  "))
         .otherwise(F.concat(F.lit(" "), "whole", F.lit(" ")))
     )
-    return docs.withColumn("whole", whole).select(
+    return with_once(docs, {"whole": whole}).select(
         F.col("doc_id").alias("id"),
         F.col("kind").alias("source"),
         value.alias("value"),
