@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tonetide.functions.measure import exact_mean, share
+from tonetide.functions.stage import literal_table
 from tonetide.schemas import ALERT_RULES, ERROR_SHARE_LIMIT, AlertRule
 
 ALERT_RULE_SCHEMA = (
@@ -79,7 +80,7 @@ def alert_rule_table(
         (r.rule_id, r.source, r.field, r.operator, float(r.threshold), r.severity)
         for r in rules
     ]
-    return spark.createDataFrame(rows, ALERT_RULE_SCHEMA)
+    return literal_table(spark, rows, ALERT_RULE_SCHEMA)
 
 
 def threshold_alerts(

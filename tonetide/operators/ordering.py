@@ -41,6 +41,35 @@ def previous_value(
     ).drop("__chunk", "__carried")
 
 
+def running_max(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, chunk: Column, output: str
+) -> DataFrame:
+    """Add ``output``: the greatest non-NULL ``value`` up to this row within ``keys``.
+
+    ``chunk`` must grow with the first column of ``order``.
+    """
+    split = df.withColumn("__chunk", chunk)
+    before = Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(
+        Window.unboundedPreceding, -1
+    )
+    carried = (
+        split.groupBy(*keys, "__chunk")
+        .agg(F.max(value).alias("__high"))
+        .withColumn("__carried", F.max("__high").over(before))
+        .drop("__high")
+    )
+    inside = (
+        Window.partitionBy(*keys, "__chunk")
+        .orderBy(*order)
+        .rowsBetween(Window.unboundedPreceding, 0)
+    )
+    return (
+        split.join(carried, [*keys, "__chunk"], "left")
+        .withColumn(output, F.greatest(F.max(value).over(inside), F.col("__carried")))
+        .drop("__chunk", "__carried")
+    )
+
+
 def rows_at_ranks(
     df: DataFrame,
     keys: Sequence[str],

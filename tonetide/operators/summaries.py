@@ -10,18 +10,22 @@ from pyspark.sql import functions as F
 from tonetide.functions.measure import as_double, exact_mean, rounded_stddev
 
 
-def hourly_sentiment_summary(results: DataFrame) -> DataFrame:
-    return results.groupBy(
-        F.date_trunc("hour", "timestamp").cast("timestamp_ntz").alias("hour"),
-        "source_type",
-        "sentiment_label",
-    ).agg(
+def hourly_measures() -> list[Column]:
+    return [
         F.count(F.lit(1)).alias("count"),
         exact_mean("sentiment_score").alias("avg_score"),
         exact_mean("confidence_score").alias("avg_confidence"),
         as_double(F.min("sentiment_score")).alias("min_score"),
         as_double(F.max("sentiment_score")).alias("max_score"),
-    )
+    ]
+
+
+def hourly_sentiment_summary(results: DataFrame) -> DataFrame:
+    return results.groupBy(
+        F.date_trunc("hour", "timestamp").cast("timestamp_ntz").alias("hour"),
+        "source_type",
+        "sentiment_label",
+    ).agg(*hourly_measures())
 
 
 def daily_sentiment_summary(results: DataFrame) -> DataFrame:

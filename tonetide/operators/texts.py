@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonetide.functions import payload
-from tonetide.functions.stage import with_once
+from tonetide.functions.stage import literal_table, with_once
 from tonetide.functions.text import bigrams, count_tokens, strip_markup, tokens
 from tonetide.schemas import TEXT_FIELDS
 
@@ -124,8 +124,8 @@ class Instrument:
 
 def gazetteer_table(spark: SparkSession, gazetteer: Sequence[Instrument]) -> DataFrame:
     rows = [(g.alias, g.entity_type, g.entity_value, g.asset_class) for g in gazetteer]
-    return spark.createDataFrame(
-        rows, "alias string, entity_type string, entity_value string, asset_class string"
+    return literal_table(
+        spark, rows, "alias string, entity_type string, entity_value string, asset_class string"
     )
 
 

@@ -1,0 +1,109 @@
+"""Replay of request throttling over a request log."""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tonetide.operators.ordering import previous_value, running_max
+from tonetide.schemas import RATE_BURST, RATE_PER_SECOND
+
+SECOND = 1_000_000
+
+
+class Bucket:
+    """Token bucket of one client: starts full, refills by whole elapsed seconds.
+
+    The refill clock moves only when tokens are added. ``take`` handles a sorted
+    run of request times (microseconds) and tells which are allowed; it advances
+    from refill to refill, so its cost per request is constant.
+    """
+
+    def __init__(self, rate: int, burst: int):
+        self.rate, self.burst = rate, burst
+        self.tokens, self.refilled = burst, None
+
+    def take(self, times: np.ndarray) -> np.ndarray:
+        allowed = np.zeros(len(times), dtype=bool)
+        at = 0
+        while at < len(times):
+            now = times[at]
+            if self.refilled is None:
+                self.refilled = now
+            seconds = (now - self.refilled) // SECOND
+            if seconds > 0:
+                self.tokens = min(self.burst, self.tokens + int(seconds) * self.rate)
+                self.refilled = now
+            end = at + int(np.searchsorted(times[at:], self.refilled + SECOND, side="left"))
+            granted = min(self.tokens, end - at)
+            allowed[at : at + granted] = True
+            self.tokens -= granted
+            at = end
+        return allowed
+
+
+def throttle_replay(
+    requests: DataFrame, rate: int = RATE_PER_SECOND, burst: int = RATE_BURST
+) -> DataFrame:
+    """``requests`` (id, client_id, timestamp) with ``allowed``.
+
+    After a pause long enough to refill a bucket from empty, its past no longer
+    matters (nor does the removal of idle clients), so each client's log is cut
+    at such pauses and the pieces are replayed independently. A piece is read in
+    time order batch by batch with only its bucket in memory.
+    """
+    pause = math.ceil(burst / rate)
+    hour = F.date_trunc("hour", "timestamp")
+    slim = requests.select("id", "client_id", "timestamp")
+    gaps = previous_value(slim, ["client_id"], "timestamp", ["id"], hour, "__previous")
+    fresh = F.col("__previous").isNull() | (
+        F.col("timestamp") >= F.col("__previous") + F.expr(f"INTERVAL {pause} SECONDS")
+    )
+    pieces = running_max(
+        gaps.withColumn("__start", F.when(fresh, F.col("timestamp"))),
+        ["client_id"],
+        ["timestamp", "id"],
+        "__start",
+        hour,
+        "piece",
+    )
+    ordered = (
+        pieces.select(
+            "id", "client_id", "timestamp", "piece",
+            F.unix_micros(F.col("timestamp").cast("timestamp")).alias("micros"),
+        )
+        .repartition("client_id", "piece")
+        .sortWithinPartitions("client_id", "piece", "timestamp", "id")
+    )
+    schema = slim.schema.add("allowed", "boolean")
+
+    def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, bucket = None, None
+        for batch in batches:
+            allowed = np.zeros(len(batch), dtype=bool)
+            owner = list(zip(batch["client_id"], batch["piece"]))
+            micros = batch["micros"].to_numpy()
+            start = 0
+            while start < len(owner):
+                end = start
+                while end < len(owner) and owner[end] == owner[start]:
+                    end += 1
+                if owner[start] != current:
+                    current, bucket = owner[start], Bucket(rate, burst)
+                allowed[start:end] = bucket.take(micros[start:end])
+                start = end
+            yield pd.DataFrame(
+                {
+                    "id": batch["id"],
+                    "client_id": batch["client_id"],
+                    "timestamp": batch["timestamp"],
+                    "allowed": allowed,
+                }
+            )
+
+    return ordered.mapInPandas(replay, schema)

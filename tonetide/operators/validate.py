@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tonetide.functions import payload
-from tonetide.functions.stage import with_once
+from tonetide.functions.stage import literal_table, with_once
 from tonetide.schemas import LOG_LEVELS, PAYLOAD_RULES, SENTIMENT_LABELS, PayloadRule
 
 URL_SHAPE = r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^\s/?#]+"
@@ -149,7 +149,7 @@ def validate_schema(df: DataFrame, expected: T.StructType) -> DataFrame:
 
     def table(fields, name):
         rows = [(f.name, f.dataType.simpleString()) for f in fields]
-        return spark.createDataFrame(rows, layout.format(name))
+        return literal_table(spark, rows, layout.format(name))
 
     wanted = table(expected.fields, "expected_type")
     found = table(df.schema.fields, "found_type")

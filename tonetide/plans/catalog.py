@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tonetide.plans import intake, rollups, search
+from tonetide.plans import intake, live, rollups, search
 from tonetide.plans.views import with_views
 
-MODULES = (intake, rollups, search)
+MODULES = (intake, rollups, search, live)
 
 
 def _in_utc(query: Callable[[SparkSession, str], DataFrame]):

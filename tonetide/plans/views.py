@@ -91,6 +91,15 @@ FROM (SELECT doc_id AS id, {KIND} AS source, lang, {ARRIVED} AS received_at, {DO
 SELECT id, source, received_at AS "timestamp", trim(value) AS content,
   CASE WHEN json_type(value, '$.id') = 'VARCHAR' THEN value ->> '$.id' ELSE '' END AS source_id
 FROM v_lines WHERE CASE WHEN json_valid(value) THEN json_type(value) = 'OBJECT' ELSE false END""",
+    "v_pipeline": f"""
+SELECT source, source_id, "timestamp", content_hash, nullif(text, '') AS text FROM (
+  SELECT {KIND} AS source, 'd' || doc_id AS source_id, {ARRIVED} AS "timestamp",
+    CASE WHEN shape = 10 THEN '' ELSE sha256(text) END AS content_hash,
+    CASE WHEN shape = 13 THEN CASE WHEN {KIND} IN ('reddit', 'economic')
+        THEN '{{"id":"d' || doc_id || '","lang":"' || lang || '"}}' END
+      WHEN {KIND} = 'news' THEN regexp_replace(text || '. ' || lang, '^\s+|\s+$', '', 'g')
+      ELSE text END AS text
+  FROM (SELECT *, {DOC_SHAPE} AS shape FROM documents))""",
     "v_messages": """
 SELECT event_id AS id, event_type AS source, ts AS "timestamp",
   sha256('k' || (props ->> '$.k')) AS content_hash FROM events""",

@@ -30,6 +30,8 @@ def build_session(
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.sources.partitionOverwriteMode", "dynamic")
         .config("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
+        # keyed state is read over a local socket, call by call: TCP would delay each reply
+        .config("spark.python.unix.domain.socket.enabled", "true")
     )
     if master:
         builder = builder.master(master).config("spark.ui.enabled", "false").config(

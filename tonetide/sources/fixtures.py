@@ -11,7 +11,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonetide.functions.stage import with_once
+from tonetide.functions.stage import literal_table, with_once
 from tonetide.operators.scoring import lexicon_scorer
 from tonetide.operators.texts import Instrument, with_entities
 from tonetide.operators.vectors import split_vectors
@@ -37,6 +37,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table as a stream; ``ts`` as TIMESTAMP, which watermarks need."""
+    layout = table(spark, sf_dir, "events").schema
+    return (
+        spark.readStream.schema(layout)
+        .option("pathGlobFilter", "events.parquet")
+        .option("maxFilesPerTrigger", 1)
+        .parquet(sf_dir)
+        .withColumn("ts", F.col("ts").cast("timestamp"))
+    )
+
+
 def shape(key: str) -> Column:
     """0–15 from the first md5 digit of a key."""
     digit = F.substring(F.md5(F.col(key).cast("string")), 1, 1)
@@ -184,12 +196,13 @@ def v_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def v_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Messages as consumed: documents and, an event earlier or later, their repeats.
+    """One message per event whose content is the event's ``props`` key, so contents
+    repeat at many distances in time."""
+    return messages_from(table(spark, sf_dir, "events"))
 
-    Every event is a message about the document whose number is the event's
-    ``props`` key, so contents repeat at many distances in time.
-    """
-    events = table(spark, sf_dir, "events").select(
+
+def messages_from(events: DataFrame) -> DataFrame:
+    events = events.select(
         F.col("event_id").alias("id"),
         F.get_json_object("props", "$.k").cast("long").alias("k"),
         F.col("ts").alias("timestamp"),
@@ -211,6 +224,22 @@ def v_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def v_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw rows for the pipeline: shape 13 without text, shape 10 without hash."""
+    docs = _documents_in_time(spark, sf_dir).withColumn("kind", source_of_document()).withColumn(
+        "shape", shape("doc_id")
+    )
+    bare = F.concat(F.lit('{"id":"d'), F.col("doc_id"), F.lit('","lang":"'), F.col("lang"), F.lit('"}'))
+    whole = payload_of_document(F.col("kind"), json_text("text"))
+    return docs.select(
+        F.col("kind").alias("source"),
+        F.concat(F.lit("d"), "doc_id").alias("source_id"),
+        F.when(F.col("shape") == 13, bare).otherwise(whole).alias("content"),
+        F.when(F.col("shape") == 10, "").otherwise(F.sha2("text", 256)).alias("content_hash"),
+        F.col("arrived").alias("timestamp"),
+    )
+
+
 def v_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored results: the labelled documents as scored before."""
     docs = _documents_in_time(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id")
@@ -291,13 +320,17 @@ def v_financial_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def v_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return logs_from(table(spark, sf_dir, "events"))
+
+
+def logs_from(events: DataFrame) -> DataFrame:
     level = (
         F.when(F.col("event_type") == "error", "ERROR")
         .when(F.col("event_type") == "signup", "WARN")
         .when(F.col("event_type") == "view", "DEBUG")
         .otherwise("INFO")
     )
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.col("event_id").alias("id"),
         level.alias("level"),
         F.concat(F.lit("c"), F.pmod("user_id", F.lit(10))).alias("component"),
@@ -431,4 +464,4 @@ def v_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def v_terms(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(SEARCH_TERMS), "query_id long, term string")
+    return literal_table(spark, SEARCH_TERMS, "query_id long, term string")
