@@ -52,9 +52,8 @@ def write_results_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _keyed_state(spark)
     messages = _topic(spark, fx.v_pipeline(spark, sf_dir))
-    outcomes = pipeline.drain_pipeline(pipeline.stream_pipeline(messages, lexicon_scorer(fx.LEXICON)))
+    outcomes = pipeline.drain_pipeline(messages, lexicon_scorer(fx.LEXICON))
     return outcomes.select(
         "kind", "source", "source_id", "content_hash", _ntz("timestamp"), "sentiment_label",
         F.col("sentiment_score").cast("double").alias("sentiment_score"),
@@ -68,7 +67,7 @@ def stream_dedup_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
     messages = fx.messages_from(fx.events_stream(spark, sf_dir)).withColumn(
         "source_id", F.lpad(F.col("id").cast("string"), 12, "0")
     )
-    stored = sinks.drain_to_table(state.stream_dedup_ttl(messages, 12 * 3600), "first-seen")
+    stored = sinks.drain_to_table(state.stream_dedup_ttl(messages, 12 * 3600, buckets=16), "first-seen")
     return stored.select("id", "source", "content_hash")
 
 

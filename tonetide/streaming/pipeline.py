@@ -7,81 +7,114 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tonetide.operators.ingest import drop_missing_hash
-from tonetide.operators.scoring import Scorer, score_sentiment
+from tonetide.operators.scoring import RESULT_FIELDS, Scorer, score_sentiment
 from tonetide.operators.texts import extract_text
 from tonetide.session import fresh_path
 from tonetide.sources import tables
 from tonetide.streaming import sinks
-from tonetide.streaming.state import stream_dedup_ttl
 
-OUTCOME_COLUMNS = [
-    "source", "source_id", "content_hash", "timestamp", "text", "sentiment_label",
-    "sentiment_score", "confidence_score", "error_type",
-]
+ROW_FIELDS = ["kind", "source", "source_id", "content_hash", "timestamp", "text", "error_type"]
+OUTCOME_COLUMNS = [*ROW_FIELDS, *[f.name for f in RESULT_FIELDS]]
 
 
-def _outcome(rows: DataFrame, kind: str) -> DataFrame:
-    from tonetide.operators.scoring import RESULT_FIELDS
-
-    types = {f.name: f.dataType for f in RESULT_FIELDS}
-    return rows.select(
-        F.lit(kind).alias("kind"),
-        *[
-            F.col(c) if c in rows.columns else F.lit(None).cast(types.get(c, "string")).alias(c)
-            for c in OUTCOME_COLUMNS
-        ],
-    )
-
-
-def stream_pipeline(
-    messages: DataFrame, scorer: Scorer | None = None, already_scored: DataFrame | None = None
-) -> DataFrame:
-    """Outcome stream of parsed messages: scored results and rejects, told apart by ``kind``.
+def candidate_stream(messages: DataFrame, already_scored: DataFrame | None = None) -> DataFrame:
+    """Parsed messages as rows for one outcome each, plus markers of hashes never met before.
 
     Texts are extracted before deduplication because messages without text are
-    never remembered: each one is an error of its own. A hash is scored once;
-    the state holds one time per scored hash. ``already_scored`` (content_hash)
-    starts a new stream over an existing results table. Scoring comes last, so
-    repeats never reach the model.
+    never remembered: each one is an error of its own. The markers come from
+    ``dropDuplicates`` over the bare hashes, so the state store holds one key per
+    scored hash and no content. ``already_scored`` (content_hash) starts a new
+    stream over an existing results table.
     """
     with_hash, no_hash = drop_missing_hash(messages)
     with_text, no_text = extract_text(with_hash)
+    hashes = with_text.select("content_hash")
     if already_scored is not None:
         known = already_scored.select("content_hash").distinct()
-        with_text = with_text.join(known, "content_hash", "left_anti")
-    fresh = stream_dedup_ttl(with_text, ttl_seconds=None)
-    results = score_sentiment(fresh, scorer)
+        hashes = hashes.join(known, "content_hash", "left_anti")
+    new = hashes.dropDuplicates(["content_hash"])
+
+    def rows(frame: DataFrame, kind: str, key: str) -> DataFrame:
+        fields = [
+            F.lit(kind).alias(c) if c == "kind"
+            else F.col(c) if c in frame.columns
+            else F.lit(None).cast("string").alias(c)
+            for c in ROW_FIELDS
+        ]
+        return frame.select(
+            F.concat_ws(":", F.lit(kind), F.col(key)).alias("outcome_key"),
+            F.lit(False).alias("is_new"),
+            F.struct(*fields).alias("row"),
+        )
+
+    messages_in = rows(with_text, "result", "content_hash")
+    empty_row = F.lit(None).cast(messages_in.schema["row"].dataType)
+    markers = new.select(
+        F.concat_ws(":", F.lit("result"), F.col("content_hash")).alias("outcome_key"),
+        F.lit(True).alias("is_new"),
+        empty_row.alias("row"),
+    )
     return (
-        _outcome(results, "result")
-        .unionByName(_outcome(no_hash, "reject"))
-        .unionByName(_outcome(no_text, "reject"))
+        messages_in.unionByName(markers)
+        .unionByName(rows(no_hash, "reject", "message_key"))
+        .unionByName(rows(no_text, "reject", "message_key"))
     )
 
 
-def start_pipeline(
-    outcomes: DataFrame,
+def outcomes_of_batch(candidates: DataFrame, scorer: Scorer | None = None) -> DataFrame:
+    """Outcome rows of one micro-batch: rejects as they are, one scored row per new hash.
+
+    Equal hashes fold into the earliest message (timestamp, then source_id) with
+    map-side combining; known hashes have no marker and fall away. Scoring comes
+    last, so repeats never reach the model.
+    """
+    order = F.struct("row.timestamp", "row.source_id")
+    picked = (
+        candidates.groupBy("outcome_key")
+        .agg(
+            F.min_by("row", F.when(F.col("row").isNotNull(), order)).alias("row"),
+            F.max("is_new").alias("is_new"),
+        )
+        .filter(F.col("is_new") | (F.col("row.kind") == "reject"))
+        .select("row.*")
+    )
+    results = score_sentiment(picked.filter("kind = 'result'"), scorer)
+    rejects = picked.filter("kind = 'reject'")
+    return results.unionByName(rejects, allowMissingColumns=True).select(*OUTCOME_COLUMNS)
+
+
+def stream_pipeline(
+    messages: DataFrame,
     path: str,
+    scorer: Scorer | None = None,
+    already_scored: DataFrame | None = None,
     checkpoint: str | None = None,
     interval_seconds: int | None = 10,
 ) -> StreamingQuery:
-    """Write outcomes to ``path``, partitioned by kind and batch.
+    """Score a message stream into the outcome table at ``path`` (by kind and batch).
 
-    One write per micro-batch; a replayed batch overwrites its own partitions,
-    so results and rejects are stored exactly once.
+    The folded batch is staged once and then scored and written in one go; a
+    replayed batch overwrites its own partitions, so every result and reject is
+    stored exactly once. ``interval_seconds=None`` drains what is available.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.withColumn("batch_id", F.lit(batch_id).cast("long"))
+        outcomes = outcomes_of_batch(batch.persist(), scorer)
+        rows = outcomes.withColumn("batch_id", F.lit(batch_id).cast("long"))
         tables.write_partitioned(rows, path, ["kind", "batch_id"], "overwrite")
+        batch.unpersist()
 
-    return sinks.start(outcomes, write, checkpoint, interval_seconds)
+    return sinks.start(candidate_stream(messages, already_scored), write, checkpoint, interval_seconds)
 
 
-def drain_pipeline(outcomes: DataFrame, name: str = "outcomes") -> DataFrame:
-    spark = outcomes.sparkSession
-    path = fresh_path(spark, name)
-    start_pipeline(outcomes, path, interval_seconds=None).awaitTermination()
-    return spark.read.schema(outcomes.schema).parquet(path).select(*outcomes.columns)
+def drain_pipeline(
+    messages: DataFrame, scorer: Scorer | None = None, path: str | None = None, **options
+) -> DataFrame:
+    """Run the pipeline over what is available and return the outcome table."""
+    spark = messages.sparkSession
+    path = path or fresh_path(spark, "outcomes")
+    stream_pipeline(messages, path, scorer, interval_seconds=None, **options).awaitTermination()
+    return spark.read.parquet(path)
 
 
 def outcome_counters(outcomes: DataFrame) -> DataFrame:

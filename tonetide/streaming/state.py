@@ -13,52 +13,97 @@ from tonetide.schemas import SEEN_TTL_SECONDS
 
 
 class FirstSeen(StatefulProcessor):
-    """Lets a row pass when its key was not seen within ``ttl_seconds`` before it
-    (never before, for None). Every occurrence renews the key."""
+    """Lets a message pass when its hash was not seen within ``ttl_seconds`` before it.
 
-    def __init__(self, ttl_seconds: int | None, columns: list[str]):
-        self.ttl_seconds = ttl_seconds
+    State maps each hash of a hash bucket to its latest time. Every occurrence
+    renews the entry; a timer per bucket sweeps entries the watermark has outlived.
+    """
+
+    def __init__(self, ttl_seconds: int, columns: list[str]):
+        self.ttl = pd.Timedelta(seconds=ttl_seconds)
         self.columns = columns
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last_seen", "seen timestamp")
+        self.handle = handle
+        self.last = handle.getMapState("last_seen", "content_hash string", "seen timestamp")
+        self.sweep = handle.getValueState("next_sweep", "at_millis long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
-        # one key of one micro-batch, whose size the source's rate option bounds
-        batch = pd.concat(list(rows)).sort_values(["timestamp", "source_id"], kind="stable")
-        stored = self.last.get()  # one round trip to the state store
-        known = stored[0] if stored is not None else None
-        times = batch["timestamp"]
-        if self.ttl_seconds is None:
-            passed = batch.iloc[: 0 if known is not None else 1]
-        else:
-            before = times.shift(1)
-            if known is not None:
-                before.iloc[0] = pd.Timestamp(known)
-            gap = (times - before).dt.total_seconds()
-            passed = batch[before.isna() | (gap >= self.ttl_seconds)]
-        latest = times.iloc[-1].to_pydatetime()
-        if known is None or (self.ttl_seconds is not None and latest > known):
-            self.last.update((latest,))
-        yield passed[self.columns]
+        # one bucket of one micro-batch, whose size the source's rate option bounds
+        batch = pd.concat(list(rows)).sort_values(
+            ["content_hash", "timestamp", "source_id"], kind="stable", ignore_index=True
+        )
+        before = batch.groupby("content_hash")["timestamp"].shift(1)
+        latest = batch.groupby("content_hash")["timestamp"].max()
+        for at in batch.index[~batch["content_hash"].duplicated()]:
+            content_hash = batch.at[at, "content_hash"]
+            stored = self.last.getValue((content_hash,))
+            newest = latest[content_hash]
+            if stored is not None:
+                before.at[at] = pd.Timestamp(stored[0])
+                newest = max(newest, before.at[at])
+            self.last.updateValue((content_hash,), (newest.to_pydatetime(),))
+        if not self.sweep.exists():
+            self._sweep_at(latest.max())
+        yield batch[before.isna() | (batch["timestamp"] - before >= self.ttl)][self.columns]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        now = pd.Timestamp(timerValues.getCurrentWatermarkInMs(), unit="ms")
+        entries = [(hash_key, pd.Timestamp(seen[0])) for hash_key, seen in self.last.iterator()]
+        alive = [seen for _, seen in entries if seen + self.ttl > now]
+        for hash_key, seen in entries:
+            if seen + self.ttl <= now:
+                self.last.removeKey(hash_key)
+        self.sweep.clear()
+        if alive:
+            self._sweep_at(max(alive))
+        yield pd.DataFrame()
+
+    def _sweep_at(self, newest: pd.Timestamp) -> None:
+        due = int((newest + self.ttl).timestamp() * 1000) + 1
+        self.handle.registerTimer(due)
+        self.sweep.update((due,))
 
     def close(self) -> None:
         pass
 
 
 def stream_dedup_ttl(
-    messages: DataFrame, ttl_seconds: int | None = SEEN_TTL_SECONDS, key: str = "content_hash"
+    messages: DataFrame,
+    ttl_seconds: int = SEEN_TTL_SECONDS,
+    late: str = "1 hour",
+    buckets: int = 1024,
 ) -> DataFrame:
-    """Sliding-TTL deduplication of a stream by ``key`` in event time.
+    """Sliding-TTL deduplication of a stream by ``content_hash`` in event time.
 
-    ``messages`` needs ``timestamp`` and ``source_id``. State is one time per key
-    in RocksDB; a micro-batch looks up its own keys only. A message of an unseen
-    key repeated inside a micro-batch passes once: the earliest one.
+    ``messages`` needs ``timestamp`` and ``source_id``. A micro-batch looks up
+    its own hashes in RocksDB, once each. State is grouped by hash bucket because
+    a Python call per hash would cost more than the lookup.
     """
     processor = FirstSeen(ttl_seconds, messages.columns)
-    return messages.groupBy(key).transformWithStateInPandas(
-        processor, messages.schema, "Append", "None"
+    keyed = messages.withWatermark("timestamp", late).withColumn(
+        "__bucket", F.pmod(F.xxhash64("content_hash"), F.lit(buckets))
+    )
+    return keyed.groupBy("__bucket").transformWithStateInPandas(
+        processor, messages.schema, "Append", "EventTime"
+    )
+
+
+def stream_dedup_sessions(
+    messages: DataFrame, ttl_seconds: int = SEEN_TTL_SECONDS, late: str = "1 hour"
+) -> DataFrame:
+    """The same rule as session windows, entirely in the JVM, for streams that can wait.
+
+    Messages of a hash whose gaps stay below the TTL form one session and its
+    earliest message passes, once the session is closed (TTL plus ``late`` after
+    its last message). Tolerates out-of-order input; sessions combine map-side.
+    """
+    row = F.struct(*[F.col(c) for c in messages.columns])
+    order = F.struct("timestamp", "source_id")
+    sessions = messages.withWatermark("timestamp", late).groupBy(
+        "content_hash", F.session_window("timestamp", f"{ttl_seconds} seconds")
     )
+    return sessions.agg(F.min_by(row, order).alias("row")).select("row.*")
 
 
 def stream_dedup_within(messages: DataFrame, delay: str = "1 hour") -> DataFrame:
