@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,28 +16,58 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), TOKEN_BREAK), lambda t: t != "")
 
 
-def bigrams(words: Column) -> Column:
-    """Neighbouring token pairs joined by one blank."""
-    return F.zip_with(
-        F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))),
-        F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))),
-        lambda left, right: F.concat_ws(" ", left, right),
+def phrases_in(words: Column, phrases: Sequence[str]) -> Column:
+    """Distinct one and two word ``phrases`` that occur in a token array.
+
+    Single words by set intersection; pairs are only formed where their first
+    word fits, so the pass over the tokens makes no strings for the others.
+    """
+    single = [p for p in phrases if " " not in p]
+    double = [p for p in phrases if " " in p]
+    found = F.array_intersect(words, F.array(*[F.lit(p) for p in single]).cast("array<string>"))
+    if not double:
+        return found
+    firsts = sorted({p.split(" ")[0] for p in double})
+    pairs = F.transform(
+        words,
+        lambda word, at: F.when(
+            word.isin(*firsts), F.concat_ws(" ", word, F.get(words, at + 1))
+        ),
     )
+    return F.concat(found, F.array_distinct(F.filter(pairs, lambda p: p.isin(*double))))
+
+
+HIT_UNIT = 1 << 32
 
 
 def weigh_tokens(words: Column, weights: Mapping[str, int]) -> Column:
-    """Sum of term weights over a token array.
+    """Weight sum and number of weighted tokens of a token array, in one pass.
 
-    Terms are grouped by weight so each token costs a few hash-set probes and
-    the row never leaves its partition: no explode, no shuffle.
+    Both are kept in one BIGINT (see ``net_weight`` and ``weighted_tokens``).
+    Terms are grouped by weight so a token costs a few hash-set probes and the
+    row never leaves its partition: no explode, no shuffle.
     """
     by_weight: dict[int, list[str]] = defaultdict(list)
     for term, weight in weights.items():
         by_weight[weight].append(term)
-    total = F.lit(0)
-    for weight, terms in sorted(by_weight.items()):
-        total = total + F.lit(weight) * count_tokens(words, terms)
-    return total.cast("long")
+
+    def worth(word: Column) -> Column:
+        value = F
+        for weight, terms in sorted(by_weight.items()):
+            value = value.when(word.isin(*terms), F.lit(weight + HIT_UNIT))
+        return value.otherwise(F.lit(0).cast("long"))
+
+    return F.aggregate(words, F.lit(0).cast("long"), lambda total, word: total + worth(word))
+
+
+def weighted_tokens(packed: Column) -> Column:
+    """Number of weighted tokens in a ``weigh_tokens`` value (weight sums stay below 2^31)."""
+    return F.shiftright(packed + F.lit(HIT_UNIT // 2), 32)
+
+
+def net_weight(packed: Column) -> Column:
+    """Weight sum in a ``weigh_tokens`` value."""
+    return packed - F.shiftleft(weighted_tokens(packed), 32)
 
 
 def count_tokens(words: Column, terms: list[str] | tuple[str, ...]) -> Column:

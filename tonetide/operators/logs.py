@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tonetide.functions.stage import with_once
 from tonetide.schemas import ACCESS_ENTRY, LOG_LEVELS
 
 # --- fixed values: line formats ----------------------------------------------
@@ -57,9 +58,9 @@ def parse_access_logs(lines: DataFrame, line: str = "value") -> DataFrame:
         if group is None:
             return from_json
         extracted = F.nullif(F.regexp_extract(text, ACCESS_LINE, group), F.lit(""))
-        return F.coalesce(from_json, extracted.try_cast(kind))
+        return F.when(is_json, from_json).otherwise(extracted.try_cast(kind))
 
-    parsed = lines.withColumn("__entry", F.when(is_json, entry))
+    parsed = with_once(lines, {"__entry": F.when(is_json, entry)})
     error = F.nullif(F.col("__entry.error"), F.lit(""))
     return parsed.select(
         *lines.columns,

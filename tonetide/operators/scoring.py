@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tonetide.functions.stage import with_once
-from tonetide.functions.text import tokens, weigh_tokens
+from tonetide.functions.text import net_weight, tokens, weigh_tokens, weighted_tokens
 
 Scorer = Callable[[DataFrame], DataFrame]
 
@@ -43,12 +43,16 @@ def lexicon_scorer(lexicon: Mapping[str, int] = DEFAULT_LEXICON) -> Scorer:
     confidence = share of weighted words, 0.5 for a text without any."""
 
     def score(df: DataFrame) -> DataFrame:
-        terms = {t: 1 for t in lexicon}
-        counted = (
-            with_once(df, {"__words": tokens(F.col("text"))})
-            .withColumn("__net", weigh_tokens(F.col("__words"), lexicon))
-            .withColumn("__hits", weigh_tokens(F.col("__words"), terms))
-            .withColumn("__total", F.size("__words"))
+        words = with_once(df, {"__words": tokens(F.col("text"))})
+        weighed = with_once(
+            words,
+            {
+                "__packed": weigh_tokens(F.col("__words"), lexicon),
+                "__total": F.size("__words"),
+            },
+        )
+        counted = weighed.withColumn("__net", net_weight(F.col("__packed"))).withColumn(
+            "__hits", weighted_tokens(F.col("__packed"))
         )
         clamped = F.greatest(F.least(F.col("__net"), F.lit(SCORE_STEP)), F.lit(-SCORE_STEP))
         signed = (clamped.cast("decimal(10,0)") * F.lit("0.1").cast("decimal(2,1)")).cast(
@@ -71,7 +75,7 @@ def lexicon_scorer(lexicon: Mapping[str, int] = DEFAULT_LEXICON) -> Scorer:
             counted.withColumn("sentiment_score", signed)
             .withColumn("sentiment_label", label)
             .withColumn("confidence_score", confidence)
-            .drop("__words", "__net", "__hits", "__total")
+            .drop("__words", "__packed", "__net", "__hits", "__total")
         )
 
     return score

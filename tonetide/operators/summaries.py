@@ -149,25 +149,27 @@ def bucket_sentiment(results: DataFrame, width: str = "1 hour") -> DataFrame:
 
     ``results`` carries ``entities array<struct<entity_type, entity_value>>``.
     """
-    keyed = results.withColumn(
-        "time_bucket", F.window("timestamp", width)["start"].cast("timestamp_ntz")
-    )
     keys = ["time_bucket", "source", "sentiment"]
-    keyed = keyed.withColumnsRenamed({"source_type": "source", "sentiment_label": "sentiment"})
-    measures = keyed.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("count"),
-        exact_mean("sentiment_score").alias("avg_score"),
-        exact_mean("confidence_score").alias("avg_confidence"),
+    # one row per entity; the first of a result row also stands for the row itself
+    rows = results.select(
+        F.window("timestamp", width)["start"].cast("timestamp_ntz").alias("time_bucket"),
+        F.col("source_type").alias("source"),
+        F.col("sentiment_label").alias("sentiment"),
+        "sentiment_score",
+        "confidence_score",
+        F.posexplode_outer(F.transform("entities", lambda e: e["entity_value"])).alias("at", "value"),
     )
-    values = (
-        keyed.select(*keys, F.explode("entities").alias("e"))
-        .select(*keys, F.col("e.entity_value").alias("value"))
-        .distinct()
-        .groupBy(*keys)
-        .agg(F.array_sort(F.collect_list("value")).alias("entities"))
+    own = F.coalesce(F.col("at"), F.lit(0)) == 0
+    cells = rows.groupBy(*keys, "value").agg(
+        F.sum(F.when(own, 1).otherwise(0)).alias("n"),
+        F.sum(F.when(own, F.col("sentiment_score"))).alias("score"),
+        F.sum(F.when(own, F.col("confidence_score"))).alias("confidence"),
     )
-    return measures.join(values, keys, "left").withColumn(
-        "entities", F.coalesce("entities", F.array().cast("array<string>"))
+    return cells.groupBy(*keys).agg(
+        F.sum("n").alias("count"),
+        (F.sum("score").cast("double") / F.sum("n")).alias("avg_score"),
+        (F.sum("confidence").cast("double") / F.sum("n")).alias("avg_confidence"),
+        F.array_sort(F.collect_list("value")).alias("entities"),
     )
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tonetide.functions import payload
 from tonetide.functions.stage import literal_table, with_once
-from tonetide.functions.text import bigrams, count_tokens, strip_markup, tokens
+from tonetide.functions.text import count_tokens, phrases_in, strip_markup, tokens
 from tonetide.schemas import TEXT_FIELDS
 
 # --- fixed values: most frequent function words per language ----------------
@@ -132,8 +132,6 @@ def gazetteer_table(spark: SparkSession, gazetteer: Sequence[Instrument]) -> Dat
 def entities_of(words: Column, gazetteer: Sequence[Instrument]) -> Column:
     """Sorted distinct ``array<struct<entity_type, entity_value, asset_class>>`` of a token
     array (one and two word aliases)."""
-    grams = F.concat(words, bigrams(words))
-    aliases = [g.alias for g in gazetteer]
     lookup = F.create_map(
         *[
             part
@@ -148,7 +146,7 @@ def entities_of(words: Column, gazetteer: Sequence[Instrument]) -> Column:
             )
         ]
     )
-    hits = F.array_distinct(F.filter(grams, lambda gram: gram.isin(*aliases)))
+    hits = phrases_in(words, [g.alias for g in gazetteer])
     return F.array_sort(F.array_distinct(F.transform(hits, lambda alias: lookup[alias])))
 
 

@@ -220,7 +220,7 @@ def near_duplicate_pairs(
     else:
         if bits is None:
             rows = max(2, distinct.count())
-            bits = min(24, max(8, math.ceil(math.log2(rows)) - 2))
+            bits = min(24, max(8, math.ceil(math.log2(rows))))
         links = _links_lsh(distinct, threshold, bits, bands_needed(threshold, bits, miss), salts)
     # copies of a representative point to its own partner, or to it
     members = vectors.join(distinct, "embedding").select("vec_id", "rep")
@@ -336,6 +336,7 @@ def drop_near_duplicates(
     """
     if pairs is None:
         pairs = near_duplicate_pairs(corpus, threshold, **options)
+    pairs = cut_lineage(pairs, "duplicate-pairs")
     roots = follow_to_root(
         pairs.select(F.col("vec_id").alias("node"), F.col("duplicate_of").alias("root"))
     )

@@ -11,7 +11,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonetide.functions.stage import literal_table, with_once
+from tonetide.functions.stage import literal_table, spread_small, with_once
 from tonetide.operators.scoring import lexicon_scorer
 from tonetide.operators.texts import Instrument, with_entities
 from tonetide.operators.vectors import split_vectors
@@ -33,8 +33,14 @@ SEARCH_TERMS = ((1, "The"), (2, "que"), (3, "und"), (3, "der"), (4, "les"), (4,
 # -------------------------------------------------------------------------------
 
 
+TEXT_TABLES = ("documents", "pages")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table. Text tables small enough to sit in a few row groups are spread
+    over the cores; larger ones are read as they are split."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread_small(df) if name in TEXT_TABLES else df
 
 
 def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
