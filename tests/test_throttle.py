@@ -1,0 +1,56 @@
+import datetime as dt
+import random
+
+import numpy as np
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from tonetide.operators.throttle import Bucket, throttle_replay
+
+SECOND = 1_000_000
+
+
+def one_by_one(times, rate, burst):
+    """The bucket rule, request by request."""
+    tokens, last, allowed = burst, None, []
+    for t in times:
+        last = t if last is None else last
+        add = (t - last) // SECOND * rate
+        if add > 0:
+            tokens, last = min(burst, tokens + add), t
+        allowed.append(tokens > 0)
+        tokens -= tokens > 0
+    return allowed
+
+
+@settings(max_examples=200, deadline=None)
+@given(
+    st.lists(st.integers(0, 20 * SECOND), min_size=1, max_size=120),
+    st.integers(1, 5),
+    st.integers(1, 12),
+    st.integers(1, 40),
+)
+def test_bucket_against_model(times, rate, burst, cut):
+    times = np.array(sorted(times), dtype=np.int64)
+    bucket = Bucket(rate, burst)
+    runs = [bucket.take(times[i : i + cut]) for i in range(0, len(times), cut)]
+    assert list(np.concatenate(runs)) == one_by_one(times.tolist(), rate, burst)
+
+
+def test_replay_against_model(spark):
+    rng = random.Random(2)
+    start = dt.datetime(2024, 1, 1)
+    rows = []
+    for i in range(3000):
+        client = "hot" if i % 3 == 0 else f"c{i % 20}"
+        rows.append((i, client, start + dt.timedelta(microseconds=rng.randrange(0, 400 * SECOND))))
+    df = spark.createDataFrame(rows, "id long, client_id string, timestamp timestamp_ntz")
+    for rate, burst in ((1, 2), (2, 5), (100, 200)):
+        found = {r.id: r.allowed for r in throttle_replay(df, rate, burst).collect()}
+        want = {}
+        for client in {r[1] for r in rows}:
+            own = sorted((r for r in rows if r[1] == client), key=lambda r: (r[2], r[0]))
+            micros = [int((r[2] - start).total_seconds() * 1e6 + 0.5) for r in own]
+            want |= dict(zip((r[0] for r in own), one_by_one(micros, rate, burst)))
+        assert found == want
+        assert rate == 100 or not all(want.values())

@@ -145,25 +145,18 @@ def _knn_scan(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return corpus.select("vec_id", "embedding").mapInPandas(scan, HITS)
 
 
-def _blocks(df: DataFrame, key: str, rows: int, block_rows: int, mine: str, other: str, others: int):
-    n = max(1, math.ceil(rows / block_rows))
-    return n, df.withColumn(mine, F.pmod(F.xxhash64(key), F.lit(n))).withColumn(
-        other, F.explode(F.sequence(F.lit(0), F.lit(others - 1)))
-    )
+def _in_blocks(df: DataFrame, key: str, own: str, n: int, other: str, others: int) -> DataFrame:
+    """Each row in its own block, once per block of the other side."""
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(others - 1).cast("long")))
+    block = F.pmod(F.xxhash64(key), F.lit(n)).cast("long")
+    return df.select(key, "embedding", block.alias(own)).withColumn(other, every)
 
 
 def _knn_blocks(corpus, queries, k, query_count, block_rows) -> DataFrame:
-    corpus_count = corpus.count()
-    n_corpus = max(1, math.ceil(corpus_count / block_rows))
+    n_corpus = max(1, math.ceil(corpus.count() / block_rows))
     n_query = max(1, math.ceil(query_count / block_rows))
-    _, left = _blocks(
-        queries.select("query_id", "embedding"), "query_id", query_count, block_rows, "qb", "cb", n_corpus
-    )
-    _, right = _blocks(
-        corpus.select("vec_id", "embedding"), "vec_id", corpus_count, block_rows, "cb", "qb", n_query
-    )
-    left = left.select(F.col("qb").cast("long"), F.col("cb").cast("long"), "query_id", "embedding")
-    right = right.select(F.col("qb").cast("long"), F.col("cb").cast("long"), "vec_id", "embedding")
+    left = _in_blocks(queries, "query_id", "qb", n_query, "cb", n_corpus)
+    right = _in_blocks(corpus, "vec_id", "cb", n_corpus, "qb", n_query)
 
     def nearest(asked: pd.DataFrame, stored: pd.DataFrame) -> pd.DataFrame:
         if not len(asked) or not len(stored):
@@ -294,10 +287,10 @@ LINKS = "rep long, partner long, similarity double"
 def _links_exact(distinct: DataFrame, threshold: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
     n = max(1, math.ceil(distinct.count() / block_rows))
     mine = F.pmod(F.xxhash64("rep"), F.lit(n)).cast("long")
-    blocks = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     tagged = distinct.withColumn("a", mine)
-    later = tagged.withColumn("b", blocks.cast("long"))
-    earlier = tagged.withColumnRenamed("a", "b").withColumn("a", blocks.cast("long"))
+    later = tagged.withColumn("b", blocks)
+    earlier = tagged.withColumnRenamed("a", "b").withColumn("a", blocks)
 
     def first_partner(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"rep": [], "partner": [], "similarity": []}).astype(
