@@ -41,7 +41,17 @@ def flag_recent_duplicates(
     known = seen.groupBy(F.col("content_hash").alias("__hash")).agg(
         F.max("expires_at").alias("__expires")
     )
-    joined = ordered.join(known, ordered["content_hash"] == known["__hash"], "left")
+    # only the first row of a hash asks the state; the others are spread by id
+    first = F.col("__previous").isNull()
+    ordered = ordered.withColumn(
+        "__key", F.when(first, F.col("content_hash")).otherwise(F.col("id").cast("string"))
+    ).withColumn("__first", first)
+    known = known.withColumn("__known", F.lit(True))
+    joined = ordered.join(
+        known,
+        (ordered["__key"] == known["__hash"]) & (ordered["__first"] == known["__known"]),
+        "left",
+    )
     by_gap = F.col("timestamp") < _plus_seconds(F.col("__previous"), ttl_seconds)
     by_state = F.col("__expires") > F.col("timestamp")
     return joined.withColumn(
@@ -49,7 +59,7 @@ def flag_recent_duplicates(
         F.when(F.col("__previous").isNotNull(), by_gap).otherwise(
             F.coalesce(by_state, F.lit(False))
         ),
-    ).drop("__previous", "__hash", "__expires")
+    ).drop("__previous", "__hash", "__expires", "__key", "__first", "__known")
 
 
 def skip_recent_duplicates(

@@ -21,36 +21,30 @@ def error_summary(errors: DataFrame, prior: DataFrame | None = None) -> DataFram
     its sample when no such number falls into the new rows.
     """
     keys = ["component", "error_type"]
-    rows = errors
-    if prior is None:
-        offset = F.lit(0)
-    else:
-        known = prior.select(*keys, F.col("error_count").alias("prior_count"))
-        rows = rows.join(known, keys, "left")
-        rows = rows.withColumn("prior_count", F.coalesce("prior_count", F.lit(0)))
-        offset = F.col("prior_count")
-
-    totals = rows.groupBy(*keys).agg(
+    totals = errors.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("error_count"),
         F.min("timestamp").alias("first_occurrence"),
         F.max("timestamp").alias("last_occurrence"),
     )
-    # last number n with n % 100 == 1 among offset+1 .. offset+group_size, as a local rank
-    grouped = [*keys] if prior is None else [*keys, "prior_count"]
+    if prior is None:
+        known, offset = None, F.lit(0)
+    else:
+        known = prior.select(*keys, F.col("error_count").alias("prior_count"))
+        offset = F.coalesce("prior_count", F.lit(0))
+    # the last number n with n % 100 == 1 up to offset + group_size, as a rank among the new rows
     last_sample = (
         F.floor((F.col("group_size") + offset - 1) / SAMPLE_EVERY) * SAMPLE_EVERY + 1 - offset
     ).cast("long")
     samples = rows_at_ranks(
-        rows,
-        grouped,
+        errors,
+        keys,
         ["timestamp", "id"],
         F.date_trunc("hour", "timestamp"),
         F.array(last_sample),
+        known,
     ).select(*keys, F.col("message").alias("sample_message"))
     summary = totals.join(samples, keys, "left")
-    if prior is None:
-        return summary
-    return merge_error_summaries(prior, summary)
+    return summary if prior is None else merge_error_summaries(prior, summary)
 
 
 def merge_error_summaries(prior: DataFrame, fresh: DataFrame) -> DataFrame:

@@ -76,20 +76,22 @@ def rows_at_ranks(
     order: Sequence[str],
     chunk: Column,
     ranks: Column,
+    known: DataFrame | None = None,
 ) -> DataFrame:
     """Rows that stand at given 1-based ranks within ``keys``, with a ``rank`` column.
 
-    ``ranks`` is an array of ranks computed from ``group_size`` (and any key
-    column). Chunk counts locate the chunk of each rank; only the rows of those
-    chunks are sorted.
+    ``ranks`` is an array of ranks computed from ``group_size``, key columns and
+    the columns of ``known`` (one row per key, or none: NULLs). Chunk counts
+    locate the chunk of each rank; only the rows of those chunks are sorted.
     """
     split = df.withColumn("__chunk", chunk)
     running = Window.partitionBy(*keys).orderBy("__chunk")
     whole = Window.partitionBy(*keys)
+    counts = split.groupBy(*keys, "__chunk").agg(F.count(F.lit(1)).alias("__n"))
+    if known is not None:
+        counts = counts.join(known, [*keys], "left")
     chunks = (
-        split.groupBy(*keys, "__chunk")
-        .agg(F.count(F.lit(1)).alias("__n"))
-        .withColumn("__upto", F.sum("__n").over(running))
+        counts.withColumn("__upto", F.sum("__n").over(running))
         .withColumn("group_size", F.sum("__n").over(whole))
         .withColumn("__before", F.col("__upto") - F.col("__n"))
         .withColumn("__ranks", ranks)

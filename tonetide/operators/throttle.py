@@ -85,18 +85,18 @@ def throttle_replay(
     def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, bucket = None, None
         for batch in batches:
+            if not len(batch):
+                continue
             allowed = np.zeros(len(batch), dtype=bool)
-            owner = list(zip(batch["client_id"], batch["piece"]))
+            client, piece = batch["client_id"], batch["piece"]
             micros = batch["micros"].to_numpy()
-            start = 0
-            while start < len(owner):
-                end = start
-                while end < len(owner) and owner[end] == owner[start]:
-                    end += 1
-                if owner[start] != current:
-                    current, bucket = owner[start], Bucket(rate, burst)
+            changes = (client != client.shift()) | (piece != piece.shift())
+            starts = np.flatnonzero(changes.to_numpy())
+            for start, end in zip(starts, [*starts[1:], len(batch)]):
+                owner = (client.iat[start], piece.iat[start])
+                if owner != current:
+                    current, bucket = owner, Bucket(rate, burst)
                 allowed[start:end] = bucket.take(micros[start:end])
-                start = end
             yield pd.DataFrame(
                 {
                     "id": batch["id"],

@@ -97,7 +97,7 @@ SELECT source, source_id, "timestamp", content_hash, nullif(text, '') AS text FR
     CASE WHEN shape = 10 THEN '' ELSE sha256(text) END AS content_hash,
     CASE WHEN shape = 13 THEN CASE WHEN {KIND} IN ('reddit', 'economic')
         THEN '{{"id":"d' || doc_id || '","lang":"' || lang || '"}}' END
-      WHEN {KIND} = 'news' THEN regexp_replace(text || '. ' || lang, '^\s+|\s+$', '', 'g')
+      WHEN {KIND} = 'news' THEN regexp_replace(text || '. ' || lang, '^\\s+|\\s+$', '', 'g')
       ELSE text END AS text
   FROM (SELECT *, {DOC_SHAPE} AS shape FROM documents))""",
     "v_messages": """
