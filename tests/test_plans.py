@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from tonetide.operators import scoring, summaries, texts
+from tonetide.operators import ingest, scoring, summaries, texts
 from tonetide.session import fresh_path
 from tonetide.sources import fixtures as fx
 from tonetide.sources import tables
@@ -54,7 +54,7 @@ def test_row_work_does_not_shuffle(spark):
 
 def test_costly_expressions_run_once(spark):
     docs = fx.v_lines(spark, SF)
-    raw, _ = __import__("tonetide.operators.ingest", fromlist=["x"]).ingest_payloads(docs, "news")
+    raw, _ = ingest.ingest_payloads(docs, "news")
     with_text, _ = texts.extract_text(raw.filter("source_id <> ''"))
     formatted = with_text.filter(F.length("text") > 10)._jdf.queryExecution().explainString(
         spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple")

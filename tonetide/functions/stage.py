@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 def with_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """``withColumns`` whose expressions run exactly once per row.
 
-    A plain projection is merged into every filter that uses it, so a parsed
-    payload would be parsed again per predicate. A one-row ``inline`` is a step
-    predicates do not pass, and it stays inside generated code.
+    A plain projection is merged into every filter that uses it, also into the
+    one the planner adds below an ``explode``, so a parsed payload would be
+    parsed again per predicate. A one-row ``inline`` is a step predicates do not
+    pass, and it stays inside generated code.
     """
     row = F.struct(*[c.alias(n) for n, c in columns.items()])
     kept = [c for c in df.columns if c not in columns]

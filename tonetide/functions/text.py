@@ -52,10 +52,10 @@ def weigh_tokens(words: Column, weights: Mapping[str, int]) -> Column:
         by_weight[weight].append(term)
 
     def worth(word: Column) -> Column:
-        value = F
+        value = F.lit(0).cast("long")
         for weight, terms in sorted(by_weight.items()):
-            value = value.when(word.isin(*terms), F.lit(weight + HIT_UNIT))
-        return value.otherwise(F.lit(0).cast("long"))
+            value = F.when(word.isin(*terms), F.lit(weight + HIT_UNIT)).otherwise(value)
+        return value
 
     return F.aggregate(words, F.lit(0).cast("long"), lambda total, word: total + worth(word))
 

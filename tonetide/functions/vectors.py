@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -57,16 +59,30 @@ def band_codes(bits: int, bands: int, seed: int = 17):
     return codes
 
 
-def bucket_counts_to_unit(dim: int):
-    """Column function: array of bucket numbers → unit vector of bucket counts."""
-
-    @F.pandas_udf("array<double>")
-    def embed(buckets: pd.Series) -> pd.Series:
-        out = []
-        for numbers in buckets:
-            counts = np.bincount(np.asarray(numbers, dtype=np.int64), minlength=dim)
-            length = math.sqrt(float((counts * counts).sum()))
-            out.append(counts / length if length else None)
-        return pd.Series(out)
+def token_counts_to_unit(dim: int):
+    """Column function: array of tokens → unit vector of token counts in ``dim`` buckets.
+
+    The bucket is the first eight md5 hex digits modulo ``dim``. Works on whole
+    Arrow batches: each distinct token of a batch is hashed once.
+    """
+
+    @F.arrow_udf("array<double>")
+    def embed(words: pa.Array) -> pa.Array:
+        lengths = words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        coded = words.flatten().dictionary_encode()
+        bucket_of = np.array(
+            [int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % dim for w in coded.dictionary.to_pylist()],
+            dtype=np.int64,
+        )
+        rows = np.repeat(np.arange(len(words)), lengths)
+        cells = rows * dim + bucket_of[coded.indices.to_numpy()]
+        counts = np.bincount(cells, minlength=len(words) * dim).reshape(-1, dim)
+        length = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
+        units = counts / np.where(length > 0, length, 1.0)
+        return pa.ListArray.from_arrays(
+            pa.array(np.arange(len(words) + 1) * dim, pa.int32()),
+            pa.array(units.ravel()),
+            mask=pa.array(length[:, 0] == 0),
+        )
 
     return embed

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tonetide.functions.stage import with_once
 from tonetide.functions.text import tokens
 
 
@@ -12,12 +13,13 @@ def build_term_index(
     documents: DataFrame, fields: tuple[str, ...] = ("text",), key: str = "doc_id"
 ) -> DataFrame:
     """(term, key, tf) over one or more text fields. Counts combine before the shuffle."""
+    return _terms(documents, fields, key).groupBy("term", key).agg(F.count(F.lit(1)).alias("tf"))
+
+
+def _terms(documents: DataFrame, fields: tuple[str, ...], key: str) -> DataFrame:
     words = tokens(F.concat_ws(" ", *fields))
-    return (
-        documents.select(key, F.explode(words).alias("term"))
-        .groupBy("term", key)
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
+    staged = with_once(documents.select(key, *fields), {"__words": words})
+    return staged.select(key, F.explode("__words").alias("term"))
 
 
 def term_search(
@@ -57,7 +59,7 @@ def term_search_scan(
     Tokens are matched with the query terms before they are counted, so only
     matching tokens are aggregated.
     """
-    words = documents.select(key, F.explode(tokens(F.concat_ws(" ", *fields))).alias("term"))
+    words = _terms(documents, fields, key)
     terms = queries.select(F.lower("term").alias("term")).distinct()
     index = words.join(terms, "term", "left_semi").groupBy("term", key).agg(
         F.count(F.lit(1)).alias("tf")

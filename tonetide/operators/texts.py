@@ -154,11 +154,9 @@ def with_entities(
     df: DataFrame, gazetteer: Sequence[Instrument], text: str = "text"
 ) -> DataFrame:
     """Add ``entities`` to a text table, row by row."""
-    return (
-        with_once(df, {"__words": tokens(F.col(text))})
-        .withColumn("entities", entities_of(F.col("__words"), gazetteer))
-        .drop("__words")
-    )
+    words = with_once(df, {"__words": tokens(F.col(text))})
+    linked = with_once(words, {"entities": entities_of(F.col("__words"), gazetteer)})
+    return linked.drop("__words")
 
 
 def link_entities(

@@ -11,13 +11,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tonetide.functions.stage import with_once
 from tonetide.functions.text import tokens
 from tonetide.functions.vectors import (
     band_codes,
     bands_needed,
-    bucket_counts_to_unit,
     cosine,
     matrix,
+    token_counts_to_unit,
 )
 from tonetide.operators.ordering import newest
 from tonetide.schemas import DUPLICATE_SIMILARITY
@@ -35,11 +36,9 @@ def embed_text(texts: DataFrame, dim: int = 64, key: str = "doc_id", text: str =
     The bucket of a token is its first eight md5 hex digits modulo ``dim``. Texts
     without tokens have a NULL vector. Row-local, no shuffle.
     """
-    buckets = F.transform(
-        tokens(F.col(text)),
-        lambda t: F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long") % dim,
-    )
-    return texts.select(key, bucket_counts_to_unit(dim)(buckets).alias("embedding"))
+    embed = token_counts_to_unit(dim)
+    made = with_once(texts.select(key, text), {"embedding": embed(tokens(F.col(text)))})
+    return made.select(key, "embedding")
 
 
 def split_vectors(df: DataFrame, dim: int) -> tuple[DataFrame, DataFrame]:
@@ -231,7 +230,8 @@ def near_duplicate_pairs(
 
 def _links_lsh(distinct: DataFrame, threshold: float, bits: int, bands: int, salts: int) -> DataFrame:
     codes = band_codes(bits, bands)
-    hashed = distinct.select("rep", F.posexplode(codes("embedding")).alias("band", "code"))
+    coded = with_once(distinct, {"codes": codes("embedding")})
+    hashed = coded.select("rep", F.posexplode("codes").alias("band", "code"))
     sizes = hashed.groupBy("band", "code").agg(
         F.min("rep").alias("leader"), F.count(F.lit(1)).alias("n")
     )
