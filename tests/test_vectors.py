@@ -58,6 +58,9 @@ def test_scan_and_blocks_against_brute_force(spark):
     for options in ({}, {"query_bytes_bound": 0, "block_rows": 64}):
         hits = vectors.knn_search(left.repartition(5), right, 7, **options).collect()
         assert {(h.query_id, h.vec_id, h.rank) for h in hits} == want
+    own = left.select(left.vec_id.alias("query_id"), "embedding")
+    nearest = vectors.knn_search(left, own, 1, query_bytes_bound=0, block_rows=64).collect()
+    assert {(h.query_id, h.vec_id) for h in nearest} == {(i, 5 if i == 17 else i) for i in range(300)}
 
 
 def clustered(rng, groups=60, size=6, dim=16, noise=0.06):
@@ -85,8 +88,8 @@ def test_near_duplicates_against_brute_force(spark):
     want = first_partners(rows)
     assert len(want) > 150
     df = frame(spark, rows, schema="vec_id long, embedding array<double>")
-    for method in ("lsh", "exact"):
-        found = {r.vec_id: r.duplicate_of for r in vectors.near_duplicate_pairs(df, method=method).collect()}
+    for options in ({}, {"method": "lsh"}, {"method": "exact", "block_rows": 50}):
+        found = {r.vec_id: r.duplicate_of for r in vectors.near_duplicate_pairs(df, **options).collect()}
         assert found == want
     marked = vectors.drop_near_duplicates(df).collect()
     assert {r.vec_id for r in marked if not r.keep} == set(want)
@@ -103,7 +106,7 @@ def test_near_duplicates_of_a_third_of_the_rows(spark):
     crowd = rng.standard_normal(16) + 0.001 * rng.standard_normal((700, 16))
     rows = np.concatenate([crowd, rng.standard_normal((1400, 16))])
     df = frame(spark, rows, schema="vec_id long, embedding array<double>")
-    pairs = vectors.near_duplicate_pairs(df)
+    pairs = vectors.near_duplicate_pairs(df, method="lsh")
     found = {r.vec_id: r.duplicate_of for r in pairs.collect()}
     assert found == first_partners(rows)
     assert sum(v == 0 for v in found.values()) == 699

@@ -27,6 +27,7 @@ from tonetide.session import cut_lineage
 QUERY_BYTES_BOUND = 16 * 1024 * 1024
 QUERY_STRIP = 256
 BLOCK_ROWS = 4096
+EXACT_ROWS = 50_000
 TIE_DIGITS = 12
 
 
@@ -148,14 +149,16 @@ def _in_blocks(df: DataFrame, key: str, own: str, n: int, other: str, others: in
     """Each row in its own block, once per block of the other side."""
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(others - 1).cast("long")))
     block = F.pmod(F.xxhash64(key), F.lit(n)).cast("long")
-    return df.select(key, "embedding", block.alias(own)).withColumn(other, every)
+    return df.select(
+        F.col(key).alias(f"{own}_id"), F.col("embedding").alias(f"{own}_vector"), block.alias(own)
+    ).withColumn(other, every)
 
 
 def _knn_blocks(corpus, queries, k, query_count, block_rows) -> DataFrame:
     n_corpus = max(1, math.ceil(corpus.count() / block_rows))
     n_query = max(1, math.ceil(query_count / block_rows))
-    left = _in_blocks(queries, "query_id", "qb", n_query, "cb", n_corpus)
-    right = _in_blocks(corpus, "vec_id", "cb", n_corpus, "qb", n_query)
+    left = _in_blocks(queries, "query_id", "q", n_query, "c_of_q", n_corpus)
+    right = _in_blocks(corpus, "vec_id", "c", n_corpus, "q_of_c", n_query)
 
     def nearest(asked: pd.DataFrame, stored: pd.DataFrame) -> pd.DataFrame:
         if not len(asked) or not len(stored):
@@ -165,18 +168,18 @@ def _knn_blocks(corpus, queries, k, query_count, block_rows) -> DataFrame:
         parts = [
             pd.DataFrame({"query_id": q, "vec_id": ids, "distance": distances})
             for q, ids, distances in _nearest_in(
-                asked["query_id"].to_numpy(),
-                matrix(asked["embedding"]),
-                stored["vec_id"].to_numpy(),
-                matrix(stored["embedding"]),
+                asked["q_id"].to_numpy(),
+                matrix(asked["q_vector"]),
+                stored["c_id"].to_numpy(),
+                matrix(stored["c_vector"]),
                 k,
             )
         ]
         return pd.concat(parts)
 
     return (
-        left.groupBy("qb", "cb")
-        .cogroup(right.groupBy("qb", "cb"))
+        left.groupBy("q", "c_of_q")
+        .cogroup(right.groupBy("q_of_c", "c"))
         .applyInPandas(nearest, HITS)
     )
 
@@ -187,10 +190,11 @@ def _knn_blocks(corpus, queries, k, query_count, block_rows) -> DataFrame:
 def near_duplicate_pairs(
     corpus: DataFrame,
     threshold: float = DUPLICATE_SIMILARITY,
-    method: str = "lsh",
+    method: str = "auto",
     bits: int | None = None,
     miss: float = 1e-6,
     salts: int = 16,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Every vector that has an earlier one at similarity ≥ ``threshold``, paired with
     the earliest such vector: (vec_id, duplicate_of, similarity).
@@ -199,19 +203,20 @@ def near_duplicate_pairs(
     never all pairs of the group. Equal vectors are folded to one representative
     before anything is compared.
 
-    ``method='lsh'`` compares vectors that share a sign-hash bucket; the number
-    of bands is derived so that a pair exactly at the threshold is overlooked
-    with probability ``miss`` at most (closer pairs far less). ``'exact'``
-    compares everything block by block.
+    ``method='exact'`` compares everything block by block. ``'lsh'`` compares
+    vectors that share a sign-hash bucket; the number of bands is derived so
+    that a pair exactly at the threshold is overlooked with probability ``miss``
+    at most (closer pairs far less). ``'auto'`` is exact up to ``EXACT_ROWS``
+    distinct vectors, where the square of the table is still cheap.
     """
     vectors = corpus.select("vec_id", "embedding")
     distinct = vectors.groupBy("embedding").agg(F.min("vec_id").alias("rep"))
     distinct = cut_lineage(distinct, "distinct-vectors")
-    if method == "exact":
-        links = _links_exact(distinct, threshold)
+    rows = max(2, distinct.count())
+    if method == "exact" or (method == "auto" and rows <= EXACT_ROWS):
+        links = _links_exact(distinct, threshold, rows, block_rows)
     else:
         if bits is None:
-            rows = max(2, distinct.count())
             bits = min(24, max(8, math.ceil(math.log2(rows))))
         links = _links_lsh(distinct, threshold, bits, bands_needed(threshold, bits, miss), salts)
     # copies of a representative point to its own partner, or to it
@@ -284,13 +289,17 @@ def _verify(pairs: DataFrame, distinct: DataFrame, threshold: float) -> DataFram
 LINKS = "rep long, partner long, similarity double"
 
 
-def _links_exact(distinct: DataFrame, threshold: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    n = max(1, math.ceil(distinct.count() / block_rows))
+def _links_exact(
+    distinct: DataFrame, threshold: float, rows: int, block_rows: int
+) -> DataFrame:
+    n = max(1, math.ceil(rows / block_rows))
     mine = F.pmod(F.xxhash64("rep"), F.lit(n)).cast("long")
     blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    tagged = distinct.withColumn("a", mine)
-    later = tagged.withColumn("b", blocks)
-    earlier = tagged.withColumnRenamed("a", "b").withColumn("a", blocks)
+    later = distinct.select("rep", "embedding", mine.alias("a")).withColumn("b", blocks)
+    # fresh names: both sides come from one table
+    earlier = distinct.select(
+        F.col("rep").alias("other_rep"), F.col("embedding").alias("other"), mine.alias("d")
+    ).withColumn("c", blocks)
 
     def first_partner(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"rep": [], "partner": [], "similarity": []}).astype(
@@ -298,9 +307,9 @@ def _links_exact(distinct: DataFrame, threshold: float, block_rows: int = BLOCK_
         )
         if not len(x) or not len(y):
             return empty
-        y = y.sort_values("rep")
-        ids, others = x["rep"].to_numpy(), y["rep"].to_numpy()
-        similarity = matrix(x["embedding"]) @ matrix(y["embedding"]).T
+        y = y.sort_values("other_rep")
+        ids, others = x["rep"].to_numpy(), y["other_rep"].to_numpy()
+        similarity = matrix(x["embedding"]) @ matrix(y["other"]).T
         fits = (similarity >= threshold) & (others[None, :] < ids[:, None])
         rows = np.flatnonzero(fits.any(axis=1))
         first = fits[rows].argmax(axis=1)
@@ -308,7 +317,7 @@ def _links_exact(distinct: DataFrame, threshold: float, block_rows: int = BLOCK_
             {"rep": ids[rows], "partner": others[first], "similarity": similarity[rows, first]}
         )
 
-    found = later.groupBy("a", "b").cogroup(earlier.groupBy("a", "b")).applyInPandas(
+    found = later.groupBy("a", "b").cogroup(earlier.groupBy("c", "d")).applyInPandas(
         first_partner, LINKS
     )
     return found.groupBy("rep").agg(

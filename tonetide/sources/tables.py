@@ -39,8 +39,7 @@ def with_day(df: DataFrame, time: str = "timestamp", table: str = "system_logs")
 
 
 def write_partitioned(df: DataFrame, path: str, by: list[str], mode: str = "append") -> None:
-    """Write with one shuffle on the partition columns and time, so that each
-    partition gets few, time-sorted files and a large one is still split."""
+    """Parquet by partition columns; ``overwrite`` replaces only the partitions it writes."""
     writer = df.write.mode(mode).partitionBy(*by)
     if mode == "overwrite":
         writer = writer.option("partitionOverwriteMode", "dynamic")
@@ -48,7 +47,8 @@ def write_partitioned(df: DataFrame, path: str, by: list[str], mode: str = "appe
 
 
 def write_monthly(raw: DataFrame, path: str, mode: str = "append") -> None:
-    """Raw rows into month partitions (y, m)."""
+    """Raw rows into month partitions (y, m), range-partitioned by time: each month gets
+    few, time-ordered files, and a large one is still written by many tasks."""
     rows = with_month(raw).drop("partition_name")
     write_partitioned(rows.repartitionByRange("y", "m", "timestamp"), path, ["y", "m"], mode)
 

@@ -61,15 +61,14 @@ def candidate_stream(messages: DataFrame, already_scored: DataFrame | None = Non
     )
 
 
-def outcomes_of_batch(candidates: DataFrame, scorer: Scorer | None = None) -> DataFrame:
-    """Outcome rows of one micro-batch: rejects as they are, one scored row per new hash.
+def fold_candidates(candidates: DataFrame) -> DataFrame:
+    """Rows of one micro-batch that get an outcome: all rejects, one row per new hash.
 
     Equal hashes fold into the earliest message (timestamp, then source_id) with
-    map-side combining; known hashes have no marker and fall away. Scoring comes
-    last, so repeats never reach the model.
+    map-side combining; known hashes have no marker and fall away.
     """
     order = F.struct("row.timestamp", "row.source_id")
-    picked = (
+    return (
         candidates.groupBy("outcome_key")
         .agg(
             F.min_by("row", F.when(F.col("row").isNotNull(), order)).alias("row"),
@@ -78,8 +77,12 @@ def outcomes_of_batch(candidates: DataFrame, scorer: Scorer | None = None) -> Da
         .filter(F.col("is_new") | (F.col("row.kind") == "reject"))
         .select("row.*")
     )
-    results = score_sentiment(picked.filter("kind = 'result'"), scorer)
-    rejects = picked.filter("kind = 'reject'")
+
+
+def outcomes_of(folded: DataFrame, scorer: Scorer | None = None) -> DataFrame:
+    """Folded rows with scores. Only rows to score reach the model."""
+    results = score_sentiment(folded.filter("kind = 'result'"), scorer)
+    rejects = folded.filter("kind = 'reject'")
     return results.unionByName(rejects, allowMissingColumns=True).select(*OUTCOME_COLUMNS)
 
 
@@ -93,16 +96,18 @@ def stream_pipeline(
 ) -> StreamingQuery:
     """Score a message stream into the outcome table at ``path`` (by kind and batch).
 
-    The folded batch is staged once and then scored and written in one go; a
-    replayed batch overwrites its own partitions, so every result and reject is
-    stored exactly once. ``interval_seconds=None`` drains what is available.
+    The stateful step runs once per micro-batch: its folded rows are kept while
+    they are scored and written in one go. A replayed batch overwrites its own
+    partitions, so every result and reject is stored exactly once.
+    ``interval_seconds=None`` drains what is available.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        outcomes = outcomes_of_batch(batch.persist(), scorer)
+        folded = fold_candidates(batch).persist()
+        outcomes = outcomes_of(folded, scorer)
         rows = outcomes.withColumn("batch_id", F.lit(batch_id).cast("long"))
         tables.write_partitioned(rows, path, ["kind", "batch_id"], "overwrite")
-        batch.unpersist()
+        folded.unpersist()
 
     return sinks.start(candidate_stream(messages, already_scored), write, checkpoint, interval_seconds)
 
