@@ -109,22 +109,27 @@ def sentiment_stats(
         rows = rows.filter(F.col("timestamp") >= F.lit(time_from).cast("timestamp_ntz"))
     if time_to:
         rows = rows.filter(F.col("timestamp") <= F.lit(time_to).cast("timestamp_ntz"))
-    per_label = rows.groupBy("sentiment_label").agg(
+    per_label = rows.groupBy(F.col("sentiment_label").alias("sentiment")).agg(
         F.count(F.lit(1)).alias("n"),
         F.sum("sentiment_score").alias("score"),
         F.sum("confidence_score").alias("confidence"),
     )
-    measures = [
-        F.coalesce(F.sum("n"), F.lit(0)).alias("count"),
-        F.coalesce(F.sum("score").cast("double") / F.sum("n"), F.lit(0.0)).alias("avg_score"),
-        F.coalesce(F.sum("confidence").cast("double") / F.sum("n"), F.lit(0.0)).alias(
-            "avg_confidence"
-        ),
-    ]
-    total = per_label.agg(*measures).select(F.lit("(total)").alias("sentiment"), "*")
-    return per_label.groupBy(F.col("sentiment_label").alias("sentiment")).agg(
-        *measures
-    ).unionByName(total)
+
+    def line(name: Column, n: Column, score: Column, confidence: Column) -> Column:
+        return F.struct(
+            name.alias("sentiment"),
+            F.coalesce(n, F.lit(0)).alias("count"),
+            F.coalesce(score.cast("double") / n, F.lit(0.0)).alias("avg_score"),
+            F.coalesce(confidence.cast("double") / n, F.lit(0.0)).alias("avg_confidence"),
+        )
+
+    # a handful of label rows folded into one, so that one scan gives labels and total
+    labels = F.collect_list(
+        line(F.col("sentiment"), F.col("n"), F.col("score"), F.col("confidence"))
+    )
+    total = line(F.lit("(total)"), F.sum("n"), F.sum("score"), F.sum("confidence"))
+    folded = per_label.agg(labels.alias("labels"), total.alias("total"))
+    return folded.select(F.inline(F.concat("labels", F.array("total"))))
 
 
 def recent_window_summary(
