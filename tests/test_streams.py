@@ -150,3 +150,22 @@ def test_broken_messages_become_rejects(spark):
     messages = topics.read_sentiment_topic(spark, "parquet", {"path": path})
     found = pipeline.drain_pipeline(messages).collect()
     assert [r.error_type for r in found] == ["missing_hash"] * 3 and {r.source for r in found} == {"unknown"}
+
+
+def test_late_rows_are_counted(spark):
+    """A row two days behind the watermark is refused by the roll-up, and counted."""
+    path = fresh_path(spark, "late")
+    layout = (
+        "source_id string, timestamp timestamp, source_type string, sentiment_score decimal(5,4), "
+        "sentiment_label string, confidence_score decimal(5,4)"
+    )
+    day = dt.datetime(2024, 1, 5)
+    for moment in (day, day + dt.timedelta(hours=9), day - dt.timedelta(days=2)):
+        row = [("s", moment, "a", None, "neutral", None)]
+        spark.createDataFrame(row, layout).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(layout).option("maxFilesPerTrigger", 1).parquet(path)
+    out = fresh_path(spark, "hours")
+    query = sinks.start(live.stream_hourly_summary(stream), sinks.results_writer(out), None, None)
+    query.awaitTermination()
+    assert sinks.late_rows(query) == 1
+    assert [r.hour for r in spark.read.parquet(out).collect()] == [day]

@@ -1,6 +1,7 @@
 import datetime as dt
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tonetide.functions.vectors import bands_needed
 from tonetide.operators import search, vectors
@@ -163,3 +164,11 @@ def test_embedding_buckets_are_md5_based(spark):
     row = vectors.embed_text(spark.createDataFrame([(1, "Sky sky blue")], "doc_id long, text string"), 32).first()
     bucket = lambda w: int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % 32
     assert abs(row.embedding[bucket("sky")] - 2 / 5**0.5) < 1e-12
+
+
+def test_own_embedder(spark):
+    texts = spark.createDataFrame([(1, "abc"), (2, "a")], "doc_id long, text string")
+    made = vectors.embed_text(
+        texts, embedder=lambda df: df.withColumn("embedding", F.array(F.length("text").cast("double"), F.lit(1.0)))
+    )
+    assert {r.doc_id: r.embedding for r in made.collect()} == {1: [3.0, 1.0], 2: [1.0, 1.0]}

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -31,12 +31,24 @@ EXACT_ROWS = 50_000
 TIE_DIGITS = 12
 
 
-def embed_text(texts: DataFrame, dim: int = 64, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Deterministic unit vector per text: token counts in ``dim`` hash buckets.
+def embed_text(
+    texts: DataFrame,
+    dim: int = 64,
+    key: str = "doc_id",
+    text: str = "text",
+    embedder: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
+    """Vector per text: (key, embedding).
+
+    ``embedder`` plugs in a model: it gets (key, text) and adds ``embedding``.
+    The default is deterministic: token counts in ``dim`` hash buckets, scaled to
+    length one.
 
     The bucket of a token is its first eight md5 hex digits modulo ``dim``. Texts
     without tokens have a NULL vector. Row-local, no shuffle.
     """
+    if embedder is not None:
+        return embedder(texts.select(key, text)).select(key, "embedding")
     embed = token_counts_to_unit(dim)
     made = with_once(texts.select(key, text), {"embedding": embed(tokens(F.col(text)))})
     return made.select(key, "embedding")
@@ -98,12 +110,14 @@ def knn_search(
     corpus: DataFrame,
     queries: DataFrame,
     k: int = 10,
+    metadata: Sequence[str] = (),
     query_bytes_bound: int = QUERY_BYTES_BOUND,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Exact k nearest vectors by cosine distance for every query row.
+    """Exact k nearest vectors by cosine distance for every query row: query_id, vec_id,
+    distance, similarity, rank and the ``metadata`` columns of the corpus.
 
-    ``corpus``: vec_id, embedding; ``queries``: query_id, embedding; all of one
+    ``corpus``: vec_id, embedding, …; ``queries``: query_id, embedding; all of one
     width. Query tables whose measured size is below the bound travel with the
     task and the corpus is scanned in place: one top-k list per partition and
     query leaves a task. Larger query tables are joined block by block.
@@ -115,11 +129,12 @@ def knn_search(
     else:
         hits = _knn_blocks(corpus, queries, k, count, block_rows)
     order = Window.partitionBy("query_id").orderBy("distance", "vec_id")
-    return (
+    found = (
         hits.withColumn("rank", F.row_number().over(order))
         .filter(F.col("rank") <= k)
         .withColumn("similarity", 1.0 - F.col("distance"))
     )
+    return found.join(corpus.select("vec_id", *metadata), "vec_id") if metadata else found
 
 
 def _knn_scan(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:

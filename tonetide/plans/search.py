@@ -24,8 +24,8 @@ def embed_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def knn_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten vectors nearest to the mean vector of every label."""
     corpus = fx.v_emb(spark, sf_dir)
-    hits = vectors.knn_search(corpus, fx.v_centroids(spark, sf_dir), 10)
-    return hits.join(corpus.select("vec_id", "label"), "vec_id").select(
+    hits = vectors.knn_search(corpus, fx.v_centroids(spark, sf_dir), 10, ["label"])
+    return hits.select(
         "query_id",
         "vec_id",
         F.col("rank").cast("long").alias("rank"),

@@ -41,6 +41,19 @@ def results_writer(path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
+def late_rows(query: StreamingQuery) -> int:
+    """Rows a query's stateful steps refused because they came after the watermark.
+
+    Counted over the progress reports the query still holds
+    (``spark.sql.streaming.numRecentProgressUpdates``).
+    """
+    return sum(
+        operator.numRowsDroppedByWatermark
+        for progress in query.recentProgress
+        for operator in progress.stateOperators
+    )
+
+
 def drain_to_table(
     stream: DataFrame, name: str, checkpoint: str | None = None, mode: str = "append"
 ) -> DataFrame:
