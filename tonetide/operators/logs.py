@@ -35,7 +35,20 @@ def parse_app_logs(lines: DataFrame, line: str = "value") -> DataFrame:
 
 
 def duration_ms(text: Column) -> Column:
-    """Duration text such as ``1.5ms``, ``250µs`` or ``1m2.5s`` in milliseconds."""
+    """Duration text such as ``1.5ms``, ``250µs`` or ``1m2.5s`` in milliseconds.
+
+    Most durations are one number and one unit; only the others are taken apart.
+    """
+    one = r"^(\d+(?:\.\d+)?)(h|m|s|ms|µs|ns)$"
+    unit = F.regexp_extract(text, one, 2)
+    factor = F.lit(None).cast("double")
+    for name, value in DURATION_UNITS_MS.items():
+        factor = F.when(unit == name, F.lit(value)).otherwise(factor)
+    single = F.regexp_extract(text, one, 1).try_cast("double") * factor
+    return F.coalesce(single, _compound_ms(text))
+
+
+def _compound_ms(text: Column) -> Column:
     total = None
     for unit, factor in DURATION_UNITS_MS.items():
         # "m" must not match the start of "ms"
