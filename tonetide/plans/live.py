@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonetide.operators import ingest, metrics, throttle
+from tonetide.operators import ingest, throttle
 from tonetide.operators.scoring import lexicon_scorer
 from tonetide.plans.views import TOKENS, weigh
 from tonetide.session import ROCKSDB_PROVIDER, fresh_path

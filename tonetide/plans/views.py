@@ -151,8 +151,7 @@ SELECT 'u' || (user_id % 7) AS source,
   CASE WHEN event_type <> 'error' THEN CASE WHEN value > 200 THEN 'failure' ELSE 'success' END END AS write_status
 FROM events""",
     "v_access": f"""
-SELECT event_id AS id, CASE WHEN event_type = 'error' AND shape > 4 THEN 'ERROR'
-    WHEN event_type = 'error' THEN 'ERROR' ELSE 'INFO' END AS level,
+SELECT event_id AS id, CASE WHEN event_type = 'error' THEN 'ERROR' ELSE 'INFO' END AS level,
   'POST' AS method, '/webhook/' || event_type AS path,
   (CASE WHEN event_type = 'error' THEN 500 WHEN shape = 5 THEN 400 ELSE 200 END)::bigint AS status_code,
   value::decimal(12,2)::double AS duration_ms, '10.0.0.' || (user_id % 50) AS client_ip,
