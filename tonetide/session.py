@@ -44,17 +44,25 @@ def build_session(
     return builder.getOrCreate()
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (tests, a laptop) a temporary folder is
-    made and remembered in the session.
+    Where it is unset, a local master gets a temporary folder, the same one for the whole
+    application; on a cluster the driver's disk is no shared folder, so that is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="tonetide-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if folder:
+        return folder
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    app = context.applicationId
+    if app not in _OWN:
+        _OWN[app] = tempfile.mkdtemp(prefix="tonetide-")
+    return _OWN[app]
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
