@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tonetide.llm import mixing, quality_rules, simhash
+from tonetide.llm import mixing, pieces, quality_rules, simhash
 
 QUERIES = [
     simhash.op1_simhash_dedup,
     quality_rules.op2_quality_rules,
     mixing.op7_source_mixing,
+    pieces.op9_sentencepiece,
 ]
 
 
