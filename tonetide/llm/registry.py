@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tonetide.llm import mixing, pieces, quality_rules, simhash
+from tonetide.llm import debruijn, mixing, pieces, quality_rules, simhash
 
 QUERIES = [
     simhash.op1_simhash_dedup,
     quality_rules.op2_quality_rules,
     mixing.op7_source_mixing,
     pieces.op9_sentencepiece,
+    debruijn.op10_substring_dedup,
 ]
 
 
