@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from tonetide.llm import debruijn, mixing, pieces, quality_rules, simhash
 
 QUERIES = [
@@ -14,7 +15,7 @@ QUERIES = [
 
 
 def queries():
-    return {f.__name__: f for f in QUERIES}
+    return {f.__name__: f for f in QUERIES} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
