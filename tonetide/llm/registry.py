@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tonetide.llm import debruijn, mixing, pieces, quality_rules, simhash
+from tonetide.llm import debruijn, mixing, pieces, quality_rules, simhash, syncmers
 
 QUERIES = [
     simhash.op1_simhash_dedup,
     quality_rules.op2_quality_rules,
     mixing.op7_source_mixing,
+    syncmers.op8_syncmer_fingerprints,
     pieces.op9_sentencepiece,
     debruijn.op10_substring_dedup,
 ]
