@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tonetide.llm import debruijn, mixing, pieces, quality_rules, simhash, syncmers, token_files
+from tonetide.llm import debruijn, mixing, pieces, quality_model, quality_rules, simhash, syncmers, token_files
 
 QUERIES = [
     simhash.op1_simhash_dedup,
     quality_rules.op2_quality_rules,
     token_files.op5_token_files,
+    quality_model.op6_quality_classifier,
     mixing.op7_source_mixing,
     syncmers.op8_syncmer_fingerprints,
     pieces.op9_sentencepiece,
