@@ -56,3 +56,11 @@ class Copies:
         """(id, mark, first) of the rows whose text has a smaller id elsewhere."""
         narrow = self.documents.where(self.bitmap.test(F.col("mark"))).select("id", "mark", "mark2")
         return narrow.join(self.groups, ["mark", "mark2"]).where("id > first").drop("mark2")
+
+    def distinct_texts(self) -> DataFrame:
+        """One row for each text, with or without id (text, mark, mark2)."""
+        copied = self.bitmap.test(F.col("mark"))
+        columns = ["text", "mark", "mark2"]
+        # copies are dropped inside the tasks before the rest is moved
+        some = self.documents.where(copied).select(columns).dropDuplicates(["mark", "mark2"])
+        return self.documents.where(~copied).select(columns).union(some)
