@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tonetide.llm import debruijn, mixing, pieces, quality_model, quality_rules, simhash, suffix_dedup, syncmers, token_files
+from tonetide.llm import debruijn, katz, mixing, pieces, quality_model, quality_rules, simhash, suffix_dedup, syncmers, token_files
 
 QUERIES = [
     simhash.op1_simhash_dedup,
     quality_rules.op2_quality_rules,
+    katz.op3_katz_backoff,
     suffix_dedup.op4_suffix_dedup,
     token_files.op5_token_files,
     quality_model.op6_quality_classifier,
