@@ -5,22 +5,22 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as entry
 from tonetide.operators import ingest, scoring, summaries, texts
+from tonetide.plans import catalog
 from tonetide.session import fresh_path
 from tonetide.sources import fixtures as fx
 from tonetide.sources import tables
 
 SF = "/root/testdata/sf0.001"
 # steps that run Python in batches, by design
-PYTHON_STEPS = {"embed_text", "knn_search", "throttle_replay"}
+PYTHON_STEPS = {"embed_text", "knn_search"}
 # run while the plan is built (they write tables first)
 EAGER = {
     "near_duplicate_pairs", "drop_near_duplicates", "write_aggregates", "partition_monthly",
     "partition_daily", "upsert_embeddings", "evict_embeddings", "read_sentiment_topic",
     "write_results_batch",
 }
-QUERIES = entry.queries()
+QUERIES = catalog.queries()
 
 
 def plan_of(df) -> str:

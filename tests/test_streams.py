@@ -97,7 +97,7 @@ def test_pipeline_restarts_and_never_repeats(spark):
     scorer = lexicon_scorer(fx.LEXICON)
 
     def run():
-        messages = topics.read_sentiment_topic(spark, "parquet", {"path": path}, per_trigger=1)
+        messages = topics.read_sentiment_topic(spark, "parquet", {"path": path, "maxFilesPerTrigger": "1"})
         return pipeline.drain_pipeline(messages, scorer, out, checkpoint=checkpoint)
 
     published(spark, path, table.filter(F.col("timestamp") < noon))

@@ -31,18 +31,3 @@ def literal_table(spark: SparkSession, rows: Sequence[Sequence], schema: str) ->
     if not structs:
         return spark.createDataFrame([], schema)
     return spark.range(1, numPartitions=1).select(F.inline(F.array(*structs)))
-
-
-SMALL_INPUT_BYTES = 512 * 1024 * 1024
-
-
-def spread_small(df: DataFrame, limit: int = SMALL_INPUT_BYTES) -> DataFrame:
-    """Spread a scan that is small (by the planner's size estimate) but costly per row.
-
-    A small file is one row group, hence one task. Beyond ``limit`` there are
-    enough row groups, and moving the rows would cost more than it brings.
-    """
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if int(str(size)) > limit:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)

@@ -65,12 +65,14 @@ def drop_missing_hash(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
 def append_new_raw(existing: DataFrame, batch: DataFrame) -> DataFrame:
     """Rows of ``batch`` to append: unseen hashes only, one row per hash.
 
-    Equal hashes inside the batch are folded first (earliest timestamp, then
-    source_id), so a hash that fills a third of the batch shrinks before the
-    shuffle; the anti join then reuses the partitioning by hash.
+    A missing hash is filled from the content first; rows that have neither are left out
+    (``drop_missing_hash`` names them). Equal hashes inside the batch are folded
+    (earliest timestamp, then source_id), so a hash that fills a third of the batch
+    shrinks before the shuffle; the anti join then reuses the partitioning by hash.
     """
     order = [F.col(c) for c in ("timestamp", "source_id", "id") if c in batch.columns]
-    fresh = oldest(batch, ["content_hash"], order)
+    hashed = content_hash(batch) if "content" in batch.columns else batch
+    fresh = oldest(drop_missing_hash(hashed)[0], ["content_hash"], order)
     return fresh.join(existing.select("content_hash"), "content_hash", "left_anti").select(
         *batch.columns
     )

@@ -5,11 +5,10 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tonetide.functions.measure import exact_mean
-from tonetide.operators.ordering import rows_at_ranks
 from tonetide.schemas import LATENCY_BOUNDS
 
 
@@ -90,40 +89,41 @@ PERCENTILES = {"p50": 0.50, "p95": 0.95}
 
 
 def performance_rollup(metrics: DataFrame) -> DataFrame:
-    """Mean, exact p50 and p95, and maximum per component, metric and hour.
+    """Mean, exact p50 and p95, and maximum per component, metric, unit and hour.
 
-    Percentiles interpolate between the two nearest ranks. They are found by
-    rank selection over value buckets instead of gathering a group's values.
+    Rows are first counted per distinct value, so a value that most rows share is one row;
+    percentiles interpolate between the two nearest ranks of the running count. NULL units
+    form groups of their own; NULL values count as samples only.
     """
     keys = ["component", "metric_name", "metric_unit", "hour"]
-    rows = metrics.withColumn("hour", F.date_trunc("hour", "timestamp").cast("timestamp_ntz"))
-    base = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("samples"),
-        exact_mean("metric_value").alias("avg_value"),
-        F.max("metric_value").cast("double").alias("max_value"),
-    )
-    position = {n: (F.col("group_size") - 1) * F.lit(p) + 1 for n, p in PERCENTILES.items()}
-    wanted = F.array_distinct(
-        F.array(
-            *[f(p).cast("long") for p in position.values() for f in (F.floor, F.ceil)]
-        )
+    values = (
+        metrics.withColumn("hour", F.date_trunc("hour", "timestamp").cast("timestamp_ntz"))
+        .groupBy(*keys, "metric_value")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("known", F.when(F.col("metric_value").isNotNull(), F.col("n")).otherwise(0))
     )
-    picked = rows_at_ranks(
-        rows.select(*keys, "metric_value"),
-        keys,
-        ["metric_value"],
-        F.floor(F.log2(F.abs("metric_value").cast("double") + 1) * 4)
-        * F.signum(F.col("metric_value").cast("double")),
-        wanted,
+    whole = Window.partitionBy(*keys)
+    rising = whole.orderBy("metric_value").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = values.withColumns(
+        {"upto": F.sum("known").over(rising), "size": F.sum("known").over(whole)}
     )
     columns = []
-    for name, at in position.items():
-        low = F.max(F.when(F.col("rank") == F.floor(at), F.col("metric_value"))).cast("double")
-        high = F.max(F.when(F.col("rank") == F.ceil(at), F.col("metric_value"))).cast("double")
+    for name, share in PERCENTILES.items():
+        at = (F.col("size") - 1) * F.lit(share) + 1
+        low, high = (
+            F.min(F.when(F.col("upto") >= f(at), F.col("metric_value"))).cast("double")
+            for f in (F.floor, F.ceil)
+        )
         weight = F.max(at - F.floor(at))
         columns.append(F.round(low + (high - low) * weight, 6).alias(f"{name}_value"))
-    percentiles = picked.groupBy(*keys).agg(*columns)
-    return base.join(percentiles, keys)
+    return ranked.groupBy(*keys).agg(
+        F.sum("n").alias("samples"),
+        F.try_divide(
+            F.sum(F.col("metric_value") * F.col("known")).cast("double"), F.sum("known")
+        ).alias("avg_value"),
+        F.max("metric_value").cast("double").alias("max_value"),
+        *columns,
+    )
 
 
 def access_log_summary(access: DataFrame) -> DataFrame:

@@ -91,6 +91,16 @@ def refresh_summary(
     return kept.unionByName(fresh)
 
 
+def _sums(name: str, value: Column) -> list[Column]:
+    """Sum and number of the values that are there."""
+    return [F.sum(value).alias(name), F.count(value).alias(f"{name}_n")]
+
+
+def _mean(total: Column, n: Column) -> Column:
+    """NULL where no row has a value."""
+    return F.try_divide(total.cast("double"), n)
+
+
 def sentiment_stats(
     results: DataFrame,
     source: str | None = None,
@@ -111,23 +121,24 @@ def sentiment_stats(
         rows = rows.filter(F.col("timestamp") <= F.lit(time_to).cast("timestamp_ntz"))
     per_label = rows.groupBy(F.col("sentiment_label").alias("sentiment")).agg(
         F.count(F.lit(1)).alias("n"),
-        F.sum("sentiment_score").alias("score"),
-        F.sum("confidence_score").alias("confidence"),
+        *_sums("score", F.col("sentiment_score")),
+        *_sums("confidence", F.col("confidence_score")),
     )
 
-    def line(name: Column, n: Column, score: Column, confidence: Column) -> Column:
+    def line(name: Column, n: Column, fold=lambda column: column) -> Column:
+        score, scores, confidence, confidences = (
+            fold(F.col(c)) for c in ("score", "score_n", "confidence", "confidence_n")
+        )
         return F.struct(
             name.alias("sentiment"),
             F.coalesce(n, F.lit(0)).alias("count"),
-            F.coalesce(score.cast("double") / n, F.lit(0.0)).alias("avg_score"),
-            F.coalesce(confidence.cast("double") / n, F.lit(0.0)).alias("avg_confidence"),
+            F.coalesce(_mean(score, scores), F.lit(0.0)).alias("avg_score"),
+            F.coalesce(_mean(confidence, confidences), F.lit(0.0)).alias("avg_confidence"),
         )
 
     # a handful of label rows folded into one, so that one scan gives labels and total
-    labels = F.collect_list(
-        line(F.col("sentiment"), F.col("n"), F.col("score"), F.col("confidence"))
-    )
-    total = line(F.lit("(total)"), F.sum("n"), F.sum("score"), F.sum("confidence"))
+    labels = F.collect_list(line(F.col("sentiment"), F.col("n")))
+    total = line(F.lit("(total)"), F.sum("n"), F.sum)
     folded = per_label.agg(labels.alias("labels"), total.alias("total"))
     return folded.select(F.inline(F.concat("labels", F.array("total"))))
 
@@ -167,13 +178,13 @@ def bucket_sentiment(results: DataFrame, width: str = "1 hour") -> DataFrame:
     own = F.coalesce(F.col("at"), F.lit(0)) == 0
     cells = rows.groupBy(*keys, "value").agg(
         F.sum(F.when(own, 1).otherwise(0)).alias("n"),
-        F.sum(F.when(own, F.col("sentiment_score"))).alias("score"),
-        F.sum(F.when(own, F.col("confidence_score"))).alias("confidence"),
+        *_sums("score", F.when(own, F.col("sentiment_score"))),
+        *_sums("confidence", F.when(own, F.col("confidence_score"))),
     )
     return cells.groupBy(*keys).agg(
         F.sum("n").alias("count"),
-        (F.sum("score").cast("double") / F.sum("n")).alias("avg_score"),
-        (F.sum("confidence").cast("double") / F.sum("n")).alias("avg_confidence"),
+        _mean(F.sum("score"), F.sum("score_n")).alias("avg_score"),
+        _mean(F.sum("confidence"), F.sum("confidence_n")).alias("avg_confidence"),
         F.array_sort(F.collect_list("value")).alias("entities"),
     )
 
@@ -250,6 +261,7 @@ def sentiment_trend(
     ).agg(
         F.count(F.lit(1)).alias("volume"),
         F.sum("sentiment_score").cast("decimal(28,4)").alias("score_sum"),
+        F.count("sentiment_score").alias("scores"),
     )
     rolling = (
         Window.partitionBy("dimension").orderBy("period").rowsBetween(-(periods - 1), 0)
@@ -259,9 +271,9 @@ def sentiment_trend(
         "dimension",
         "period",
         "volume",
-        (F.col("score_sum").cast("double") / F.col("volume")).alias("avg_score"),
+        _mean(F.col("score_sum"), F.col("scores")).alias("avg_score"),
         rolling_volume.alias("rolling_volume"),
-        (
-            F.sum("score_sum").over(rolling).cast("double") / rolling_volume
-        ).alias("rolling_score"),
+        _mean(F.sum("score_sum").over(rolling), F.sum("scores").over(rolling)).alias(
+            "rolling_score"
+        ),
     )

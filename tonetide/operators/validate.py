@@ -88,7 +88,8 @@ def result_constraints() -> dict[str, Column]:
         "timestamp_null": F.col("timestamp").isNull(),
         "source_type_null": F.col("source_type").isNull(),
         "source_type_length": F.length("source_type") > 50,
-        "label_domain": ~F.col("sentiment_label").isin(*SENTIMENT_LABELS),
+        "label_domain": F.col("sentiment_label").isNull()
+        | ~F.col("sentiment_label").isin(*SENTIMENT_LABELS),
         "score_range": score.isNull() | ~score.between(-1, 1),
         "confidence_range": confidence.isNull() | ~confidence.between(0, 1),
     }

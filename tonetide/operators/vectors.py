@@ -26,7 +26,8 @@ from tonetide.session import cut_lineage
 QUERY_BYTES_BOUND = 16 * 1024 * 1024
 QUERY_STRIP = 256
 BLOCK_ROWS = 4096
-EXACT_ROWS = 50_000
+#: Bits of a sign-hash code. Buckets stay small while 2 ** bits is about the number of rows.
+BITS = 16
 TIE_DIGITS = 12
 
 
@@ -116,13 +117,16 @@ def knn_search(
     """Exact k nearest vectors by cosine distance for every query row: query_id, vec_id,
     distance, similarity, rank and the ``metadata`` columns of the corpus.
 
-    ``corpus``: vec_id, embedding, …; ``queries``: query_id, embedding; all of one
-    width. Query tables whose measured size is below the bound travel with the
+    ``corpus``: vec_id, embedding, …; ``queries``: query_id, embedding. Vectors that are
+    NULL, zero or not as wide as the widest query neither find nor are found
+    (``split_vectors`` names them). Query tables whose measured size is below the bound travel with the
     task and the corpus is scanned in place: one top-k list per partition and
     query leaves a task. Larger query tables are joined block by block.
     """
     width = F.max(F.size("embedding"))
     count, dim = queries.agg(F.count(F.lit(1)), width).first()
+    corpus, _ = split_vectors(corpus, dim or 0)
+    queries, _ = split_vectors(queries, dim or 0)
     if count * (dim or 0) * 8 <= query_bytes_bound:
         hits = _knn_scan(corpus, queries, k)
     else:
@@ -204,8 +208,8 @@ def _knn_blocks(corpus, queries, k, query_count, block_rows) -> DataFrame:
 def near_duplicate_pairs(
     corpus: DataFrame,
     threshold: float = DUPLICATE_SIMILARITY,
-    method: str = "auto",
-    bits: int | None = None,
+    method: str = "lsh",
+    bits: int = BITS,
     miss: float = 1e-6,
     salts: int = 16,
     block_rows: int = BLOCK_ROWS,
@@ -217,21 +221,19 @@ def near_duplicate_pairs(
     never all pairs of the group. Equal vectors are folded to one representative
     before anything is compared.
 
-    ``method='exact'`` compares everything block by block. ``'lsh'`` compares
-    vectors that share a sign-hash bucket; the number of bands is derived so
-    that a pair exactly at the threshold is overlooked with probability ``miss``
-    at most (closer pairs far less). ``'auto'`` is exact up to ``EXACT_ROWS``
-    distinct vectors, where the square of the table is still cheap.
+    ``method='lsh'`` compares vectors that share a sign-hash bucket, at every size; the
+    number of bands is derived from ``bits`` so that a pair exactly at the threshold
+    is overlooked with probability ``miss`` at most (closer pairs far less).
+    ``'exact'`` compares everything block by block. NULL and zero vectors, and those
+    narrower than the widest, have no partner.
     """
-    vectors = corpus.select("vec_id", "embedding")
+    dim = corpus.agg(F.max(F.size("embedding"))).first()[0] or 0
+    vectors = split_vectors(corpus.select("vec_id", "embedding"), dim)[0]
     distinct = vectors.groupBy("embedding").agg(F.min("vec_id").alias("rep"))
     distinct = cut_lineage(distinct, "distinct-vectors")
-    rows = max(2, distinct.count())
-    if method == "exact" or (method == "auto" and rows <= EXACT_ROWS):
-        links = _links_exact(distinct, threshold, rows, block_rows)
+    if method == "exact":
+        links = _links_exact(distinct, threshold, distinct.count(), block_rows)
     else:
-        if bits is None:
-            bits = min(24, max(8, math.ceil(math.log2(rows))))
         links = _links_lsh(distinct, threshold, bits, bands_needed(threshold, bits, miss), salts)
     # copies of a representative point to its own partner, or to it
     members = vectors.join(distinct, "embedding").select("vec_id", "rep")

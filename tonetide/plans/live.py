@@ -1,11 +1,11 @@
-"""Queries: streams over the given tables, drained into tables, and the throttle replay."""
+"""Queries: streams over the given tables, drained into tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonetide.operators import ingest, throttle
+from tonetide.operators import ingest
 from tonetide.operators.scoring import lexicon_scorer
 from tonetide.plans.views import TOKENS, weigh
 from tonetide.session import ROCKSDB_PROVIDER, fresh_path
@@ -106,16 +106,12 @@ def stream_shift_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.drain_to_table(shifts, "shifts").withColumn("hour", _ntz("hour"))
 
 
-def throttle_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return throttle.throttle_replay(fx.v_requests(spark, sf_dir), 1, 2)
-
-
 QUERIES = {
     f.__name__: f
     for f in (
         read_sentiment_topic, write_results_batch, stream_pipeline, stream_dedup_ttl,
         stream_hourly_summary, stream_source_volume, stream_error_rate_alerts,
-        stream_threshold_alerts, stream_shift_alerts, throttle_replay,
+        stream_threshold_alerts, stream_shift_alerts,
     )
 }
 

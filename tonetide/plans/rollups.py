@@ -108,9 +108,10 @@ def performance_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def parse_access_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     parsed = logs.parse_access_logs(fx.v_access_lines(spark, sf_dir))
-    return parsed.filter("parsed").select(
+    return parsed.select(
         "id", "timestamp", "level", "method", "path",
         F.col("status_code").cast("long").alias("status_code"), "duration_ms", "client_ip", "error",
+        "parsed",
     )
 
 
@@ -321,7 +322,8 @@ SELECT id, CASE WHEN ok THEN date_trunc('millisecond', "timestamp") END AS "time
   CASE WHEN ok THEN message END AS message, ok AS parsed
 FROM (SELECT *, instr('0123456789abcdef', substr(md5(id::varchar), 1, 1)) <> 8 AS ok FROM v_logs)""",
     "parse_access_logs": """
-SELECT id, "timestamp", level, method, path, status_code, duration_ms, client_ip, error FROM v_access""",
+SELECT event_id AS id, "timestamp", level, method, path, status_code, duration_ms, client_ip, error,
+  id IS NOT NULL AS parsed FROM events LEFT JOIN v_access ON id = event_id""",
     "log_volume": """
 SELECT date_trunc('day', "timestamp")::timestamp AS day, component, count(*) AS lines,
   count(*) FILTER (WHERE level = 'DEBUG') AS debug, count(*) FILTER (WHERE level = 'INFO') AS info,

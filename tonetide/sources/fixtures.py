@@ -11,7 +11,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonetide.functions.stage import literal_table, spread_small, with_once
+from tonetide.functions.stage import literal_table, with_once
 from tonetide.operators.scoring import lexicon_scorer
 from tonetide.operators.texts import Instrument, with_entities
 from tonetide.operators.vectors import split_vectors
@@ -33,14 +33,9 @@ SEARCH_TERMS = ((1, "The"), (2, "que"), (3, "und"), (3, "der"), (4, "les"), (4,
 # -------------------------------------------------------------------------------
 
 
-TEXT_TABLES = ("documents", "pages")
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table. Text tables small enough to sit in a few row groups are spread
-    over the cores; larger ones are read as they are split."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread_small(df) if name in TEXT_TABLES else df
+    """A given table."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,9 +43,9 @@ def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     layout = table(spark, sf_dir, "events").schema
     return (
         spark.readStream.schema(layout)
-        .option("pathGlobFilter", "events.parquet")
         .option("maxFilesPerTrigger", 1)
-        .parquet(sf_dir)
+        # a file stream wants a folder or a pattern; this one fits a file and a folder of parts
+        .parquet(f"{sf_dir}/events.parque[t]")
         .withColumn("ts", F.col("ts").cast("timestamp"))
     )
 
@@ -424,18 +419,6 @@ def v_access_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.select(F.col("event_id").alias("id"), value.alias("value"))
 
 
-def v_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Request log for the throttle: a client per event type, times folded into two hours."""
-    return table(spark, sf_dir, "events").select(
-        F.col("event_id").alias("id"),
-        F.col("event_type").alias("client_id"),
-        F.expr(
-            f"{START} + make_dt_interval(0, 0, 0, "
-            "CAST(pmod(unix_micros(CAST(ts AS TIMESTAMP)), 7200000000) / 1000000.0 AS DECIMAL(18,6)))"
-        ).alias("timestamp"),
-    )
-
-
 def v_emb(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     created = F.expr(f"{START} + make_dt_interval(0, 0, CAST(vec_id AS INT), 0)")

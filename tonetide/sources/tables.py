@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,9 +68,23 @@ def write_results_batch(results: DataFrame, path: str, batch_id: int) -> None:
 
 
 def write_aggregates(aggregates: DataFrame, path: str) -> None:
-    """Aggregated buckets, replacing the days they belong to."""
+    """Aggregated buckets; one that is stored already is replaced, its day's others stay.
+
+    Only the days written to are read and rewritten.
+    """
     rows = aggregates.withColumn("bucket_date", F.to_date("time_bucket"))
-    write_partitioned(rows, path, ["bucket_date"], "overwrite")
+    try:
+        stored = aggregates.sparkSession.read.parquet(path)
+    except AnalysisException:  # the first write
+        stored = None
+    if stored is not None:
+        keys = ["time_bucket", "source", "sentiment"]
+        day = stored.join(rows.select("bucket_date").distinct(), "bucket_date", "left_semi")
+        new = rows.select(*[F.col(k).alias(f"new_{k}") for k in keys])
+        same = [F.col(k).eqNullSafe(F.col(f"new_{k}")) for k in keys]
+        others = day.join(new, same, "left_anti").select(*rows.columns)
+        rows = cut_lineage(others.unionByName(rows), "aggregates")
+    write_partitioned(rows.repartition("bucket_date"), path, ["bucket_date"], "overwrite")
 
 
 def write_embedding_buckets(embeddings: DataFrame, path: str, buckets: int = 64) -> None:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tonetide.functions import payload
 from tonetide.functions.stage import with_once
-from tonetide.schemas import TOPICS, WRITER_BATCH_ROWS
+from tonetide.schemas import TOPICS, WRITER_BATCH_ROWS, WRITER_INTERVAL_SECONDS
 
 FILE_SCHEMA = (
     "topic string, key string, value string, "
@@ -20,26 +20,30 @@ def read_topic(
     kind: str = "raw_data",
     format: str = "kafka",
     options: dict[str, str] | None = None,
-    per_trigger: int = WRITER_BATCH_ROWS,
+    batch_rows: int = WRITER_BATCH_ROWS,
+    batch_seconds: int = WRITER_INTERVAL_SECONDS,
 ) -> DataFrame:
     """A topic from its earliest message: key, value and a ``message_key`` unique per message.
 
-    ``format='kafka'`` needs ``kafka.bootstrap.servers`` in ``options`` and takes
-    at most ``per_trigger`` messages per micro-batch; any file format needs
-    ``path`` and takes ``per_trigger`` files.
+    ``format='kafka'`` needs ``kafka.bootstrap.servers`` in ``options``. A micro-batch
+    starts once ``batch_rows`` messages wait or ``batch_seconds`` have passed, and takes all
+    there are; set ``maxOffsetsPerTrigger`` in ``options`` to limit it. Any file format
+    needs ``path``.
     """
-    reader = spark.readStream.format(format).options(**(options or {}))
+    reader = spark.readStream.format(format)
     if format == "kafka":
         reader = (
             reader.option("subscribe", TOPICS[kind])
             .option("startingOffsets", "earliest")
-            .option("maxOffsetsPerTrigger", per_trigger)
+            .option("minOffsetsPerTrigger", batch_rows)
+            .option("maxTriggerDelay", f"{batch_seconds}s")
+            .options(**(options or {}))
         )
         unique = F.concat_ws("-", "topic", "partition", "offset")
         return reader.load().select(
             F.col("key").cast("string"), F.col("value").cast("string"), unique.alias("message_key")
         )
-    stream = reader.schema(FILE_SCHEMA).option("maxFilesPerTrigger", per_trigger).load()
+    stream = reader.schema(FILE_SCHEMA).options(**(options or {})).load()
     unique = F.concat_ws("-", "_metadata.file_name", "_metadata.row_index")
     return stream.filter(F.col("topic") == TOPICS[kind]).select(
         "key", "value", unique.alias("message_key")
@@ -50,11 +54,10 @@ def read_sentiment_topic(
     spark: SparkSession,
     format: str = "kafka",
     options: dict[str, str] | None = None,
-    per_trigger: int = WRITER_BATCH_ROWS,
 ) -> DataFrame:
     """Messages of the sentiment topic as rows: source, source_id, content, content_hash,
     timestamp. Values that are no JSON object give NULL content and hash."""
-    return parse_messages(read_topic(spark, "raw_data", format, options, per_trigger))
+    return parse_messages(read_topic(spark, "raw_data", format, options))
 
 
 def parse_messages(messages: DataFrame) -> DataFrame:

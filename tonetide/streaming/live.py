@@ -41,11 +41,15 @@ def stream_source_volume(results: DataFrame, late: str = LATE) -> DataFrame:
     """
     per_sender = results.withWatermark("timestamp", late).groupBy(
         F.window("timestamp", HOUR).alias("w"), "source_type", "source_id"
-    ).agg(F.count(F.lit(1)).alias("n"), F.sum("confidence_score").alias("confidence"))
+    ).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum("confidence_score").alias("confidence"),
+        F.count("confidence_score").alias("known"),
+    )
     hours = per_sender.groupBy(F.window(F.window_time("w"), HOUR).alias("h"), "source_type").agg(
         F.sum("n").alias("message_count"),
         F.count("source_id").alias("unique_sources"),
-        (F.sum("confidence").cast("double") / F.sum("n")).alias("avg_confidence"),
+        F.try_divide(F.sum("confidence").cast("double"), F.sum("known")).alias("avg_confidence"),
     )
     return hours.select(
         F.col("h.start").alias("hour"), "source_type", "message_count", "unique_sources", "avg_confidence"

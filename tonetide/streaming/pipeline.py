@@ -104,10 +104,12 @@ def stream_pipeline(
 
     def write(batch: DataFrame, batch_id: int) -> None:
         folded = fold_candidates(batch).persist()
-        outcomes = outcomes_of(folded, scorer)
-        rows = outcomes.withColumn("batch_id", F.lit(batch_id).cast("long"))
-        tables.write_partitioned(rows, path, ["kind", "batch_id"], "overwrite")
-        folded.unpersist()
+        try:
+            outcomes = outcomes_of(folded, scorer)
+            rows = outcomes.withColumn("batch_id", F.lit(batch_id).cast("long"))
+            tables.write_partitioned(rows, path, ["kind", "batch_id"], "overwrite")
+        finally:
+            folded.unpersist()
 
     return sinks.start(candidate_stream(messages, already_scored), write, checkpoint, interval_seconds)
 

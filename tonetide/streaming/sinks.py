@@ -62,4 +62,6 @@ def drain_to_table(
     path = fresh_path(spark, name)
     query = start(stream, results_writer(path), checkpoint, None, mode)
     query.awaitTermination()
+    if not any(progress.numInputRows for progress in query.recentProgress):
+        return spark.createDataFrame([], stream.schema)
     return spark.read.schema(stream.schema).parquet(path).select(*stream.columns)
