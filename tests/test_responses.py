@@ -92,7 +92,23 @@ def test_entities(spark):
     found = {}
     for r in texts.link_entities(df, GAZETTEER).collect():
         found.setdefault(r.doc_id, set()).add(r.entity_value)
-    assert found == {1: {"Theta Holdings", "OTH 100", "LAC"}, 2: {"Theta Holdings", "OTH 100"}}
+    assert found == {
+        1: {"Theta Holdings", "OTH 100", "LAC", "LA 50"}, 2: {"Theta Holdings", "OTH 100"}
+    }
+
+
+def test_aliases_of_any_length(spark):
+    entries = [
+        texts.Instrument("bank of america", "company", "BAC", "equity"),
+        texts.Instrument("bank of the far west", "company", "BFW", "equity"),
+        texts.Instrument("bank of", "index", "BO", "index"),
+    ]
+    df = spark.createDataFrame(
+        [(1, "Bank of America!"), (2, "the bank of the far, west bank"), (3, "bank")],
+        "doc_id long, text string",
+    )
+    found = {(r.doc_id, r.entity_value) for r in texts.link_entities(df, entries).collect()}
+    assert found == {(1, "BAC"), (1, "BO"), (2, "BFW"), (2, "BO")}
 
 
 def test_clean_and_language(spark):

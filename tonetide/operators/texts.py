@@ -114,7 +114,7 @@ def detect_language(
 
 @dataclass(frozen=True)
 class Instrument:
-    """A gazetteer entry; aliases are one or two lower-case words."""
+    """A gazetteer entry. An alias is one or more lower-case words; entries may share it."""
 
     alias: str
     entity_type: str
@@ -131,23 +131,22 @@ def gazetteer_table(spark: SparkSession, gazetteer: Sequence[Instrument]) -> Dat
 
 def entities_of(words: Column, gazetteer: Sequence[Instrument]) -> Column:
     """Sorted distinct ``array<struct<entity_type, entity_value, asset_class>>`` of a token
-    array (one and two word aliases)."""
-    lookup = F.create_map(
-        *[
-            part
-            for g in gazetteer
-            for part in (
-                F.lit(g.alias),
-                F.struct(
-                    F.lit(g.entity_type).alias("entity_type"),
-                    F.lit(g.entity_value).alias("entity_value"),
-                    F.lit(g.asset_class).alias("asset_class"),
-                ),
+    array."""
+    by_alias: dict[str, list[Column]] = {}
+    for g in gazetteer:
+        by_alias.setdefault(g.alias, []).append(
+            F.struct(
+                F.lit(g.entity_type).alias("entity_type"),
+                F.lit(g.entity_value).alias("entity_value"),
+                F.lit(g.asset_class).alias("asset_class"),
             )
-        ]
+        )
+    lookup = F.create_map(
+        *[part for alias, own in by_alias.items() for part in (F.lit(alias), F.array(*own))]
     )
-    hits = phrases_in(words, [g.alias for g in gazetteer])
-    return F.array_sort(F.array_distinct(F.transform(hits, lambda alias: lookup[alias])))
+    hits = phrases_in(words, list(by_alias))
+    named = F.flatten(F.transform(hits, lambda alias: lookup[alias]))
+    return F.array_sort(F.array_distinct(named))
 
 
 def with_entities(

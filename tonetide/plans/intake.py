@@ -330,7 +330,8 @@ def _instruments_sql() -> str:
     return f"""
 SELECT DISTINCT doc_id, z.entity_type, z.entity_value, z.asset_class FROM (
   SELECT doc_id, unnest(list_concat(words, list_transform(list_zip(words[1:len(words)-1], words[2:len(words)]),
-    lambda p: p[1] || ' ' || p[2]))) AS gram FROM (SELECT doc_id, {words} AS words FROM documents))
+    lambda p: p[1] || ' ' || p[2]), list_transform(list_zip(words, words[2:len(words)], words[3:len(words)]),
+    lambda p: p[1] || ' ' || p[2] || ' ' || p[3]))) AS gram FROM (SELECT doc_id, {words} AS words FROM documents))
 JOIN (VALUES {rows}) z(alias, entity_type, entity_value, asset_class) ON gram = z.alias"""
 
 

@@ -60,7 +60,9 @@ def _entities_sql() -> str:
     return f"""
 SELECT DISTINCT g.id, z.entity_type, z.entity_value, z.asset_class
 FROM (SELECT id, unnest(list_concat(words, list_transform(
-        list_zip(words[1:len(words)-1], words[2:len(words)]), lambda p: p[1] || ' ' || p[2]))) AS gram
+        list_zip(words[1:len(words)-1], words[2:len(words)]), lambda p: p[1] || ' ' || p[2]),
+        list_transform(list_zip(words, words[2:len(words)], words[3:len(words)]),
+        lambda p: p[1] || ' ' || p[2] || ' ' || p[3]))) AS gram
       FROM v_scored) g
 JOIN (VALUES {rows}) z(alias, entity_type, entity_value, asset_class) ON g.gram = z.alias"""
 

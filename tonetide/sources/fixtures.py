@@ -24,7 +24,9 @@ LEXICON = {"and": 1, "is": 2, "la": -1, "that": 1, "of": -1, "to": 1, "der": -2,
 GAZETTEER = (
     Instrument("the", "company", "Theta Holdings", "equity"),
     Instrument("of the", "index", "OTH 100", "index"),
+    Instrument("the the the", "company", "Triple T", "equity"),
     Instrument("la", "currency", "LAC", "fx"),
+    Instrument("la", "index", "LA 50", "index"),
     Instrument("der", "commodity", "Derium", "commodity"),
     Instrument("los", "company", "Los Mineros", "equity"),
     Instrument("les", "bond", "LES 2030", "bond"),
