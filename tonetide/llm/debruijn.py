@@ -303,6 +303,27 @@ def op10_substring_dedup(spark, sf_dir: str) -> DataFrame:
     )
 
 
+ORACLE_SQL = r"""
+WITH split AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+windows AS (
+  SELECT doc_id, unnest(range(1, len(words) - 11)) AS pos,
+    unnest(list_transform(range(1, len(words) - 11), lambda i: array_to_string(words[i:i + 12], ' '))) AS run
+  FROM split WHERE len(words) >= 13),
+firsts AS (SELECT run, min(doc_id) AS first FROM windows GROUP BY run),
+covered AS (
+  SELECT DISTINCT doc_id, pos + step AS pos FROM windows JOIN firsts USING (run), range(13) AS steps(step)
+  WHERE first < doc_id),
+placed AS (SELECT doc_id, unnest(range(1, len(words) + 1)) AS pos, unnest(words) AS word FROM split),
+kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY pos) AS text
+  FROM placed ANTI JOIN covered USING (doc_id, pos) GROUP BY doc_id)
+SELECT doc_id, len(words)::bigint AS n_words, (len(words) - coalesce(n, 0))::bigint AS n_removed,
+  sha256(coalesce(text, '')) AS kept_sha256
+FROM split LEFT JOIN kept USING (doc_id)
+"""
+
+
 def without_repeats(
     docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: str | None = "n_chars"
 ) -> DataFrame:
