@@ -14,7 +14,19 @@ WORD_GAP = r"[\x20\x09-\x0D]+"
 ROW = "__row"
 
 
+#: Rows per Arrow batch: texts are large rows, and the default of 10,000 is tens of megabytes.
+BATCH_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Set the size of Arrow batches, unless the user has chosen one."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 

@@ -141,8 +141,7 @@ def placed(
 ) -> DataFrame:
     """Adds block, release, deadline, slot, phase and offset to rows (id, source, size, …).
 
-    ``weights`` by source; None: tempered sizes. ``items`` is read several times, so hand in
-    a table. Order inside a source: hash of the id, then the id, then size.
+    ``weights`` by source; None: tempered sizes. ``items`` is read three times. Order inside a source: hash of the id, then the id, then size.
     """
     spark = items.sparkSession
     hashed = items.withColumn("key", _key(F.col("source").cast("string"))).withColumn(
@@ -173,7 +172,7 @@ def placed(
     most = max((rows for rows, _ in totals.values()), default=1)
     bits = max(0, math.ceil(math.log2(max(1, most / PART_ROWS))))
     parts = hashed.withColumn("part", F.shiftrightunsigned("mark", 64 - bits) if bits else F.lit(0))
-    sums = parts.groupBy("key", "part").agg(F.sum("size").alias("chars"))
+    sums = parts.select("key", "part", "size").groupBy("key", "part").agg(F.sum("size").alias("chars"))
     earlier = Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select(
         "key", "part", F.coalesce(F.sum("chars").over(earlier), F.lit(0)).alias("start")
@@ -246,7 +245,10 @@ def mix(
     source: str = "source",
     text: str = "text",
 ) -> DataFrame:
-    """All rows of ``docs`` in the mixed order: across and within the files that are written."""
-    items = cut_lineage(_items(docs, id_col, source, text, ROW), "sizes")
+    """All rows of ``docs`` in the mixed order: across and within the files that are written.
+
+    ``docs`` is read three times, so hand in a table.
+    """
+    items = _items(docs, id_col, source, text, ROW)
     ordered = placed(items, weights).repartitionByRange("slot", "offset", "id")
     return unpack(ordered.sortWithinPartitions("slot", "offset", "id"))

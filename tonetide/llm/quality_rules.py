@@ -192,16 +192,20 @@ def judge(
 ) -> DataFrame:
     """Adds ``base_failed``, ``quality`` (posterior) and ``kept`` to a frame with the facts.
 
-    ``facts`` is read twice, so hand in a table rather than a plan that counts words.
-    Texts that fail the base rule are known bad and do not take part in the estimate.
+    ``facts`` is read twice: once for the votes, once for the result. Texts that fail the base
+    rule are known bad and do not take part in the estimate.
     """
     spark = facts.sparkSession
     votes = [f"vote_{r.name}" for r in rules]
-    voted = facts.withColumn("base_failed", F.expr(base_failed)).withColumns(
-        {v: r.vote() for v, r in zip(votes, rules)}
-    )
+
+    def voted(frame: DataFrame) -> DataFrame:
+        return frame.withColumn("base_failed", F.expr(base_failed)).withColumns(
+            {v: r.vote() for v, r in zip(votes, rules)}
+        )
+
     # at most 3 ** len(rules) rows
-    found = voted.where("not base_failed").groupBy(*votes).count().orderBy(*votes).collect()
+    found = voted(facts.select(NAMES)).where("not base_failed").groupBy(*votes).count()
+    found = found.orderBy(*votes).collect()
     patterns = np.array([r[:-1] for r in found], np.int8).reshape(-1, len(rules))
     model = estimate(patterns, np.array([r[-1] for r in found], float), trust=1.0)
     quality = model.posterior(patterns)
@@ -210,7 +214,8 @@ def judge(
         ", ".join(f"{v} tinyint" for v in votes) + ", quality double",
     )
     return (
-        voted.join(F.broadcast(table), votes, "left")
+        voted(facts)
+        .join(F.broadcast(table), votes, "left")
         .drop(*votes)
         .withColumn("quality", F.when(F.col("base_failed"), 0.0).otherwise(F.col("quality")))
         .withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= keep_from))
@@ -225,10 +230,9 @@ def op2_quality_rules(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose text passes, with their columns as they were."""
-    packed = pack(docs, text=docs[text])
-    staged = cut_lineage(
-        packed.select(ROW, text_facts(F.col("text")).alias("facts")).select(ROW, "facts.*"),
-        "quality-facts",
-    )
-    return unpack(judge(staged).where("kept"))
+    """The rows of ``docs`` whose text passes, with their columns as they were.
+
+    The counts are worked out twice rather than written with the texts.
+    """
+    facts = pack(docs, facts=text_facts(docs[text])).select(ROW, "facts.*")
+    return unpack(judge(facts).where("kept"))

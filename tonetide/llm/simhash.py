@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from tonetide.llm.bitmap import Bitmap
 from tonetide.llm.common import ROW, documents, pack, unpack
 from tonetide.llm.graph import components
 from tonetide.session import cut_lineage
@@ -179,17 +180,35 @@ def op1_simhash_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each component stays: the one with the least id.
+    """One row of each component stays: the one with the least id (of equal ids, one).
 
-    Of rows that share that id one stays; where a component has no id at all, one row of
-    each of its fingerprints does.
+    Where a component has no id at all, one row of each of its texts stays. Only narrow
+    columns are compared; of the texts, those are moved that may have to go.
     """
-    packed = pack(docs, id=docs[id_col], fp=fingerprints(docs[text]))
-    staged = cut_lineage(packed.withColumn("nth", F.monotonically_increasing_id()), "simhash")
-    judged = near_duplicates(staged.select("id", "fp", "nth"), "id")
-    chosen = (
-        judged.where(F.col("id").eqNullSafe(F.col("component_id")))
-        .groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("_own"))
-        .agg(F.min("nth").alias("nth"))
+    whole = pack(docs, id=docs[id_col], text=docs[text])
+    mark = F.xxhash64(F.coalesce("text", F.lit("")))
+    marked = whole.select("id", mark.alias("mark"), fingerprints(F.col("text")).alias("fp"))
+    marked = cut_lineage(marked, "simhash")
+    judged = near_duplicates(marked, "id").groupBy("id", "mark").agg(
+        F.count("*").alias("rows"), F.min("component_id").alias("component_id")
     )
-    return unpack(staged.join(chosen.select("nth"), "nth", "left_semi"))
+    # of equal ids in one component the least mark stays
+    named = judged.where(F.col("id") == F.col("component_id"))
+    winners = named.groupBy("id").agg(F.min("mark").alias("mark")).withColumn("won", F.lit(True))
+    judged = judged.join(winners, ["id", "mark"], "left").withColumn(
+        "stays", F.col("component_id").isNull() | F.coalesce("won", F.lit(False))
+    )
+    changed = cut_lineage(
+        judged.where("rows > 1 or not stays").select(
+            "id", "mark", "stays", F.xxhash64("id", "mark").alias("key")
+        ),
+        "leaving",
+    )
+    suspect = Bitmap(changed, "key").test(F.xxhash64("id", "mark"))
+    rows = whole.select(ROW, "id", mark.alias("mark"))
+    some = rows.where(suspect).dropDuplicates(["id", "mark"])
+    gone = changed.where("not stays").select(F.col("id").alias("gid"), F.col("mark").alias("gmark"))
+    some = some.join(
+        gone, F.col("id").eqNullSafe(F.col("gid")) & (F.col("mark") == F.col("gmark")), "left_anti"
+    )
+    return unpack(rows.where(~suspect).select(ROW).union(some.select(ROW)))
