@@ -37,8 +37,12 @@ def hourly_means(results: DataFrame) -> DataFrame:
 
 def sentiment_shift_alerts(results: DataFrame, delta: float = 0.5) -> DataFrame:
     """Sources whose hourly mean moved by more than ``delta`` since the hour before."""
+    return shifts_of(hourly_means(results), delta)
+
+
+def shifts_of(means: DataFrame, delta: float = 0.5) -> DataFrame:
+    """The same from hourly means (source_type, hour, avg_score)."""
     order = Window.partitionBy("source_type").orderBy("hour")
-    means = hourly_means(results)
     return (
         means.withColumn("previous_hour", F.lag("hour").over(order))
         .withColumn("previous_score", F.lag("avg_score").over(order))
@@ -73,6 +77,41 @@ def error_rate_alerts(
     )
 
 
+def minute_counts(logs: DataFrame) -> DataFrame:
+    """Lines and errors per component and minute: what sliding windows are added up from."""
+    errors = F.sum(F.when(F.col("level").isin("ERROR", "FATAL"), 1).otherwise(0))
+    minutes = logs.groupBy("component", F.window("timestamp", "1 minute").alias("w"))
+    return minutes.agg(F.count(F.lit(1)).alias("lines"), errors.alias("errors")).select(
+        "component", F.col("w.start").alias("minute"), "lines", "errors"
+    )
+
+
+def error_rates_of(
+    minutes: DataFrame, limit: float = ERROR_SHARE_LIMIT, width: int = 5
+) -> DataFrame:
+    """``error_rate_alerts`` with one-minute steps, from minute counts: each minute, not each
+    line, goes to the ``width`` windows it belongs to."""
+    starts = F.transform(
+        F.sequence(F.lit(0), F.lit(width - 1)),
+        lambda back: F.col("minute") - F.make_dt_interval(mins=back),
+    )
+    return (
+        minutes.select("component", F.explode(starts).alias("window_start"), "lines", "errors")
+        .groupBy("component", "window_start")
+        .agg(F.sum("lines").alias("lines"), F.sum("errors").alias("errors"))
+        .withColumn("error_share", share(F.col("errors"), F.col("lines")))
+        .filter(F.col("error_share") > limit)
+        .select(
+            "component",
+            "window_start",
+            (F.col("window_start") + F.make_dt_interval(mins=F.lit(width))).alias("window_end"),
+            "lines",
+            "errors",
+            "error_share",
+        )
+    )
+
+
 def alert_rule_table(
     spark: SparkSession, rules: Sequence[AlertRule] = ALERT_RULES
 ) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonetide.operators import ingest
+from tonetide.operators import alerts, ingest
 from tonetide.operators.scoring import lexicon_scorer
 from tonetide.plans.views import TOKENS, weigh
 from tonetide.session import ROCKSDB_PROVIDER, fresh_path
@@ -73,20 +73,20 @@ def stream_dedup_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_hourly_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     hours = live.stream_hourly_summary(_sentiment_stream(spark, sf_dir))
-    stored = sinks.drain_to_table(hours, "hourly")
+    stored = sinks.drain_latest(hours, "hourly", ["hour", "source_type", "sentiment_label"])
     return stored.withColumn("hour", _ntz("hour"))
 
 
 def stream_source_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hours = live.stream_source_volume(_sentiment_stream(spark, sf_dir))
-    stored = sinks.drain_to_table(hours, "volume")
-    return stored.withColumn("hour", _ntz("hour"))
+    senders = live.sender_counts(_sentiment_stream(spark, sf_dir))
+    stored = sinks.drain_latest(senders, "volume", ["hour", "source_type", "source_id"])
+    return live.volume_of(stored).withColumn("hour", _ntz("hour"))
 
 
 def stream_error_rate_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     logs = fx.logs_from(fx.events_stream(spark, sf_dir))
-    stored = sinks.drain_to_table(live.stream_error_rate_alerts(logs), "error-rate")
-    return stored.withColumn("window_start", _ntz("window_start")).withColumn(
+    stored = sinks.drain_latest(live.minute_counts(logs), "error-rate", ["component", "minute"])
+    return alerts.error_rates_of(stored).withColumn("window_start", _ntz("window_start")).withColumn(
         "window_end", _ntz("window_end")
     )
 
@@ -101,9 +101,9 @@ def stream_threshold_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_shift_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _keyed_state(spark)
-    shifts = live.stream_shift_alerts(_sentiment_stream(spark, sf_dir), 0.5)
-    return sinks.drain_to_table(shifts, "shifts").withColumn("hour", _ntz("hour"))
+    means = live.hourly_means(_sentiment_stream(spark, sf_dir))
+    stored = sinks.drain_latest(means, "shifts", ["source_type", "hour"])
+    return alerts.shifts_of(stored, 0.5).withColumn("hour", _ntz("hour"))
 
 
 QUERIES = {
@@ -115,8 +115,6 @@ QUERIES = {
     )
 }
 
-_CLOSED = "(SELECT max(ts) - INTERVAL 1 HOUR FROM events)"
-
 
 def _pipeline_sql() -> str:
     net = weigh("words", fx.LEXICON)
@@ -147,23 +145,23 @@ SELECT id, source_id, source_type, sentiment_label, "timestamp", sentiment_score
     "stream_dedup_ttl": """
 WITH ordered AS (SELECT *, lag("timestamp") OVER (PARTITION BY content_hash ORDER BY "timestamp", id) AS before FROM v_messages)
 SELECT id, source, content_hash FROM ordered WHERE before IS NULL OR "timestamp" >= before + INTERVAL 12 HOUR""",
-    "stream_hourly_summary": f"""
+    "stream_hourly_summary": """
 SELECT date_trunc('hour', "timestamp")::timestamp AS hour, source_type, sentiment_label, count(*) AS count,
   sum(sentiment_score)::double / count(*) AS avg_score, sum(confidence_score)::double / count(*) AS avg_confidence,
   min(sentiment_score)::double AS min_score, max(sentiment_score)::double AS max_score
-FROM v_sentiment WHERE date_trunc('hour', "timestamp")::timestamp + INTERVAL 1 HOUR <= {_CLOSED} GROUP BY 1, 2, 3""",
-    "stream_source_volume": f"""
+FROM v_sentiment GROUP BY 1, 2, 3""",
+    "stream_source_volume": """
 SELECT date_trunc('hour', "timestamp")::timestamp AS hour, source_type, count(*) AS message_count,
   count(DISTINCT source_id) AS unique_sources, sum(confidence_score)::double / count(*) AS avg_confidence
-FROM v_sentiment WHERE date_trunc('hour', "timestamp")::timestamp + INTERVAL 1 HOUR <= {_CLOSED} GROUP BY 1, 2""",
-    "stream_error_rate_alerts": f"""
+FROM v_sentiment GROUP BY 1, 2""",
+    "stream_error_rate_alerts": """
 WITH spread AS (SELECT component, level, date_trunc('minute', "timestamp")::timestamp - to_minutes(m) AS window_start
   FROM v_logs, (VALUES (0), (1), (2), (3), (4)) s(m)),
 rated AS (SELECT component, window_start, count(*) AS lines, count(*) FILTER (WHERE level IN ('ERROR', 'FATAL')) AS errors
   FROM spread GROUP BY 1, 2)
 SELECT component, window_start, window_start + INTERVAL 5 MINUTE AS window_end, lines, errors,
   errors::double / lines AS error_share
-FROM rated WHERE errors::double / lines > 0.05 AND window_start + INTERVAL 5 MINUTE <= {_CLOSED}""",
+FROM rated WHERE errors::double / lines > 0.05""",
     "stream_threshold_alerts": """
 WITH pairs AS (
   SELECT id, source_type, "timestamp", 'sentiment_score' AS field, sentiment_score::double AS value FROM v_sentiment
@@ -173,10 +171,10 @@ UNION ALL SELECT 'score-high', 'info', * FROM pairs WHERE field = 'sentiment_sco
 UNION ALL SELECT 'error-negative', 'critical', * FROM pairs
   WHERE field = 'sentiment_score' AND value < -0.95 AND source_type = 'error'
 UNION ALL SELECT 'slow-scoring', 'warning', * FROM pairs WHERE field = 'latency_seconds' AND value > 10""",
-    "stream_shift_alerts": f"""
+    "stream_shift_alerts": """
 WITH means AS (SELECT source_type, date_trunc('hour', "timestamp")::timestamp AS hour,
     sum(sentiment_score)::double / count(*) AS avg_score FROM v_sentiment GROUP BY 1, 2)
 SELECT a.source_type, a.hour, a.avg_score, b.avg_score AS previous_score, a.avg_score - b.avg_score AS change
 FROM means a JOIN means b ON a.source_type = b.source_type AND b.hour = a.hour - INTERVAL 1 HOUR
-WHERE abs(a.avg_score - b.avg_score) > 0.5 AND a.hour + INTERVAL 1 HOUR <= {_CLOSED}""",
+WHERE abs(a.avg_score - b.avg_score) > 0.5""",
 }

@@ -1,4 +1,10 @@
-"""Live roll-ups and alerts. Input streams carry ``timestamp`` of type TIMESTAMP."""
+"""Live roll-ups and alerts. Input streams carry ``timestamp`` of type TIMESTAMP.
+
+In append mode a window is emitted once it is closed. To see open windows too, run the
+one-aggregate streams (``stream_hourly_summary``, ``sender_counts``, ``minute_counts``,
+``hourly_means``) in update mode and keep the latest row of each key
+(``sinks.latest_of``); the ``…_of`` functions turn such tables into the wanted form.
+"""
 
 from __future__ import annotations
 
@@ -56,6 +62,35 @@ def stream_source_volume(results: DataFrame, late: str = LATE) -> DataFrame:
     )
 
 
+def sender_counts(results: DataFrame, late: str = LATE) -> DataFrame:
+    """Rows and confidence per hour, source and sender: one row of state each."""
+    hours = results.withWatermark("timestamp", late).groupBy(
+        F.window("timestamp", HOUR).alias("w"), "source_type", "source_id"
+    )
+    return hours.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum("confidence_score").alias("confidence"),
+        F.count("confidence_score").alias("known"),
+    ).select(F.col("w.start").alias("hour"), "source_type", "source_id", "n", "confidence", "known")
+
+
+def volume_of(senders: DataFrame) -> DataFrame:
+    """Volume and number of senders per hour and source from ``sender_counts``."""
+    return senders.groupBy("hour", "source_type").agg(
+        F.sum("n").alias("message_count"),
+        F.count("source_id").alias("unique_sources"),
+        F.try_divide(F.sum("confidence").cast("double"), F.sum("known")).alias("avg_confidence"),
+    )
+
+
+def minute_counts(logs: DataFrame, late: str = LATE) -> DataFrame:
+    return alerts.minute_counts(logs.withWatermark("timestamp", late))
+
+
+def hourly_means(results: DataFrame, late: str = LATE) -> DataFrame:
+    return alerts.hourly_means(results.withWatermark("timestamp", late))
+
+
 def stream_source_volume_approx(results: DataFrame, late: str = LATE) -> DataFrame:
     """One-step form with a fixed-size sketch of the senders."""
     hours = results.withWatermark("timestamp", late).groupBy(

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tonetide.operators.ordering import newest
 from tonetide.schemas import WRITER_INTERVAL_SECONDS
 from tonetide.session import fresh_path
 from tonetide.sources import tables
@@ -54,6 +56,25 @@ def late_rows(query: StreamingQuery) -> int:
     )
 
 
+def latest_of(stored: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The last row of each key of a table that an update-mode stream has written."""
+    return newest(stored, keys, [F.col("batch_id")])
+
+
+def drain_latest(
+    stream: DataFrame, name: str, keys: Sequence[str], checkpoint: str | None = None
+) -> DataFrame:
+    """Process all available input in update mode; the latest row of each key, open windows
+    included."""
+    spark = stream.sparkSession
+    path = fresh_path(spark, name)
+    query = start(stream, results_writer(path), checkpoint, None, "update")
+    query.awaitTermination()
+    if not any(progress.numInputRows for progress in query.recentProgress):
+        return spark.createDataFrame([], stream.schema)
+    return latest_of(spark.read.parquet(path), keys).select(*stream.columns)
+
+
 def drain_to_table(
     stream: DataFrame, name: str, checkpoint: str | None = None, mode: str = "append"
 ) -> DataFrame:
