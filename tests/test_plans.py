@@ -18,7 +18,7 @@ PYTHON_STEPS = {"embed_text", "knn_search"}
 EAGER = {
     "near_duplicate_pairs", "drop_near_duplicates", "write_aggregates", "partition_monthly",
     "partition_daily", "upsert_embeddings", "evict_embeddings", "read_sentiment_topic",
-    "write_results_batch",
+    "write_results_batch", "mark_processed", "purge_raw",
 }
 QUERIES = catalog.queries()
 

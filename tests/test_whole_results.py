@@ -243,3 +243,54 @@ def test_live_roll_ups_are_whole_after_many_batches(spark, tmp_path, name):
     same = [c for c in got.columns if c in want.columns and c not in ("hour", "timestamp", "window_start", "window_end")]
     text = lambda df: sorted(str(tuple(r)) for r in df.select(same).collect())
     assert len(same) >= 3 and text(got) == text(want)
+
+
+@pytest.fixture
+def raw_months(spark, at):
+    """A monthly raw table: three rows in December, two in January, one without time."""
+    day = 24 * 60
+    rows = [(1, at(-20 * day)), (2, at(-10 * day)), (3, at(-2 * day)), (4, at(day)), (5, at(2 * day)), (6, None)]
+    frame = spark.createDataFrame(
+        [(i, t, t, None) for i, t in rows],
+        "id long, timestamp timestamp_ntz, created_at timestamp_ntz, processed_at timestamp_ntz",
+    )
+    path = fresh_path(spark, "raw")
+    tables.write_monthly(frame, path)
+    return path
+
+
+def files_of(spark, path):
+    return {r[0] for r in spark.read.parquet(path).select("_metadata.file_path").distinct().collect()}
+
+
+def test_marking_rewrites_only_months_that_hold_the_ids(spark, at, raw_months):
+    before = files_of(spark, raw_months)
+    finished = spark.createDataFrame([(2,), (3,), (2,), (99,)], "id long")
+    unknown = tables.mark_processed_table(spark, raw_months, finished, at(0))
+    assert [r.id for r in unknown.collect()] == [99]
+    stored = {r.id: r.processed_at for r in spark.read.parquet(raw_months).collect()}
+    assert stored == {1: None, 2: at(0), 3: at(0), 4: None, 5: None, 6: None}
+    kept = before & files_of(spark, raw_months)
+    assert kept and all("m=12" not in f for f in kept) and any("m=1/" in f for f in kept)
+    assert tables.mark_processed_table(spark, raw_months, finished.limit(0), at(0)).count() == 0
+
+
+def test_purging_drops_whole_months(spark, at, raw_months):
+    before = files_of(spark, raw_months)
+    assert tables.purge_raw_table(spark, raw_months, at(5 * 24 * 60), days=8) == []
+    assert {r.id for r in spark.read.parquet(raw_months).collect()} == {3, 4, 5, 6}
+    assert tables.purge_raw_table(spark, raw_months, at(9 * 24 * 60), days=8) == ["y=2023/m=12"]
+    assert {r.id for r in spark.read.parquet(raw_months).collect()} == {4, 5, 6}
+    assert files_of(spark, raw_months) < before
+
+
+def test_refreshing_reads_the_span_of_the_changes(spark, at):
+    results = fixtures.v_sentiment(spark, "/root/testdata/sf0.001")
+    late = results.filter(F.col("timestamp") >= F.lit(at(20 * 24 * 60)).cast("timestamp_ntz"))
+    for view, (summarise, _) in summaries.SUMMARY_VIEWS.items():
+        fresh = summaries.refresh_summary(view, summarise(results), results, late)
+        assert fresh.exceptAll(summarise(results)).count() == 0
+    plan = fresh._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(ts,2024-01-21" in plan
+    nothing = summaries.refresh_summary("daily", summaries.daily_sentiment_summary(results), results, late.limit(0))
+    assert nothing.count() == summaries.daily_sentiment_summary(results).count()

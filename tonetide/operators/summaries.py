@@ -77,14 +77,23 @@ def refresh_summary(
 ) -> DataFrame:
     """``current`` with every bucket touched by ``changed`` recomputed from ``results``.
 
-    Buckets are found from the changed rows alone; the recomputation reads only
-    result rows of those buckets, and untouched buckets are carried over.
+    Buckets are found from the changed rows alone, first their span: it goes to the scan of
+    ``results`` as a time filter. Untouched buckets are carried over.
     """
     summarise, unit = SUMMARY_VIEWS[view]
     bucket = F.date_trunc(unit, "timestamp").cast("timestamp_ntz")
     touched = changed.select(bucket.alias(unit)).distinct()
-    rows = results.withColumn("__bucket", bucket).join(
-        touched.withColumnRenamed(unit, "__bucket"), "__bucket", "left_semi"
+    first, last = touched.agg(F.min(unit), F.max(unit)).first()
+    if first is None:
+        return current
+    end = last + dt.timedelta(**{f"{unit}s": 1})
+    inside = (F.col("timestamp") >= F.lit(first).cast("timestamp_ntz")) & (
+        F.col("timestamp") < F.lit(end).cast("timestamp_ntz")
+    )
+    rows = (
+        results.filter(inside)
+        .withColumn("__bucket", bucket)
+        .join(touched.withColumnRenamed(unit, "__bucket"), "__bucket", "left_semi")
     )
     fresh = summarise(rows.drop("__bucket"))
     kept = current.join(touched, unit, "left_anti")

@@ -181,8 +181,10 @@ def mark_processed(spark: SparkSession, sf_dir: str) -> DataFrame:
     finished = fx.table(spark, sf_dir, "events").filter("event_type = 'purchase'").select(
         F.col("event_id").alias("id")
     )
-    marked, unknown = ingest.mark_processed(fx.v_raw(spark, sf_dir), finished, fx.AS_OF)
-    return marked.select("id", F.lit("stored").alias("state"), "processed_at").unionByName(
+    path = fresh_path(spark, "raw-monthly")
+    tables.write_monthly(fx.v_raw(spark, sf_dir), path)
+    unknown = tables.mark_processed_table(spark, path, finished, fx.AS_OF)
+    return spark.read.parquet(path).select("id", F.lit("stored").alias("state"), "processed_at").unionByName(
         unknown.select("id", F.lit("not_found").alias("state"), F.lit(None).cast("timestamp_ntz").alias("processed_at"))
     )
 

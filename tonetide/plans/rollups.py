@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonetide.operators import alerts, errors, logs, metrics, retention, summaries
+from tonetide.session import fresh_path
 from tonetide.sources import fixtures as fx
+from tonetide.sources import tables
 
 MIDDLE = dt.datetime(2024, 1, 15)
 MIDDLE_SQL = "TIMESTAMP '2024-01-15 00:00:00'"
@@ -153,8 +155,12 @@ def top_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def purge_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = retention.purge_raw(fx.v_raw(spark, sf_dir), dt.datetime(2024, 1, 8, 8))
-    return kept.select("id", "source", "created_at")
+    path = fresh_path(spark, "raw-monthly")
+    raw = fx.v_raw(spark, sf_dir)
+    tables.write_monthly(raw, path)
+    tables.purge_raw_table(spark, path, dt.datetime(2024, 1, 8, 8))
+    # with a schema, as a table without any files left has none
+    return spark.read.schema(raw.schema).parquet(path).select("id", "source", "created_at")
 
 
 def purge_processed(spark: SparkSession, sf_dir: str) -> DataFrame:

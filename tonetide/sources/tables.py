@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from tonetide.operators.ingest import mark_processed
+from tonetide.operators.retention import purge_raw
 from tonetide.operators.vectors import upsert_embeddings
+from tonetide.schemas import RAW_RETENTION_DAYS
 from tonetide.session import cut_lineage
 
 OUT_OF_RANGE = "default"
@@ -113,6 +119,68 @@ def _bucket(buckets: int):
     return F.pmod(F.xxhash64("vec_id"), F.lit(buckets)).cast("int")
 
 
+def _in_months(months: Sequence[Row]) -> Column:
+    """Rows of some month partitions; partition pruning applies."""
+    return reduce(
+        or_,
+        [F.col("y").eqNullSafe(F.lit(r.y)) & F.col("m").eqNullSafe(F.lit(r.m)) for r in months],
+        F.lit(False),
+    )
+
+
+def mark_processed_table(
+    spark: SparkSession, path: str, finished: DataFrame, as_of: dt.datetime
+) -> DataFrame:
+    """Set ``processed_at`` of finished ids in a table written by ``write_monthly``.
+
+    Only months that hold such ids are read whole and rewritten. Returns the ids that do not
+    exist.
+    """
+    raw = spark.read.parquet(path)
+    ids = cut_lineage(finished.select("id").distinct(), "finished")
+    months = raw.select("id", "y", "m").join(ids, "id", "left_semi").select("y", "m").distinct()
+    unknown = cut_lineage(ids.join(raw.select("id"), "id", "left_anti"), "unknown")
+    touched = months.collect()  # partitions, not rows
+    if touched:
+        marked, _ = mark_processed(raw.filter(_in_months(touched)), ids, as_of)
+        staged = cut_lineage(marked, "marked")
+        rows = staged.repartitionByRange("y", "m", "timestamp")
+        write_partitioned(rows, path, ["y", "m"], "overwrite")
+    return unknown
+
+
+def purge_raw_table(
+    spark: SparkSession, path: str, as_of: dt.datetime, days: int = RAW_RETENTION_DAYS
+) -> list[str]:
+    """Delete raw rows created before the cutoff from a table written by ``write_monthly``.
+
+    Months without younger rows are dropped as directories, months that hold both are
+    rewritten, the others are not touched. Returns the dropped directories.
+    """
+    raw = spark.read.parquet(path)
+    cutoff = as_of - dt.timedelta(days=days)
+    bounds = raw.groupBy("y", "m").agg(
+        F.min("created_at").alias("oldest"), F.max("created_at").alias("youngest")
+    )
+    months = bounds.filter(F.col("oldest") < F.lit(cutoff).cast("timestamp_ntz")).collect()
+    mixed = [r for r in months if r.youngest >= cutoff]
+    if mixed:
+        staged = cut_lineage(purge_raw(raw.filter(_in_months(mixed)), as_of, days), "kept-raw")
+        rows = staged.repartitionByRange("y", "m", "timestamp")
+        write_partitioned(rows, path, ["y", "m"], "overwrite")
+    dropped = [_month_folder(r) for r in months if r.youngest < cutoff]
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    for folder in dropped:
+        files.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{folder}"), True)
+    return sorted(dropped)
+
+
+def _month_folder(month: Row) -> str:
+    name = lambda value: "__HIVE_DEFAULT_PARTITION__" if value is None else value
+    return f"y={name(month.y)}/m={name(month.m)}"
+
+
 def drop_log_days(spark: SparkSession, path: str, as_of: dt.datetime, days: int) -> list[str]:
     """Delete whole day partitions older than the cutoff; returns the dropped days."""
     first_day = (as_of - dt.timedelta(days=days)).date().isoformat()
