@@ -8,7 +8,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tonetide.functions.measure import exact_mean
 from tonetide.schemas import LATENCY_BOUNDS
 
 
