@@ -141,7 +141,8 @@ def placed(
 ) -> DataFrame:
     """Adds block, release, deadline, slot, phase and offset to rows (id, source, size, …).
 
-    ``weights`` by source; None: tempered sizes. ``items`` is read three times. Order inside a source: hash of the id, then the id, then size.
+    ``weights`` by source; None: tempered sizes. ``items`` is read three times. Order inside a
+    source: hash of the id, then the id, then size.
     """
     spark = items.sparkSession
     hashed = items.withColumn("key", _key(F.col("source").cast("string"))).withColumn(
