@@ -7,7 +7,7 @@ texts represents nothing that repeats; a bitmap of fixed size tells the tasks wh
 twice (it can only err towards more work).
 
 Segments are dealt by their representative, so equal windows meet, and worked off in shards of
-a few megabytes: a suffix array by Larsson-Sadakane refinement, common prefixes by Kasai's
+two megabytes (about a hundred times that while they are sorted): a suffix array by Larsson-Sadakane refinement, common prefixes by Kasai's
 method, and windows whose neighbours in the array share 400 bytes are equal. Equal segments
 are collapsed before the shuffle, and once more in the shard.
 
@@ -51,7 +51,7 @@ from tonetide.session import cut_lineage
 
 WINDOW = 400
 GRAM = 64
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 #: Representatives with more grams than this are salted.
 HOT = 4_096
 SALTS = 64
