@@ -29,7 +29,7 @@ _FULL, _HALF, _LOW, _ONE = _U(0xFFFFFFFFFFFFFFFF), _U(32), _U(0xFFFFFFFF), _U(1)
 _SCALE = _U(SCALE)
 _MAGNITUDE = np.array([n.bit_length() for n in range(1 << DIGITS)])
 #: Confidence (0 to 3) after a miss and after a hit.
-_SURE = np.array([[1, 1, 1, 2], [1, 2, 3, 3]], np.int8)
+_SURE = np.array([1, 1, 1, 2, 1, 2, 3, 3], np.int32)
 
 
 class _Frequencies:
@@ -59,8 +59,8 @@ class _Model:
         self.base = np.arange(lanes) * SLOTS
         self.lane4, self.lane8 = np.arange(lanes) * 4, np.arange(lanes) * 8
         self.lanes_sizes = np.arange(lanes) * (DIGITS + 1)
+        #: last successor of a context and, in the two lowest digits, the confidence in it
         self.next2, self.next1 = (np.zeros(lanes * SLOTS, np.int32) for _ in range(2))
-        self.sure2, self.sure1 = (np.zeros(lanes * SLOTS, np.int8) for _ in range(2))
         half = 1 << (SCALE - 1)
         self.by_two = _Frequencies(lanes * 4, 3, half)
         self.by_one = _Frequencies(lanes * 8, 3, half)
@@ -73,24 +73,26 @@ class _Model:
         h ^= h >> 9
         self.two = self.base + (h & (SLOTS - 1))
         self.one = self.base + ((b ^ (b >> 11)) & (SLOTS - 1))
-        self.guess2, self.guess1 = self.next2[self.two], self.next1[self.one]
-        self.was2, self.was1 = self.sure2[self.two], self.sure1[self.one]
+        seen2, seen1 = self.next2.take(self.two), self.next1.take(self.one)
+        self.guess2, self.guess1 = seen2 >> 2, seen1 >> 2
+        self.was2, self.was1 = seen2 & 3, seen1 & 3
         self.row2 = self.lane4 + self.was2
         self.row1 = self.lane8 + self.was1
         self.row1 += (self.guess1 == self.guess2) * 4
-        first = self.by_two.ends[0][self.row2] + self.by_one.ends[0][self.row1]
-        second = self.by_two.ends[1][self.row2] + self.by_one.ends[1][self.row1]
+        first = self.by_two.ends[0].take(self.row2) + self.by_one.ends[0].take(self.row1)
+        second = self.by_two.ends[1].take(self.row2) + self.by_one.ends[1].take(self.row1)
         return first, second
 
     def learn(self, x: np.ndarray, event: np.ndarray) -> None:
         self.by_two.flat[self.row2 * 3 + event] += 8
         self.by_one.flat[self.row1 * 3 + event] += 8
-        hit = self.guess2 == x
-        self.sure2[self.two] = _SURE[hit.view(np.int8), self.was2]
-        self.next2[self.two] = np.where(self.was2 > 1, self.guess2, x)
-        hit = self.guess1 == x
-        self.sure1[self.one] = _SURE[hit.view(np.int8), self.was1]
-        self.next1[self.one] = np.where(self.was1 > 1, self.guess1, x)
+        x = x.astype(np.int32)
+        for table, slot, guess, was in (
+            (self.next2, self.two, self.guess2, self.was2),
+            (self.next1, self.one, self.guess1, self.was1),
+        ):
+            sure = _SURE.take((guess == x) * 4 + was)
+            table[slot] = (np.where(was > 1, guess, x) << 2) | sure
         self.steps += 1
         if self.steps % REFRESH == 0 or self.steps in (4, 8, 16):
             self.by_two.refresh()

@@ -142,12 +142,17 @@ def decoded(row: dict) -> tuple[np.ndarray, np.ndarray]:
     return coder.decode(payloads, sums, row["n_ids"]), np.frombuffer(row["counts"], "<u4")
 
 
-DOCUMENT = "part int, chunk int, doc_id bigint, before bigint, n_tokens bigint, ids_crc32 bigint"
+DOCUMENT = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
 
 
 def read(spark, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each document, from the files alone."""
     stored = spark.read.schema(CHUNK).parquet(path)
+    # one row per chunk of millions of ids
+    earlier = Window.orderBy("part", "chunk").rowsBetween(Window.unboundedPreceding, -1)
+    starts = stored.select(
+        "part", "chunk", F.coalesce(F.sum("n_ids").over(earlier), F.lit(0)).alias("base")
+    )
 
     def run(batches):
         for batch in batches:
@@ -161,26 +166,16 @@ def read(spark, path: str) -> DataFrame:
                 n = len(counts)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.full(n, row["part"], np.int32)),
-                        pa.array(np.full(n, row["chunk"], np.int32)),
                         pa.array(np.frombuffer(row["doc_ids"], "<i8"), mask=missing),
-                        pa.array(ends[:-1]),
+                        pa.array(row["base"] + ends[:-1]),
                         pa.array(counts.astype(np.int64)),
                         pa.array(sums, pa.int64()),
                     ],
                     [c.split()[0] for c in DOCUMENT.split(", ")],
                 )
 
-    # one row per chunk of millions of ids
-    earlier = Window.orderBy("part", "chunk").rowsBetween(Window.unboundedPreceding, -1)
-    starts = stored.select(
-        "part", "chunk", F.coalesce(F.sum("n_ids").over(earlier), F.lit(0)).alias("base")
-    )
-    return (
-        stored.mapInArrow(run, DOCUMENT)
-        .join(starts, ["part", "chunk"])
-        .select("doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
-    )
+    # joined before decoding: a plan that is changed while it runs then decodes nothing twice
+    return stored.join(starts, ["part", "chunk"]).mapInArrow(run, DOCUMENT)
 
 
 def op5_token_files(spark, sf_dir: str) -> DataFrame:
