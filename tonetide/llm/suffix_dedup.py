@@ -175,12 +175,14 @@ class _Shard:
         self.window, self.ranges = window, ranges
         self.rows: list[tuple] = []
         self.size = 0
-        self.split = False
+        #: representatives whose segments other shards have too
+        self.split: set[int] = set()
 
     def add(self, row: tuple) -> None:
         self.rows.append(row)
         self.size += len(row[7])
-        self.split |= row[1] > 0
+        if row[1] > 0:
+            self.split.add(row[0])
 
     def found(self) -> list[list]:
         """Rows of ``FOUND``: windows equal to another one here, and runs for other shards."""
@@ -196,12 +198,12 @@ class _Shard:
             repeated = len(same) > 1 or same[0][6]
             if repeated:
                 out += [[r[2], r[3], r[4], r[5], None, None] for r in same if not r[6]]
-            if self.split or groups[h] > 1 or not repeated:
+            if h in self.split or groups[h] > 1 or not repeated:
                 open_.append(same[0])
                 times.append(2 if repeated else 1)
         if open_:
             out += self._compared(open_, np.array(times))
-        self.rows, self.size, self.split = [], 0, False
+        self.rows, self.size, self.split = [], 0, set()
         return out
 
     def _compared(self, rows: list[tuple], times: np.ndarray) -> list[list]:
@@ -215,8 +217,10 @@ class _Shard:
         weight = np.bincount(number, times[owner])
         twice = weight[number] > 1
         out = _stretches(rows, owner, nth, twice & (times[owner] == 1))
-        if self.split:
-            _, first = np.unique(number, return_index=True)
+        shared = np.flatnonzero(np.array([r[0] in self.split for r in rows])[owner])
+        if len(shared):
+            _, first = np.unique(number[shared], return_index=True)
+            first = shared[first]
             place = starts[first]
             run = np.empty(len(first), RUN)
             run["d1"] = gram_hashes(BYTE_CODE[data], self.window)[place]
@@ -273,9 +277,10 @@ def compared(found: DataFrame, window: int, ranges: int, shard_bytes: int) -> Da
                     begun = shard.size
                 elif shard.size - begun >= shard_bytes:
                     # one group is more than a shard: its parts are compared by digests
-                    shard.split = True
+                    shard.split.add(row[0])
                     out += shard.found()
-                    shard.split, begun = True, 0
+                    shard.split.add(row[0])
+                    begun = 0
                 shard.add(row)
             if out:
                 yield _batch(out, FOUND)
