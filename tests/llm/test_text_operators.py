@@ -6,6 +6,7 @@ import os
 import zlib
 from array import array
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -288,6 +289,50 @@ def test_mixing_query(spark, table, make, rough, monkeypatch):
     assert mixing.op7_source_mixing(spark, table([])).count() == 0
 
 
+@pytest.mark.parametrize(
+    "weights",
+    [
+        {"big": 0.3} | {f"s{i}": 0.7 / 19 for i in range(19)},
+        {"big": 0.5} | {f"s{i}": 0.5 / 899 for i in range(899)},
+        {f"s{i}": (i + 1) ** 0.5 for i in range(1500)},
+    ],
+)
+def test_schedule_keeps_to_the_weights_themselves(weights):
+    """Over 20 times 1,000 slots no source is a block away from its target; rounded shares drift."""
+    total = sum(map(Fraction, weights.values()))
+    blocks = {s: 20_000 for s in weights}
+    done = Counter()
+    for source, block, phase, release, deadline, slot in itertools.islice(
+        mixing.schedule(blocks, weights), 20_000
+    ):
+        assert block == done[source] and phase == 0 and release <= slot < deadline
+        done[source] += 1
+        share = Fraction(weights[source]) / total
+        assert abs(done[source] - (slot + 1) * share) < 1 and abs(block - slot * share) < 1
+    assert all(abs(done[s] - 20_000 * Fraction(w) / total) < 1 for s, w in weights.items())
+
+
+@pytest.mark.parametrize("sent", [0, 1 << 18])
+def test_slots_over_chunks_and_many_sources(spark, monkeypatch, sent):
+    """More sources than slots in the former cycle, several chunks of one source, both joins."""
+    monkeypatch.setattr(mixing, "SENT_BLOCKS", sent)
+    items = spark.range(4_000).selectExpr(
+        "id", "if(id < 2700, 'large', concat('s', id)) AS source", "10L AS size"
+    )
+    weights = {"large": 0.5} | {f"s{i}": 0.5 / 1300 for i in range(2700, 4000)}
+    got = mixing.placed(items, weights, block_chars=10).collect()
+    blocks = {s: 2700 if s == "large" else 1 for s in weights}
+    keyed = {f"={s}": s for s in weights}
+    expected = {
+        (keyed[s], *rest)
+        for s, *rest in mixing.schedule(
+            {k: blocks[s] for k, s in keyed.items()}, {k: weights[s] for k, s in keyed.items()}
+        )
+    }
+    assert {(r.source, r.block, r.phase, r.release, r.deadline, r.slot) for r in got} == expected
+    assert sorted(r.slot for r in got) == list(range(4_000))
+
+
 # ---- syncmers -----------------------------------------------------------------------------
 
 

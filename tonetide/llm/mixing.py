@@ -6,10 +6,11 @@ release) and must be placed before slot ceil((k + 1) / w) (its deadline). Servin
 slot, the released block with the earliest deadline meets all deadlines, so after any number
 of slots each source is less than one block away from its share.
 
-Weights are whole numbers of slots in a cycle of fixed length, so the schedule repeats: only
-one cycle per phase is worked out, on the driver, from the list of sources. A document finds
-its slot by arithmetic on its block number. Block numbers are running sums over parts of a
-source (hash ranges), so the largest source is spread like any other.
+Weights enter exactly, as whole numbers in their proportion, so nothing drifts however long a
+phase lasts and however many sources there are. The slots are served in one task that streams
+its result: it reads the list of sources and holds one chunk of blocks of each. A document finds
+its slot by a join on the chunk of its block number. Block numbers are running sums over parts
+of a source (hash ranges), so the largest source is spread like any other.
 
 When a source has no blocks left, the next phase starts: the rest share the slots in the
 proportion of their weights. Every document is placed exactly once.
@@ -18,16 +19,19 @@ Defined cases: documents without source are a source of their own. Null and empt
 size zero and take the block of their neighbours. Repeated rows are placed one after another.
 A document longer than a block counts where it begins; the blocks it covers stay its own. An
 empty table gives an empty table. The number of sources is taken to be small (it is the list
-that has weights), at most the cycle's length.
+that has weights).
 """
 
 from __future__ import annotations
 
 import heapq
+import itertools
 import math
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
+from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,9 +41,12 @@ from tonetide.session import cut_lineage
 CYCLE = 1000
 BLOCK_CHARS = 16_384
 PART_ROWS = 4_000
-PLAN = (
-    "key string, phases array<struct<first bigint, last bigint, base bigint, share int, "
-    "places array<int>>>"
+CHUNK = 256
+#: Schedules of up to so many blocks (about 32 bytes each) are sent along with the tasks.
+SENT_BLOCKS = 1 << 18
+PLACES = (
+    "key string, chunk bigint, places array<struct<phase int, release bigint, deadline bigint, "
+    "slot bigint>>"
 )
 
 
@@ -64,29 +71,61 @@ def shares_of(weights: Mapping[str, float], cycle: int = CYCLE) -> dict[str, int
     return out
 
 
-def cycle_of(shares: Mapping[str, int]) -> list[str]:
-    """The source served in each slot of one cycle: earliest deadline first among released."""
+def exact_shares(weights: Mapping[str, float]) -> dict[str, int]:
+    """Whole numbers in exactly the proportion of the weights."""
+    if any(not w > 0 or math.isinf(w) for w in weights.values()):
+        raise ValueError("weights must be positive")
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    scale = math.lcm(*(w.denominator for w in exact.values()))
+    return {s: int(w * scale) for s, w in exact.items()}
+
+
+def served(shares: Mapping[str, int]) -> Iterator[tuple[str, int, int, int]]:
+    """(source, block, release, deadline) of slot 0, 1, … without end: earliest deadline first
+    among released blocks."""
     length = sum(shares.values())
     release = lambda s, k: k * length // shares[s]
     deadline = lambda s, k: -(-(k + 1) * length // shares[s])
     waiting = [(0, deadline(s, 0), s, 0) for s in sorted(shares)]
     heapq.heapify(waiting)
-    ready: list[tuple[int, str, int]] = []
-    out = []
-    for slot in range(length):
+    ready: list[tuple[int, str, int, int]] = []
+    slot = 0
+    while shares:
         while waiting and waiting[0][0] <= slot:
-            _, due, s, k = heapq.heappop(waiting)
-            heapq.heappush(ready, (due, s, k))
-        _, s, k = heapq.heappop(ready)
-        out.append(s)
-        if k + 1 < shares[s]:
-            heapq.heappush(waiting, (release(s, k + 1), deadline(s, k + 1), s, k + 1))
-    return out
+            free, due, s, k = heapq.heappop(waiting)
+            heapq.heappush(ready, (due, s, k, free))
+        due, s, k, free = heapq.heappop(ready)
+        yield s, k, free, due
+        heapq.heappush(waiting, (release(s, k + 1), deadline(s, k + 1), s, k + 1))
+        slot += 1
+
+
+def cycle_of(shares: Mapping[str, int]) -> list[str]:
+    """The source served in each slot until every source has had its share once."""
+    return [s for s, *_ in itertools.islice(served(shares), sum(shares.values()))]
+
+
+def schedule(
+    blocks: Mapping[str, int], weights: Mapping[str, float]
+) -> Iterator[tuple[str, int, int, int, int, int]]:
+    """(source, block, phase of the source, release, deadline, slot) in the order of slots."""
+    left = {s: n for s, n in blocks.items() if n > 0}
+    base = phase = 0
+    while left:
+        done = {s: blocks[s] - n for s, n in left.items()}
+        for turn, (s, k, free, due) in enumerate(served(exact_shares({s: weights[s] for s in left}))):
+            yield s, done[s] + k, phase, base + free, base + due, base + turn
+            left[s] -= 1
+            if not left[s]:
+                del left[s]
+                break
+        base += turn + 1
+        phase += 1
 
 
 @dataclass(frozen=True)
 class Phase:
-    """Blocks ``first`` to ``last`` of a source, placed from slot ``base`` on."""
+    """Blocks ``first`` to ``last`` of a source, at ``places`` counted from slot ``base``."""
 
     first: int
     last: int
@@ -95,37 +134,37 @@ class Phase:
     places: list[int]
 
 
-def plan(
-    blocks: Mapping[str, int], weights: Mapping[str, float], cycle: int = CYCLE
-) -> dict[str, list[Phase]]:
-    """The phases of each source until all blocks are placed."""
-    left = {s: n for s, n in blocks.items() if n > 0}
-    out: dict[str, list[Phase]] = {s: [] for s in blocks}
-    base = 0
-    while left:
-        shares = shares_of({s: weights[s] for s in left}, cycle)
-        order = cycle_of(shares)
-        whole = min(left[s] // shares[s] for s in left)
-        used = {s: whole * shares[s] for s in left}
-        slots = whole * cycle
-        if all(used[s] < left[s] for s in left):
-            for s in order:
-                used[s] += 1
-                slots += 1
-                if used[s] == left[s]:
-                    break
-        places: dict[str, list[int]] = {s: [] for s in left}
-        for at, s in enumerate(order):
-            places[s].append(at)
-        for s in list(left):
-            first = blocks[s] - left[s]
-            if used[s]:
-                out[s].append(Phase(first, first + used[s] - 1, base, shares[s], places[s]))
-            left[s] -= used[s]
-            if not left[s]:
-                del left[s]
-        base += slots
-    return out
+def plan(blocks: Mapping[str, int], weights: Mapping[str, float]) -> dict[str, list[Phase]]:
+    """The schedule held in memory: the phases of each source until all blocks are placed."""
+    slots: dict[str, dict[int, list[tuple[int, int]]]] = {s: {} for s in blocks}
+    starts: dict[int, int] = {}
+    for s, block, phase, _, _, slot in schedule(blocks, weights):
+        starts.setdefault(phase, slot)
+        slots[s].setdefault(phase, []).append((block, slot))
+    return {
+        s: [
+            Phase(at[0][0], at[-1][0], starts[n], len(at), [slot - starts[n] for _, slot in at])
+            for n, at in own.items()
+        ]
+        for s, own in slots.items()
+    }
+
+
+def _chunks(blocks: Mapping[str, int], weights: Mapping[str, float], rows: int = 64):
+    """The schedule as Arrow batches of PLACES: at most a chunk of each source is held."""
+    open_chunks: dict[str, list[dict]] = {}
+    full: list[dict] = []
+    kind = pa.list_(pa.struct([("phase", pa.int32())] + [(n, pa.int64()) for n in ("release", "deadline", "slot")]))
+    shape = pa.schema([("key", pa.string()), ("chunk", pa.int64()), ("places", kind)])
+    for s, block, phase, free, due, slot in schedule(blocks, weights):
+        own = open_chunks.setdefault(s, [])
+        own.append({"phase": phase, "release": free, "deadline": due, "slot": slot})
+        if len(own) == CHUNK or block + 1 == blocks[s]:
+            full.append({"key": s, "chunk": block // CHUNK, "places": open_chunks.pop(s)})
+        if len(full) == rows:
+            yield pa.RecordBatch.from_pylist(full, shape)
+            full = []
+    yield pa.RecordBatch.from_pylist(full, shape)
 
 
 def _key(source: Column) -> Column:
@@ -136,13 +175,12 @@ def placed(
     items: DataFrame,
     weights: Mapping[str | None, float] | None = None,
     block_chars: int = BLOCK_CHARS,
-    cycle: int = CYCLE,
     seed: int = 1,
 ) -> DataFrame:
     """Adds block, release, deadline, slot, phase and offset to rows (id, source, size, …).
 
     ``weights`` by source; None: tempered sizes. ``items`` is read three times. Order inside a
-    source: hash of the id, then the id, then size.
+    source: hash of the id, then the id, then size, then column ``tie`` if there is one.
     """
     spark = items.sparkSession
     hashed = items.withColumn("key", _key(F.col("source").cast("string"))).withColumn(
@@ -161,14 +199,10 @@ def placed(
         wanted = {("" if s is None else f"={s}"): w for s, w in weights.items()}
         if lost := set(totals) - set(wanted):
             raise ValueError(f"no weight for {sorted(lost)}")
-    phases = plan(blocks, wanted, cycle)
-    table = spark.createDataFrame(
-        [
-            (k, [(p.first, p.last, p.base, p.share, p.places) for p in own])
-            for k, own in phases.items()
-        ],
-        PLAN,
-    )
+    table = spark.range(0, 1, 1, 1).mapInArrow(lambda _: _chunks(blocks, wanted), PLACES)
+    table = cut_lineage(table, "schedule")
+    if sum(blocks.values()) <= SENT_BLOCKS:
+        table = F.broadcast(table)
 
     most = max((rows for rows, _ in totals.values()), default=1)
     bits = max(0, math.ceil(math.log2(max(1, most / PART_ROWS))))
@@ -178,9 +212,11 @@ def placed(
     starts = sums.select(
         "key", "part", F.coalesce(F.sum("chars").over(earlier), F.lit(0)).alias("start")
     )
+    ends = spark.createDataFrame([(k, n - 1) for k, n in blocks.items()], "key string, last bigint")
+    starts = starts.join(F.broadcast(ends), "key")  # one row per source, like the weights
     inside = (
         Window.partitionBy("key", "part")
-        .orderBy("mark", "id", "size")
+        .orderBy("mark", "id", "size", *[c for c in items.columns if c == "tie"])
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     numbered = (
@@ -188,30 +224,16 @@ def placed(
         .withColumn(
             "offset", F.col("start") + F.coalesce(F.sum("size").over(inside), F.lit(0))
         )
-        .withColumn("block", F.floor(F.col("offset") / block_chars))
+        # a last text of size zero may begin where its source ends
+        .withColumn("block", F.least(F.floor(F.col("offset") / block_chars), "last"))
+    )
+    joined = numbered.withColumn("chunk", F.floor(F.col("block") / CHUNK)).join(
+        table, ["key", "chunk"]
     )
-    return _with_slots(numbered, table, cycle)
-
-
-def _with_slots(numbered: DataFrame, table: DataFrame, cycle: int) -> DataFrame:
-    """``table`` has one row per source: as bounded as the list of weights, so it is sent along."""
-    last = F.element_at("phases", -1)["last"]
-    joined = numbered.join(F.broadcast(table), "key")
-    # a last text of size zero may begin where its source ends
-    joined = joined.withColumn("block", F.least("block", last))
-    nth = F.size(F.filter("phases", lambda p: p["last"] < F.col("block")))
-    own = F.element_at("phases", (nth + 1).cast("int"))
-    step = F.col("block") - own["first"]
-    turn = F.floor(step / own["share"])
-    at = own["base"] + turn * cycle
+    own = F.element_at("places", (F.col("block") % CHUNK + 1).cast("int"))
     return joined.withColumns(
-        {
-            "phase": nth,
-            "release": own["base"] + F.floor(step * cycle / own["share"]),
-            "deadline": own["base"] + F.ceil((step + 1) * cycle / own["share"]),
-            "slot": at + F.element_at(own["places"], (step % own["share"] + 1).cast("int")),
-        }
-    ).drop("phases", "key", "part", "start", "mark")
+        {n: own[n] for n in ("phase", "release", "deadline", "slot")}
+    ).drop("places", "chunk", "key", "part", "start", "last", "mark", "tie")
 
 
 def _items(docs: DataFrame, id_col: str, source: str, text: str, *more: str) -> DataFrame:
