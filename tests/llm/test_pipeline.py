@@ -1,12 +1,15 @@
 """The corpus pipeline stage by stage, and every registered corpus query."""
 
+import random
+from collections import Counter
+
 import pytest
 from test_simhash import brute as components_of
 from test_text_operators import brute_words
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from tonetide.llm import pieces, quality_rules, registry
+from tonetide.llm import mixing, pieces, quality_rules, registry
 
 
 def rows_of(frame):
@@ -45,6 +48,42 @@ def test_stages(spark, make, table, corpus, tmp_path):
     assert {r.doc_id for r in docs.collect()} == set(texts)
 
 
+def test_mixed_order_reaches_the_last_rows(spark, tmp_path):
+    """Sorted by slot and offset, every prefix of the run's rows holds the target shares."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+
+    def text(i):
+        rng = random.Random(i)
+        return " ".join("".join(rng.choices(letters, k=rng.randint(2, 9))) for _ in range(300))
+
+    owner = lambda i: "ab"[i % 8 == 0] if i % 2 else "c"
+    rows = [(i, text(i), "en", owner(i)) for i in range(1200)]
+    folder = str(tmp_path)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    docs.repartition(7).write.parquet(f"{folder}/documents.parquet")
+    got = corpus_pipeline.run(spark, folder).select("doc_id", "source", "slot", "offset").collect()
+    sizes = {i: len(t) for i, t, *_ in rows}
+    chars = Counter()
+    for r in got:
+        chars[r.source] += sizes[r.doc_id]
+    weight = {s: n**0.5 for s, n in chars.items()}
+    total, block, longest = sum(weight.values()), mixing.BLOCK_CHARS, max(sizes.values())
+    blocks = {s: (n - 1) // block + 1 for s, n in chars.items()}
+    first_end = min(blocks[s] * total / weight[s] for s in weight)
+    done = Counter()
+    checked = 0
+    in_order = sorted(got, key=lambda r: (r.slot, r.offset))
+    assert len({(r.slot, r.offset) for r in got}) == len(got)
+    for r, after in zip(in_order, in_order[1:]):
+        assert r.offset == done[r.source]
+        done[r.source] += sizes[r.doc_id]
+        if after.slot != r.slot and r.slot < first_end - 3:
+            checked += 1
+            for s in weight:
+                assert abs(done[s] - (r.slot + 1) * block * weight[s] / total) < block + longest
+    assert checked > 30
+
+
 def test_run_equals_its_stages(spark, table, rough):
     folder = table(rough)
     got = corpus_pipeline.run(spark, folder)

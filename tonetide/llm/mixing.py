@@ -242,6 +242,7 @@ def _items(docs: DataFrame, id_col: str, source: str, text: str, *more: str) ->
         id=docs[id_col],
         source=docs[source],
         size=F.coalesce(F.length(docs[text].cast("string")), F.lit(0)).cast("bigint"),
+        tie=F.xxhash64(docs[text]),
     )
     return packed.select("id", "source", "size", *more)
 
@@ -261,6 +262,21 @@ def op7_source_mixing(spark, sf_dir: str) -> DataFrame:
     )
 
 
+def with_slots(
+    docs: DataFrame,
+    weights: Mapping[str | None, float] | None = None,
+    id_col: str = "doc_id",
+    source: str = "source",
+    text: str = "text",
+) -> DataFrame:
+    """All rows of ``docs`` with their place in the mixed order: by ``slot``, then ``offset``.
+
+    ``docs`` is read three times, so hand in a table.
+    """
+    places = placed(_items(docs, id_col, source, text, ROW, "tie"), weights)
+    return unpack(places, slot=F.col("slot"), offset=F.col("offset"))
+
+
 def mix(
     docs: DataFrame,
     weights: Mapping[str | None, float] | None = None,
@@ -270,8 +286,9 @@ def mix(
 ) -> DataFrame:
     """All rows of ``docs`` in the mixed order: across and within the files that are written.
 
-    ``docs`` is read three times, so hand in a table.
+    Readers do not keep that order; ``with_slots`` gives it as columns. ``docs`` is read three
+    times, so hand in a table.
     """
-    items = _items(docs, id_col, source, text, ROW)
-    ordered = placed(items, weights).repartitionByRange("slot", "offset", "id")
+    places = placed(_items(docs, id_col, source, text, ROW, "tie"), weights)
+    ordered = places.repartitionByRange("slot", "offset", "id")
     return unpack(ordered.sortWithinPartitions("slot", "offset", "id"))
