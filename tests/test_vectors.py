@@ -172,3 +172,19 @@ def test_own_embedder(spark):
         texts, embedder=lambda df: df.withColumn("embedding", F.array(F.length("text").cast("double"), F.lit(1.0)))
     )
     assert {r.doc_id: r.embedding for r in made.collect()} == {1: [3.0, 1.0], 2: [1.0, 1.0]}
+
+
+def test_one_over_wide_row_is_the_only_reject(spark):
+    """The usual width is the valid one, not the widest."""
+    good = [(i, [1.0, 0.1 * (i // 2), 0.0]) for i in range(6)]
+    df = spark.createDataFrame([*good, (99, [1.0, 0.0, 0.0, 0.0])], "vec_id long, embedding array<double>")
+    usable, rejects = vectors.split_vectors(df)
+    assert usable.count() == 6
+    assert [(r.vec_id, r.reason) for r in rejects.collect()] == [(99, "width")]
+    for method in ("lsh", "exact"):
+        found = {r.vec_id for r in vectors.near_duplicate_pairs(df, 0.999999, method).collect()}
+        assert found == {1, 3, 5}
+    queries = df.withColumnRenamed("vec_id", "query_id")
+    for bound in (0, 1 << 24):
+        hits = vectors.knn_search(df, queries, 2, query_bytes_bound=bound).collect()
+        assert {h.query_id for h in hits} == set(range(6)) and len(hits) == 12

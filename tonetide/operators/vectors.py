@@ -54,8 +54,19 @@ def embed_text(
     return made.select(key, "embedding")
 
 
-def split_vectors(df: DataFrame, dim: int) -> tuple[DataFrame, DataFrame]:
-    """(usable vectors, rejects with a reason: 'null', 'width', 'zero_norm')."""
+def usual_width(df: DataFrame) -> int:
+    """The most frequent width of the vectors, of equally frequent ones the largest; 0 without any."""
+    widths = df.filter("embedding IS NOT NULL").groupBy(F.size("embedding").alias("width"))
+    most = widths.count().agg(F.max_by("width", F.struct("count", "width"))).first()[0]
+    return most or 0
+
+
+def split_vectors(df: DataFrame, dim: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(usable vectors, rejects with a reason: 'null', 'width', 'zero_norm').
+
+    Without ``dim`` the table's usual width is the valid one, as in the searches below.
+    """
+    dim = usual_width(df) if dim is None else dim
     reason = (
         F.when(F.col("embedding").isNull() | F.exists("embedding", lambda x: x.isNull()), "null")
         .when(F.size("embedding") != dim, "width")
@@ -113,21 +124,22 @@ def knn_search(
     metadata: Sequence[str] = (),
     query_bytes_bound: int = QUERY_BYTES_BOUND,
     block_rows: int = BLOCK_ROWS,
+    dim: int | None = None,
 ) -> DataFrame:
     """Exact k nearest vectors by cosine distance for every query row: query_id, vec_id,
     distance, similarity, rank and the ``metadata`` columns of the corpus.
 
     ``corpus``: vec_id, embedding, …; ``queries``: query_id, embedding. Vectors that are
-    NULL, zero or not as wide as the widest query neither find nor are found
-    (``split_vectors`` names them). Query tables whose measured size is below the bound travel with the
+    NULL, zero or not ``dim`` wide (None: the usual width of the corpus) neither find nor are
+    found; ``split_vectors`` returns them. Query tables whose measured size is below the bound travel with the
     task and the corpus is scanned in place: one top-k list per partition and
     query leaves a task. Larger query tables are joined block by block.
     """
-    width = F.max(F.size("embedding"))
-    count, dim = queries.agg(F.count(F.lit(1)), width).first()
-    corpus, _ = split_vectors(corpus, dim or 0)
-    queries, _ = split_vectors(queries, dim or 0)
-    if count * (dim or 0) * 8 <= query_bytes_bound:
+    dim = usual_width(corpus) if dim is None else dim
+    corpus, _ = split_vectors(corpus, dim)
+    queries, _ = split_vectors(queries, dim)
+    count = queries.count()
+    if count * dim * 8 <= query_bytes_bound:
         hits = _knn_scan(corpus, queries, k)
     else:
         hits = _knn_blocks(corpus, queries, k, count, block_rows)
@@ -213,6 +225,7 @@ def near_duplicate_pairs(
     miss: float = 1e-6,
     salts: int = 16,
     block_rows: int = BLOCK_ROWS,
+    dim: int | None = None,
 ) -> DataFrame:
     """Every vector that has an earlier one at similarity ≥ ``threshold``, paired with
     the earliest such vector: (vec_id, duplicate_of, similarity).
@@ -225,9 +238,8 @@ def near_duplicate_pairs(
     number of bands is derived from ``bits`` so that a pair exactly at the threshold
     is overlooked with probability ``miss`` at most (closer pairs far less).
     ``'exact'`` compares everything block by block. NULL and zero vectors, and those
-    narrower than the widest, have no partner.
+    not ``dim`` wide (None: the usual width), have no partner; ``split_vectors`` returns them.
     """
-    dim = corpus.agg(F.max(F.size("embedding"))).first()[0] or 0
     vectors = split_vectors(corpus.select("vec_id", "embedding"), dim)[0]
     distinct = vectors.groupBy("embedding").agg(F.min("vec_id").alias("rep"))
     distinct = cut_lineage(distinct, "distinct-vectors")
