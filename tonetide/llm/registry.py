@@ -5,6 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from tonetide.llm import (
     debruijn,
+    divergence,
     katz,
     mixing,
     pieces,
@@ -27,6 +28,7 @@ QUERIES = [
     syncmers.op8_syncmer_fingerprints,
     pieces.op9_sentencepiece,
     debruijn.op10_substring_dedup,
+    divergence.op11_source_divergence,
 ]
 
 
@@ -37,4 +39,7 @@ def queries():
 def oracle_sql() -> dict[str, str]:
     """Twins of the queries that SQL can express within its time; tests hold the others
     against plain computations."""
-    return {"op10_substring_dedup": debruijn.ORACLE_SQL}
+    return {
+        "op10_substring_dedup": debruijn.ORACLE_SQL,
+        "op11_source_divergence": divergence.ORACLE_SQL,
+    }
