@@ -5,6 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from tonetide.llm import (
     debruijn,
+    decontamination,
     divergence,
     katz,
     mixing,
@@ -29,6 +30,7 @@ QUERIES = [
     pieces.op9_sentencepiece,
     debruijn.op10_substring_dedup,
     divergence.op11_source_divergence,
+    decontamination.op12_decontamination,
 ]
 
 
@@ -42,4 +44,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op10_substring_dedup": debruijn.ORACLE_SQL,
         "op11_source_divergence": divergence.ORACLE_SQL,
+        "op12_decontamination": decontamination.ORACLE_SQL,
     }
