@@ -10,6 +10,7 @@ from tonetide.llm import (
     katz,
     mixing,
     pieces,
+    prefix_trie,
     quality_model,
     quality_rules,
     simhash,
@@ -31,6 +32,7 @@ QUERIES = [
     debruijn.op10_substring_dedup,
     divergence.op11_source_divergence,
     decontamination.op12_decontamination,
+    prefix_trie.op13_prefix_trie,
 ]
 
 
@@ -45,4 +47,5 @@ def oracle_sql() -> dict[str, str]:
         "op10_substring_dedup": debruijn.ORACLE_SQL,
         "op11_source_divergence": divergence.ORACLE_SQL,
         "op12_decontamination": decontamination.ORACLE_SQL,
+        "op13_prefix_trie": prefix_trie.ORACLE_SQL,
     }
