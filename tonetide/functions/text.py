@@ -13,34 +13,7 @@ TOKEN_BREAK = r"[^\p{L}]+"
 
 def tokens(text: Column) -> Column:
     """Lower-cased runs of letters, in order."""
-    return F.filter(F.split(F.lower(text), TOKEN_BREAK), lambda t: t != "")
-
-
-def phrases_in(words: Column, phrases: Sequence[str]) -> Column:
-    """Distinct ``phrases`` of any number of words that occur in a token array.
-
-    Single words by set intersection; longer ones are only put together where their first
-    word fits, so the pass over the tokens makes no strings for the others.
-    """
-    by_length: dict[int, set[str]] = defaultdict(set)
-    for phrase in phrases:
-        by_length[len(phrase.split(" "))].add(phrase)
-    single = sorted(by_length.pop(1, ()))
-    found = F.array_intersect(words, F.array(*[F.lit(p) for p in single]).cast("array<string>"))
-    for length, own in sorted(by_length.items()):
-        found = F.concat(found, F.array_distinct(_runs_in(words, length, sorted(own))))
-    return found
-
-
-def _runs_in(words: Column, length: int, phrases: Sequence[str]) -> Column:
-    """Phrases of ``length`` words, as often as they occur."""
-    firsts = sorted({p.split(" ")[0] for p in phrases})
-
-    def run(word: Column, at: Column) -> Column:
-        following = [F.get(words, at + step) for step in range(1, length)]
-        return F.when(word.isin(*firsts), F.concat_ws(" ", word, *following))
-
-    return F.filter(F.transform(words, run), lambda p: p.isin(*phrases))
+    return F.array_remove(F.split(F.lower(text), TOKEN_BREAK), "")
 
 
 HIT_UNIT = 1 << 32

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from tonetide.functions import payload
 from tonetide.functions.stage import literal_table, with_once
-from tonetide.functions.text import count_tokens, phrases_in, strip_markup, tokens
+from tonetide.functions.text import count_tokens, strip_markup, tokens
+from tonetide.operators.gazetteer import ENTITIES, Gazetteer
 from tonetide.schemas import TEXT_FIELDS
 
 # --- fixed values: most frequent function words per language ----------------
@@ -130,8 +131,8 @@ def gazetteer_table(spark: SparkSession, gazetteer: Sequence[Instrument]) -> Dat
 
 
 def entities_of(words: Column, gazetteer: Sequence[Instrument]) -> Column:
-    """Sorted distinct ``array<struct<entity_type, entity_value, asset_class>>`` of a token
-    array."""
+    """Sorted distinct ``array<struct<entity_type, entity_value, asset_class>>`` of the tokens of
+    a text, given as one string with a blank before and after each token."""
     by_alias: dict[str, list[Column]] = {}
     for g in gazetteer:
         by_alias.setdefault(g.alias, []).append(
@@ -141,32 +142,38 @@ def entities_of(words: Column, gazetteer: Sequence[Instrument]) -> Column:
                 F.lit(g.asset_class).alias("asset_class"),
             )
         )
-    lookup = F.create_map(
-        *[part for alias, own in by_alias.items() for part in (F.lit(alias), F.array(*own))]
-    )
-    hits = phrases_in(words, list(by_alias))
-    named = F.flatten(F.transform(hits, lambda alias: lookup[alias]))
-    return F.array_sort(F.array_distinct(named))
+    none = F.array().cast(ENTITIES)
+    named = [
+        F.when(F.contains(words, F.lit(f" {alias} ")), F.array(*own).cast(ENTITIES)).otherwise(none)
+        for alias, own in by_alias.items()
+    ]
+    return F.array_sort(F.array_distinct(F.concat(none, *named)))
 
 
 def with_entities(
     df: DataFrame, gazetteer: Sequence[Instrument], text: str = "text"
 ) -> DataFrame:
-    """Add ``entities`` to a text table, row by row."""
-    words = with_once(df, {"__words": tokens(F.col(text))})
+    """Add ``entities`` to a text table, row by row, for a list of some dozen aliases.
+
+    Each alias is looked for in each text; ``Gazetteer`` is the form for tables of aliases.
+    """
+    spaced = F.concat(F.lit(" "), F.array_join(tokens(F.col(text)), " "), F.lit(" "))
+    words = with_once(df, {"__words": spaced})
     linked = with_once(words, {"entities": entities_of(F.col("__words"), gazetteer)})
     return linked.drop("__words")
 
 
 def link_entities(
-    df: DataFrame, gazetteer: Sequence[Instrument], key: str = "doc_id", text: str = "text"
+    df: DataFrame,
+    gazetteer: DataFrame | Sequence[Instrument],
+    key: str = "doc_id",
+    text: str = "text",
 ) -> DataFrame:
     """One row per (key, instrument) mentioned in the text, with its asset class.
 
-    Only matched aliases leave the row; the gazetteer itself is configuration
-    inside the expression.
+    ``gazetteer`` is a table (alias, entity_type, entity_value, asset_class) of any size, or a
+    short list of entries.
     """
-    linked = with_entities(df.select(key, text), gazetteer, text).drop(text)
-    return linked.select(key, F.explode("entities").alias("e")).select(
-        key, "e.entity_type", "e.entity_value", "e.asset_class"
-    )
+    if not isinstance(gazetteer, DataFrame):
+        gazetteer = gazetteer_table(df.sparkSession, gazetteer)
+    return Gazetteer(gazetteer).link(df, key, text)

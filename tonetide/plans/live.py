@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonetide.operators import alerts, ingest
+from tonetide.operators import ingest
 from tonetide.operators.scoring import lexicon_scorer
 from tonetide.plans.views import TOKENS, weigh
 from tonetide.session import ROCKSDB_PROVIDER, fresh_path
 from tonetide.sources import fixtures as fx
 from tonetide.sources import topics
-from tonetide.streaming import live, pipeline, sinks, state
+from tonetide.streaming import live, pipeline, rollup, sinks, state
 
 
 def _ntz(column: str):
@@ -71,22 +71,24 @@ def stream_dedup_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored.select("id", "source", "content_hash")
 
 
+def _live(spark: SparkSession, name: str, stream: DataFrame, form: rollup.RollUp) -> DataFrame:
+    return rollup.drain(stream, fresh_path(spark, name), form).current()
+
+
 def stream_hourly_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hours = live.stream_hourly_summary(_sentiment_stream(spark, sf_dir))
-    stored = sinks.drain_latest(hours, "hourly", ["hour", "source_type", "sentiment_label"])
-    return stored.withColumn("hour", _ntz("hour"))
+    hours = _live(spark, "hourly", _sentiment_stream(spark, sf_dir), live.hourly())
+    return hours.withColumn("hour", _ntz("hour"))
 
 
 def stream_source_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
-    senders = live.sender_counts(_sentiment_stream(spark, sf_dir))
-    stored = sinks.drain_latest(senders, "volume", ["hour", "source_type", "source_id"])
-    return live.volume_of(stored).withColumn("hour", _ntz("hour"))
+    hours = _live(spark, "volume", _sentiment_stream(spark, sf_dir), live.volume())
+    return hours.withColumn("hour", _ntz("hour"))
 
 
 def stream_error_rate_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     logs = fx.logs_from(fx.events_stream(spark, sf_dir))
-    stored = sinks.drain_latest(live.minute_counts(logs), "error-rate", ["component", "minute"])
-    return alerts.error_rates_of(stored).withColumn("window_start", _ntz("window_start")).withColumn(
+    found = _live(spark, "error-rate", logs, live.error_rates())
+    return found.withColumn("window_start", _ntz("window_start")).withColumn(
         "window_end", _ntz("window_end")
     )
 
@@ -101,9 +103,8 @@ def stream_threshold_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_shift_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    means = live.hourly_means(_sentiment_stream(spark, sf_dir))
-    stored = sinks.drain_latest(means, "shifts", ["source_type", "hour"])
-    return alerts.shifts_of(stored, 0.5).withColumn("hour", _ntz("hour"))
+    found = _live(spark, "shifts", _sentiment_stream(spark, sf_dir), live.shifts(0.5))
+    return found.withColumn("hour", _ntz("hour"))
 
 
 QUERIES = {

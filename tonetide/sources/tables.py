@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import or_
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +15,7 @@ from tonetide.operators.retention import purge_raw
 from tonetide.operators.vectors import upsert_embeddings
 from tonetide.schemas import RAW_RETENTION_DAYS
 from tonetide.session import cut_lineage
+from tonetide.sources.files import remove, stored
 
 OUT_OF_RANGE = "default"
 
@@ -79,13 +79,10 @@ def write_aggregates(aggregates: DataFrame, path: str) -> None:
     Only the days written to are read and rewritten.
     """
     rows = aggregates.withColumn("bucket_date", F.to_date("time_bucket"))
-    try:
-        stored = aggregates.sparkSession.read.parquet(path)
-    except AnalysisException:  # the first write
-        stored = None
-    if stored is not None:
+    before = stored(aggregates.sparkSession, path)
+    if before is not None:
         keys = ["time_bucket", "source", "sentiment"]
-        day = stored.join(rows.select("bucket_date").distinct(), "bucket_date", "left_semi")
+        day = before.join(rows.select("bucket_date").distinct(), "bucket_date", "left_semi")
         new = rows.select(*[F.col(k).alias(f"new_{k}") for k in keys])
         same = [F.col(k).eqNullSafe(F.col(f"new_{k}")) for k in keys]
         others = day.join(new, same, "left_anti").select(*rows.columns)
@@ -169,10 +166,7 @@ def purge_raw_table(
         rows = staged.repartitionByRange("y", "m", "timestamp")
         write_partitioned(rows, path, ["y", "m"], "overwrite")
     dropped = [_month_folder(r) for r in months if r.youngest < cutoff]
-    root = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    for folder in dropped:
-        files.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{folder}"), True)
+    remove(spark, [f"{path}/{folder}" for folder in dropped])
     return sorted(dropped)
 
 

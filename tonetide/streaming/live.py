@@ -4,6 +4,10 @@ In append mode a window is emitted once it is closed. To see open windows too, r
 one-aggregate streams (``stream_hourly_summary``, ``sender_counts``, ``minute_counts``,
 ``hourly_means``) in update mode and keep the latest row of each key
 (``sinks.latest_of``); the ``…_of`` functions turn such tables into the wanted form.
+
+These forms refuse rows behind the watermark (``sinks.late_rows`` counts them). The roll-ups at
+the end (``hourly``, ``volume``, ``error_rates``, ``shifts``) are for ``rollup.LiveTable``, which
+folds late rows back in.
 """
 
 from __future__ import annotations
@@ -16,6 +20,7 @@ from pyspark.sql import functions as F
 from tonetide.operators import alerts
 from tonetide.operators.summaries import hourly_measures
 from tonetide.schemas import ALERT_RULES, ERROR_SHARE_LIMIT, AlertRule
+from tonetide.streaming.rollup import RollUp, windowed
 from tonetide.streaming.state import compare_hours
 
 LATE = "1 hour"
@@ -119,3 +124,83 @@ def stream_threshold_alerts(
 def stream_shift_alerts(results: DataFrame, delta: float = 0.5, late: str = LATE) -> DataFrame:
     """Live form of ``sentiment_shift_alerts``: closed hours against the hour before."""
     return compare_hours(alerts.hourly_means(results.withWatermark("timestamp", late)), delta)
+
+
+# ---- mergeable forms ---------------------------------------------------------------------------
+
+
+def _hour():
+    return F.date_trunc("hour", "timestamp")
+
+
+def _sums(*columns: str) -> dict:
+    """Exact sum and number of known values of each column."""
+    out = {}
+    for c in columns:
+        out[f"{c}_sum"] = (F.sum(c), F.sum)
+        out[f"{c}_known"] = (F.count(c), F.sum)
+    return out
+
+
+def _mean(column: str):
+    return F.try_divide(F.col(f"{column}_sum").cast("double"), F.col(f"{column}_known"))
+
+
+def hourly() -> RollUp:
+    """``hourly_sentiment_summary``."""
+    return windowed(
+        {"hour": _hour(), **{c: F.col(c) for c in ("source_type", "sentiment_label")}},
+        {
+            "count": (F.count(F.lit(1)), F.sum),
+            **_sums("sentiment_score", "confidence_score"),
+            "low": (F.min("sentiment_score"), F.min),
+            "high": (F.max("sentiment_score"), F.max),
+        },
+        lambda rows: rows.select(
+            "hour",
+            "source_type",
+            "sentiment_label",
+            "count",
+            _mean("sentiment_score").alias("avg_score"),
+            _mean("confidence_score").alias("avg_confidence"),
+            F.col("low").cast("double").alias("min_score"),
+            F.col("high").cast("double").alias("max_score"),
+        ),
+    )
+
+
+def volume() -> RollUp:
+    """``source_volume_metrics``; partial rows by sender keep the number of senders exact."""
+    return windowed(
+        {"hour": _hour(), **{c: F.col(c) for c in ("source_type", "source_id")}},
+        {
+            "n": (F.count(F.lit(1)), F.sum),
+            "confidence": (F.sum("confidence_score"), F.sum),
+            "known": (F.count("confidence_score"), F.sum),
+        },
+        volume_of,
+    )
+
+
+def error_rates(limit: float = ERROR_SHARE_LIMIT) -> RollUp:
+    """``error_rate_alerts``; sliding windows are added up from minutes."""
+    return windowed(
+        {"minute": F.date_trunc("minute", "timestamp"), "component": F.col("component")},
+        {
+            "lines": (F.count(F.lit(1)), F.sum),
+            "errors": (F.count(F.when(F.col("level").isin("ERROR", "FATAL"), 1)), F.sum),
+        },
+        lambda rows: alerts.error_rates_of(rows, limit),
+        "5 minutes",
+    )
+
+
+def shifts(delta: float = 0.5) -> RollUp:
+    """``sentiment_shift_alerts``."""
+    return windowed(
+        {"hour": _hour(), "source_type": F.col("source_type")},
+        _sums("sentiment_score"),
+        lambda rows: alerts.shifts_of(
+            rows.select("source_type", "hour", _mean("sentiment_score").alias("avg_score")), delta
+        ),
+    )
