@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tonetide.operators.ordering import newest, previous_value
@@ -62,14 +62,62 @@ def flag_recent_duplicates(
     ).drop("__previous", "__hash", "__expires", "__key", "__first", "__known")
 
 
+def seen_sessions(messages: DataFrame, ttl_seconds: int, tie: str = "id") -> DataFrame:
+    """Runs of equal hashes whose gaps stay below the time-to-live: (content_hash, start, end, row).
+
+    ``row`` is the earliest message of the run, the one that is no duplicate. Messages of one
+    hash within the same slot of TTL length belong together whatever their order, so slots are
+    combined before the shuffle and a hash that fills an hour is no burden to one task.
+    """
+    if ttl_seconds <= 0:
+        raise ValueError("the time-to-live must be positive")
+    micros = F.unix_micros(F.col("timestamp").cast("timestamp"))
+    slot = (micros - F.pmod(micros, F.lit(ttl_seconds * 1_000_000))).alias("__slot")
+    row = F.struct(*[F.col(f"`{c}`") for c in messages.columns])
+    slots = messages.groupBy("content_hash", slot).agg(
+        F.min("timestamp").alias("start"),
+        F.max("timestamp").alias("end"),
+        F.min_by(row, F.struct("timestamp", tie)).alias("row"),
+    )
+    return joined_sessions(slots.drop("__slot"), ttl_seconds, tie)
+
+
+def joined_sessions(sessions: DataFrame, ttl_seconds: int, tie: str = "id") -> DataFrame:
+    """Sessions of any number of batches as whole ones, in whatever order they were found."""
+    order = Window.partitionBy("content_hash").orderBy("start", "end", f"row.{tie}")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    latest = F.max("end").over(before)
+    starts = latest.isNull() | (F.col("start") >= _plus_seconds(latest, ttl_seconds))
+    numbered = sessions.withColumn("__new", F.when(starts, 1).otherwise(0)).withColumn(
+        "__number", F.sum("__new").over(order)
+    )
+    return (
+        numbered.groupBy("content_hash", "__number")
+        .agg(
+            F.min("start").alias("start"),
+            F.max("end").alias("end"),
+            F.min_by("row", F.struct("row.timestamp", f"row.{tie}")).alias("row"),
+        )
+        .drop("__number")
+    )
+
+
 def skip_recent_duplicates(
     messages: DataFrame, seen: DataFrame, ttl_seconds: int = SEEN_TTL_SECONDS
 ) -> DataFrame:
     """Messages that are not duplicates under the sliding time-to-live."""
+    if ttl_seconds <= 0:
+        flagged = flag_recent_duplicates(messages, seen, ttl_seconds)
+        return flagged.filter(~F.col("is_duplicate")).drop("is_duplicate")
+    sessions = seen_sessions(messages, ttl_seconds)
+    known = seen.groupBy("content_hash").agg(F.max("expires_at").alias("__expires"))
+    first = F.min("start").over(Window.partitionBy("content_hash"))
+    # only the first session of a hash asks the state; an unknown time compares as null
+    asked = sessions.withColumn("__first", F.col("start").eqNullSafe(first) | F.col("start").isNull())
     return (
-        flag_recent_duplicates(messages, seen, ttl_seconds)
-        .filter(~F.col("is_duplicate"))
-        .drop("is_duplicate")
+        asked.join(known, "content_hash", "left")
+        .filter(~F.coalesce(F.col("__first") & (F.col("__expires") > F.col("start")), F.lit(False)))
+        .select("row.*")
     )
 
 

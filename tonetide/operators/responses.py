@@ -157,3 +157,29 @@ def signed_score(label: Column, score: Column) -> Column:
     return (
         F.when(label == "positive", score).when(label == "negative", -score).otherwise(F.lit(0.0))
     )
+
+
+def financial_outlook(results: DataFrame, entities: str = "entities") -> DataFrame:
+    """Add ``financial_sentiment`` by rule where no model answers: a stand-in with the same fields.
+
+    The market view follows the label, the risk the strength of the score (0.3 and 0.7), the
+    signal both; the horizon is the default. Names are those of the linked entities.
+    """
+    label, strength = F.col("sentiment_label"), F.abs(F.col("sentiment_score").cast("double"))
+    strong = strength >= 0.7
+    view = F.when(label == "positive", "bullish").when(label == "negative", "bearish")
+    risk = F.when(strong, "high").when(strength >= 0.3, "medium").otherwise("low")
+    signal = F.when(strong & (label == "positive"), "buy").when(strong & (label == "negative"), "sell")
+    names = (
+        F.col(entities)["entity_value"] if entities in results.columns else F.array().cast("array<string>")
+    )
+    fields = {
+        "market_sentiment": F.coalesce(view, F.lit(FINANCIAL_DEFAULTS["market_sentiment"])),
+        "risk_level": risk,
+        "time_horizon": F.lit(FINANCIAL_DEFAULTS["time_horizon"]),
+        "trading_signal": F.coalesce(signal, F.lit(FINANCIAL_DEFAULTS["trading_signal"])),
+        "financial_entities": names,
+    }
+    return results.withColumn(
+        "financial_sentiment", F.struct(*[c.alias(n) for n, c in fields.items()])
+    )

@@ -6,23 +6,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonetide.operators import ingest
+from tonetide.operators.gazetteer import Gazetteer
+from tonetide.operators.responses import financial_outlook
 from tonetide.operators.scoring import lexicon_scorer
-from tonetide.plans.views import TOKENS, weigh
-from tonetide.session import ROCKSDB_PROVIDER, fresh_path
+from tonetide.operators.texts import gazetteer_table
+from tonetide.plans.views import TOKENS, gazetteer_values, weigh
+from tonetide.session import fresh_path
 from tonetide.sources import fixtures as fx
 from tonetide.sources import topics
-from tonetide.streaming import live, pipeline, rollup, sinks, state
+from tonetide.streaming import live, pipeline, rollup, seen, sinks
 
 
 def _ntz(column: str):
     return F.col(column).cast("timestamp_ntz").alias(column)
 
 
-def _keyed_state(spark: SparkSession) -> None:
-    """Keyed state needs the RocksDB provider, which the driver's session may not have set."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
-
-
 def _sentiment_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.events_stream(spark, sf_dir).select(*fx.sentiment_of_event())
 
@@ -53,26 +51,37 @@ def write_results_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     messages = _topic(spark, fx.v_pipeline(spark, sf_dir))
-    outcomes = pipeline.drain_pipeline(messages, lexicon_scorer(fx.LEXICON))
+    aliases = Gazetteer(gazetteer_table(spark, fx.GAZETTEER))
+    outcomes = pipeline.drain_pipeline(
+        messages,
+        lexicon_scorer(fx.LEXICON),
+        stages=(lambda df: aliases.with_entities(df, "content_hash"), financial_outlook),
+    )
+    financial = F.col("financial_sentiment")
     return outcomes.select(
         "kind", "source", "source_id", "content_hash", _ntz("timestamp"), "sentiment_label",
         F.col("sentiment_score").cast("double").alias("sentiment_score"),
         F.col("confidence_score").cast("double").alias("confidence_score"),
         "error_type",
+        F.array_join(F.col("entities")["entity_value"], ",").alias("entities"),
+        financial["market_sentiment"].alias("market_sentiment"),
+        financial["risk_level"].alias("risk_level"),
+        financial["trading_signal"].alias("trading_signal"),
+        (F.col("processed_at").isNotNull()).alias("stamped"),
+        (F.col("processing_time_ms") >= 0).alias("timed"),
     )
 
 
+def _live(spark: SparkSession, name: str, stream: DataFrame, form: rollup.RollUp) -> DataFrame:
+    return rollup.drain(stream, fresh_path(spark, name), form).current()
+
+
 def stream_dedup_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _keyed_state(spark)
     messages = fx.messages_from(fx.events_stream(spark, sf_dir)).withColumn(
         "source_id", F.lpad(F.col("id").cast("string"), 12, "0")
     )
-    stored = sinks.drain_to_table(state.stream_dedup_ttl(messages, 12 * 3600, buckets=16), "first-seen")
-    return stored.select("id", "source", "content_hash")
-
-
-def _live(spark: SparkSession, name: str, stream: DataFrame, form: rollup.RollUp) -> DataFrame:
-    return rollup.drain(stream, fresh_path(spark, name), form).current()
+    passed = _live(spark, "first-seen", messages, seen.first_seen(12 * 3600, buckets=16))
+    return passed.select("id", "source", "content_hash")
 
 
 def stream_hourly_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,14 +134,24 @@ WITH winners AS (SELECT *, {TOKENS.format(text='text')} AS words FROM v_pipeline
     WHERE content_hash <> '' AND text IS NOT NULL
     QUALIFY row_number() OVER (PARTITION BY content_hash ORDER BY "timestamp", source_id) = 1),
 scored AS (SELECT *, (greatest(least({net}, 10), -10)::decimal(10,0) * 0.1::decimal(2,1))::decimal(5,4) AS score,
-    {hits} AS hits FROM winners)
-SELECT 'result' AS kind, source, source_id, content_hash, "timestamp",
-  CASE WHEN score > 0.1 THEN 'positive' WHEN score < -0.1 THEN 'negative' ELSE 'neutral' END AS sentiment_label,
+    {hits} AS hits FROM winners),
+labelled AS (SELECT *, CASE WHEN score > 0.1 THEN 'positive' WHEN score < -0.1 THEN 'negative' ELSE 'neutral' END AS label,
+    ' ' || array_to_string(words, '  ') || ' ' AS spaced FROM scored),
+named AS (SELECT content_hash, string_agg(entity_value, ',' ORDER BY entity_type, entity_value, asset_class) AS names FROM (
+    SELECT DISTINCT content_hash, entity_type, entity_value, asset_class FROM labelled
+    JOIN (VALUES {gazetteer_values()}) z(alias, entity_type, entity_value, asset_class)
+      ON contains(spaced, ' ' || replace(alias, ' ', '  ') || ' ')) GROUP BY 1)
+SELECT 'result' AS kind, source, source_id, content_hash, "timestamp", label AS sentiment_label,
   score::double AS sentiment_score,
   (CASE WHEN hits = 0 THEN 0.5 ELSE ((hits * 10000) // len(words)) * 0.0001::decimal(5,4) END)::decimal(5,4)::double AS confidence_score,
-  NULL::varchar AS error_type FROM scored
+  NULL::varchar AS error_type, coalesce(names, '') AS entities,
+  CASE label WHEN 'positive' THEN 'bullish' WHEN 'negative' THEN 'bearish' ELSE 'neutral' END AS market_sentiment,
+  CASE WHEN abs(score) >= 0.7 THEN 'high' WHEN abs(score) >= 0.3 THEN 'medium' ELSE 'low' END AS risk_level,
+  CASE WHEN abs(score) < 0.7 THEN 'hold' WHEN score > 0 THEN 'buy' ELSE 'sell' END AS trading_signal,
+  true AS stamped, true AS timed
+FROM labelled LEFT JOIN named USING (content_hash)
 UNION ALL SELECT 'reject', source, source_id, content_hash, "timestamp", NULL, NULL, NULL,
-  CASE WHEN content_hash = '' THEN 'missing_hash' ELSE 'no_text' END
+  CASE WHEN content_hash = '' THEN 'missing_hash' ELSE 'no_text' END, NULL, NULL, NULL, NULL, true, NULL
 FROM v_pipeline WHERE content_hash = '' OR text IS NULL"""
 
 

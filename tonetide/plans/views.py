@@ -53,10 +53,13 @@ FROM (SELECT *, (greatest(least({net}, 10), -10)::decimal(10,0) * 0.1::decimal(2
             FROM documents))"""
 
 
-def _entities_sql() -> str:
+def gazetteer_values() -> str:
     from tonetide.sources.fixtures import GAZETTEER
 
-    rows = _values([(g.alias, g.entity_type, g.entity_value, g.asset_class) for g in GAZETTEER])
+    return _values([(g.alias, g.entity_type, g.entity_value, g.asset_class) for g in GAZETTEER])
+
+
+def _entities_sql() -> str:
     return f"""
 SELECT DISTINCT g.id, z.entity_type, z.entity_value, z.asset_class
 FROM (SELECT id, unnest(list_concat(words, list_transform(
@@ -64,7 +67,7 @@ FROM (SELECT id, unnest(list_concat(words, list_transform(
         list_transform(list_zip(words, words[2:len(words)], words[3:len(words)]),
         lambda p: p[1] || ' ' || p[2] || ' ' || p[3]))) AS gram
       FROM v_scored) g
-JOIN (VALUES {rows}) z(alias, entity_type, entity_value, asset_class) ON g.gram = z.alias"""
+JOIN (VALUES {gazetteer_values()}) z(alias, entity_type, entity_value, asset_class) ON g.gram = z.alias"""
 
 
 VIEWS: dict[str, str] = {

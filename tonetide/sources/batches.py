@@ -50,8 +50,10 @@ class BatchTable:
     def write(self, rows: DataFrame, batch_id: int) -> None:
         """Rows of one micro-batch; writing it again replaces them."""
         named = rows.select(*self.columns).withColumn(BATCH, F.lit(batch_id).cast("long"))
+        # few files per partition; adaptive execution splits a large one
         (
-            named.write.mode("overwrite")
+            named.hint("rebalance", F.col(self.by))
+            .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy(self.by, BATCH)
             .parquet(f"{self.path}/open")
@@ -82,10 +84,14 @@ class BatchTable:
         same = F.col(self.by).eqNullSafe(F.col("__by")) & (F.col(VERSION) == F.col("held"))
         return rows.join(held, same).select(*rows.columns)
 
-    def read(self) -> DataFrame:
-        """All rows, merged."""
+    def read(self, before: int | None = None) -> DataFrame:
+        """All rows, merged; only those of batches below ``before``, if it is given (batches that
+        are folded are taken to be)."""
         commits = self._commits()
-        parts = [self._folded(commits), self._open(commits)]
+        open_ = self._open(commits)
+        if before is not None:
+            open_ = open_.where(F.col(BATCH) < before)
+        parts = [self._folded(commits), open_]
         rows = parts[0].select(*self.columns).union(parts[1].select(*self.columns))
         return self.merge(rows) if self.merge else rows
 
@@ -121,7 +127,7 @@ class BatchTable:
         rows = self.merge(rows) if self.merge else rows
         (
             rows.withColumn(VERSION, F.lit(version).cast("long"))
-            .repartition(self.by)
+            .hint("rebalance", F.col(self.by))
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy(self.by, VERSION)

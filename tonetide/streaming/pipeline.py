@@ -1,89 +1,128 @@
-"""Topic → text → dedup → score → one outcome table, as a single streaming query."""
+"""Topic → text → dedup → score → entities → one outcome table, as a single streaming query.
+
+The source is read once: each message becomes one tagged row. A micro-batch folds equal hashes,
+drops those whose result is stored already by an anti-join with the table of scored hashes, of
+which only the hash buckets met are read, and scores the rest. Nothing is kept as state of the
+stream; both tables are written by batch and folded, so a replay or a restart repeats nothing.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import datetime as dt
+import time
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from tonetide.operators.ingest import drop_missing_hash
+from tonetide.functions import payload
+from tonetide.functions.stage import with_once
+from tonetide.operators.gazetteer import ENTITIES
+from tonetide.operators.responses import FINANCIAL_DEFAULTS
 from tonetide.operators.scoring import RESULT_FIELDS, Scorer, score_sentiment
-from tonetide.operators.texts import extract_text
+from tonetide.operators.texts import text_of
 from tonetide.session import fresh_path
-from tonetide.sources import tables
+from tonetide.sources.batches import BatchTable
 from tonetide.streaming import sinks
 
 ROW_FIELDS = ["kind", "source", "source_id", "content_hash", "timestamp", "text", "error_type"]
-OUTCOME_COLUMNS = [*ROW_FIELDS, *[f.name for f in RESULT_FIELDS]]
+FINANCIAL = f"struct<{','.join(f'{n}:string' for n in FINANCIAL_DEFAULTS)},financial_entities:array<string>>"
+#: What stages may add to a scored row, and what it is without them.
+ADDED = {"entities": ENTITIES, "financial_sentiment": FINANCIAL}
+STAMPS = ["processed_at", "processing_time_ms"]
+OUTCOME_COLUMNS = [*ROW_FIELDS, *[f.name for f in RESULT_FIELDS], *ADDED, *STAMPS]
+BUCKETS = 32
+DAY = "outcome_date"
 
+Stage = Callable[[DataFrame], DataFrame]
 
-def candidate_stream(messages: DataFrame, already_scored: DataFrame | None = None) -> DataFrame:
-    """Parsed messages as rows for one outcome each, plus markers of hashes never met before.
 
-    Texts are extracted before deduplication because messages without text are
-    never remembered: each one is an error of its own. The markers come from
-    ``dropDuplicates`` over the bare hashes, so the state store holds one key per
-    scored hash and no content. ``already_scored`` (content_hash) starts a new
-    stream over an existing results table.
-    """
-    with_hash, no_hash = drop_missing_hash(messages)
-    with_text, no_text = extract_text(with_hash)
-    hashes = with_text.select("content_hash")
-    if already_scored is not None:
-        known = already_scored.select("content_hash").distinct()
-        hashes = hashes.join(known, "content_hash", "left_anti")
-    new = hashes.dropDuplicates(["content_hash"])
-
-    def rows(frame: DataFrame, kind: str, key: str) -> DataFrame:
-        fields = [
-            F.lit(kind).alias(c) if c == "kind"
-            else F.col(c) if c in frame.columns
-            else F.lit(None).cast("string").alias(c)
-            for c in ROW_FIELDS
-        ]
-        return frame.select(
-            F.concat_ws(":", F.lit(kind), F.col(key)).alias("outcome_key"),
-            F.lit(False).alias("is_new"),
-            F.struct(*fields).alias("row"),
-        )
+def tagged(messages: DataFrame) -> DataFrame:
+    """One row per message: a result to be, or a reject with its reason.
 
-    messages_in = rows(with_text, "result", "content_hash")
-    empty_row = F.lit(None).cast(messages_in.schema["row"].dataType)
-    markers = new.select(
-        F.concat_ws(":", F.lit("result"), F.col("content_hash")).alias("outcome_key"),
-        F.lit(True).alias("is_new"),
-        empty_row.alias("row"),
-    )
-    return (
-        messages_in.unionByName(markers)
-        .unionByName(rows(no_hash, "reject", "message_key"))
-        .unionByName(rows(no_text, "reject", "message_key"))
-    )
+    Rejects keep a key of their own: messages without hash or text are never remembered, each one
+    is an error of its own.
+    """
+    parsed = with_once(messages, {"__payload": payload.parse(F.col("content"))})
+    with_text = with_once(
+        parsed, {"text": text_of(F.col("source"), F.col("content"), F.col("__payload"))}
+    ).drop("__payload")
+    has_hash = F.coalesce(F.col("content_hash") != "", F.lit(False))
+    error = F.when(~has_hash, "missing_hash").when(F.col("text").isNull(), "no_text")
+    kind = F.when(error.isNull(), "result").otherwise("reject")
+    key = F.when(error.isNull(), F.col("content_hash")).otherwise(F.col("message_key"))
+    fields = {"kind": kind, "error_type": error}
+    row = F.struct(*[fields.get(c, F.col(c)).alias(c) for c in ROW_FIELDS])
+    return with_text.select(F.concat_ws(":", kind, key).alias("outcome_key"), row.alias("row"))
 
 
 def fold_candidates(candidates: DataFrame) -> DataFrame:
-    """Rows of one micro-batch that get an outcome: all rejects, one row per new hash.
-
-    Equal hashes fold into the earliest message (timestamp, then source_id) with
-    map-side combining; known hashes have no marker and fall away.
-    """
+    """One row per reject and per hash: the earliest message (timestamp, then source_id)."""
     order = F.struct("row.timestamp", "row.source_id")
     return (
-        candidates.groupBy("outcome_key")
-        .agg(
-            F.min_by("row", F.when(F.col("row").isNotNull(), order)).alias("row"),
-            F.max("is_new").alias("is_new"),
-        )
-        .filter(F.col("is_new") | (F.col("row.kind") == "reject"))
-        .select("row.*")
+        candidates.groupBy("outcome_key").agg(F.min_by("row", order).alias("row")).select("row.*")
     )
 
 
-def outcomes_of(folded: DataFrame, scorer: Scorer | None = None) -> DataFrame:
-    """Folded rows with scores. Only rows to score reach the model."""
+class Outcomes:
+    """The outcome table and the scored hashes at ``path``."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        text = {c: T.StringType() for c in ROW_FIELDS} | {"timestamp": T.TimestampType()}
+        ddl = [T.StructField(n, T._parse_datatype_string(kind)) for n, kind in ADDED.items()]
+        self.schema = T.StructType(
+            [
+                *(T.StructField(c, kind) for c, kind in text.items()),
+                *RESULT_FIELDS,
+                *ddl,
+                T.StructField("processed_at", T.TimestampType()),
+                T.StructField("processing_time_ms", T.LongType()),
+            ]
+        )
+        by_day = T.StructType([*self.schema, T.StructField(DAY, T.DateType())])
+        hashes = T.StructType.fromDDL("content_hash string, bucket int")
+        self.spark = spark
+        self.rows = BatchTable(spark, f"{path}/outcomes", by_day, DAY)
+        self.scored = BatchTable(spark, f"{path}/scored", hashes, "bucket", lambda df: df.distinct())
+
+    def read(self) -> DataFrame:
+        return self.rows.read().drop(DAY)
+
+    def remember(self, hashes: DataFrame, batch_id: int) -> None:
+        self.scored.write(hashes.select("content_hash", _bucket().alias("bucket")), batch_id)
+
+    def unscored(self, folded: DataFrame, batch_id: int) -> DataFrame:
+        """Rows without results of hashes that batches before this one have scored."""
+        met = folded.where("kind = 'result'").select(_bucket().alias("bucket")).distinct()
+        buckets = [r.bucket for r in met.collect()]  # at most BUCKETS
+        known = self.scored.read(batch_id).where(F.col("bucket").isin(buckets))
+        is_result = folded["kind"] == "result"
+        known = known.select(F.col("content_hash").alias("__known"))
+        return folded.join(known, is_result & (folded["content_hash"] == F.col("__known")), "left_anti")
+
+
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64("content_hash"), F.lit(BUCKETS)).cast("int")
+
+
+def outcomes_of(
+    folded: DataFrame, scorer: Scorer | None = None, stages: tuple[Stage, ...] = ()
+) -> DataFrame:
+    """Folded rows with scores and what ``stages`` add. Only rows to score reach the models."""
     results = score_sentiment(folded.filter("kind = 'result'"), scorer)
+    for stage in stages:
+        results = stage(results)
+    missing = {
+        c: (F.array() if c == "entities" else F.lit(None)).cast(kind)
+        for c, kind in ADDED.items()
+        if c not in results.columns
+    }
+    results = results.withColumns(missing) if missing else results
     rejects = folded.filter("kind = 'reject'")
-    return results.unionByName(rejects, allowMissingColumns=True).select(*OUTCOME_COLUMNS)
+    wanted = [c for c in OUTCOME_COLUMNS if c not in STAMPS]
+    return results.select(*wanted).unionByName(rejects, allowMissingColumns=True).select(*wanted)
 
 
 def stream_pipeline(
@@ -93,25 +132,51 @@ def stream_pipeline(
     already_scored: DataFrame | None = None,
     checkpoint: str | None = None,
     interval_seconds: int | None = 10,
+    stages: tuple[Stage, ...] = (),
+    fold_every: int = 64,
 ) -> StreamingQuery:
-    """Score a message stream into the outcome table at ``path`` (by kind and batch).
+    """Score a message stream into the outcome table at ``path`` (see ``Outcomes``).
 
-    The stateful step runs once per micro-batch: its folded rows are kept while
-    they are scored and written in one go. A replayed batch overwrites its own
-    partitions, so every result and reject is stored exactly once.
-    ``interval_seconds=None`` drains what is available.
+    ``stages`` map scored rows to rows with ``entities`` or ``financial_sentiment``.
+    ``already_scored`` (content_hash) starts a new stream over an existing results table.
+    ``processing_time_ms`` is a batch's time up to its stored scores, shared out evenly over
+    its results. ``interval_seconds=None`` drains what is available.
     """
+    spark = messages.sparkSession
+    table = Outcomes(spark, path)
+    if already_scored is not None:
+        table.remember(already_scored.select("content_hash").distinct(), -1)
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        began = time.monotonic()
         folded = fold_candidates(batch).persist()
         try:
-            outcomes = outcomes_of(folded, scorer)
-            rows = outcomes.withColumn("batch_id", F.lit(batch_id).cast("long"))
-            tables.write_partitioned(rows, path, ["kind", "batch_id"], "overwrite")
+            fresh = table.unscored(folded, batch_id)
+            outcomes = outcomes_of(fresh, scorer, stages).persist()
+            try:
+                results = outcomes.where("kind = 'result'")
+                n = results.count()
+                table.remember(results, batch_id)
+                elapsed = int(1000 * (time.monotonic() - began))
+                now = F.lit(dt.datetime.now(dt.timezone.utc)).cast("timestamp")
+                each = F.when(F.col("kind") == "result", F.lit(-(-elapsed // max(n, 1))))
+                stamped = outcomes.withColumns(
+                    {
+                        "processed_at": now,
+                        "processing_time_ms": each.cast("long"),
+                        DAY: F.to_date("timestamp"),
+                    }
+                )
+                table.rows.write(stamped, batch_id)
+            finally:
+                outcomes.unpersist()
         finally:
             folded.unpersist()
+        if batch_id and batch_id % fold_every == 0:
+            table.scored.fold(batch_id, 8)
+            table.rows.fold(batch_id, 8)
 
-    return sinks.start(candidate_stream(messages, already_scored), write, checkpoint, interval_seconds)
+    return sinks.start(tagged(messages), write, checkpoint, interval_seconds)
 
 
 def drain_pipeline(
@@ -121,7 +186,7 @@ def drain_pipeline(
     spark = messages.sparkSession
     path = path or fresh_path(spark, "outcomes")
     stream_pipeline(messages, path, scorer, interval_seconds=None, **options).awaitTermination()
-    return spark.read.parquet(path)
+    return Outcomes(spark, path).read()
 
 
 def outcome_counters(outcomes: DataFrame) -> DataFrame:

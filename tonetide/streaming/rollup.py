@@ -31,7 +31,7 @@ class RollUp:
 
     ``partial`` reduces rows to partial rows, ``merge`` brings partial rows together and
     ``finish`` makes the result. ``window`` is the start of a row's window, ``width`` its length
-    (None: rows have no window and are never late). ``part`` is the partition of a partial row.
+    (None: rows have no window and are never late; "0 seconds": each row is its own). ``part`` is the partition of a partial row.
     """
 
     partial: Callable[[DataFrame], DataFrame]
@@ -85,7 +85,7 @@ class LiveTable:
     ):
         self.spark, self.path, self.rollup, self.late = spark, path, rollup, late
         self.fold_every = fold_every
-        self.layout = layout
+        self._seen: tuple[int, object] | None = None  # the last batch written here, newest time
         shape = self._partial(spark.createDataFrame([], layout)).schema
         self.partials = BatchTable(spark, f"{path}/partials", shape, PART, rollup.merge)
         self.side = BatchTable(
@@ -99,10 +99,18 @@ class LiveTable:
 
     def border(self, batch_id: int) -> Column:
         """What the batches before this one have seen, less the allowed delay."""
+        return self._less(self._high(batch_id))
+
+    def _high(self, batch_id: int):
+        """The newest time of the batches before this one."""
+        if self._seen and self._seen[0] == batch_id - 1:
+            return self._seen[1]
         borders = self._borders()
-        high = None
-        if borders is not None:
-            high = borders.where(F.col(BATCH) < batch_id).agg(F.max("high")).first()[0]
+        if borders is None:
+            return None
+        return borders.where(F.col(BATCH) < batch_id).agg(F.max("high")).first()[0]
+
+    def _less(self, high) -> Column:
         return F.lit(high).cast("timestamp") - F.expr(f"INTERVAL {self.late}")
 
     def _borders(self) -> DataFrame | None:
@@ -112,7 +120,8 @@ class LiveTable:
         """foreachBatch body. All parts of a batch replace themselves when it is replayed; the
         border's row comes last."""
         self.partials.write(self._partial(batch), batch_id)
-        border = self.border(batch_id)
+        before = self._high(batch_id)
+        border = self._less(before)
         is_late = self._is_late(border)
         seen = batch.agg(
             F.max("timestamp").cast("timestamp").alias("high"),
@@ -126,13 +135,10 @@ class LiveTable:
             self.side.write(
                 batch.where(is_late).withColumn(PART, F.to_date(self.rollup.window)), batch_id
             )
-        line = self.spark.createDataFrame(row, seen.schema).coalesce(1)
-        (
-            line.write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy(BATCH)
-            .parquet(f"{self.path}/borders")
-        )
+        line = self.spark.createDataFrame(row, seen.schema).drop(BATCH).coalesce(1)
+        line.write.mode("overwrite").parquet(f"{self.path}/borders/{BATCH}={batch_id}")
+        newest = [t for t in (before, row[0]["high"]) if t is not None]
+        self._seen = (batch_id, max(newest, default=None))
         if batch_id and batch_id % self.fold_every == 0:
             self.partials.fold(batch_id, self.fold_every // 2)
 

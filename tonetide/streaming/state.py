@@ -49,14 +49,18 @@ class FirstSeen(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         now = pd.Timestamp(timerValues.getCurrentWatermarkInMs(), unit="ms")
-        entries = [(hash_key, pd.Timestamp(seen[0])) for hash_key, seen in self.last.iterator()]
-        alive = [seen for _, seen in entries if seen + self.ttl > now]
-        for hash_key, seen in entries:
+        expired, newest = [], None  # of a bucket's entries only the keys that go are held
+        for hash_key, entry in self.last.iterator():
+            seen = pd.Timestamp(entry[0])
             if seen + self.ttl <= now:
-                self.last.removeKey(hash_key)
+                expired.append(hash_key)
+            elif newest is None or seen > newest:
+                newest = seen
+        for hash_key in expired:
+            self.last.removeKey(hash_key)
         self.sweep.clear()
-        if alive:
-            self._sweep_at(max(alive))
+        if newest is not None:
+            self._sweep_at(newest)
         yield pd.DataFrame()
 
     def _sweep_at(self, newest: pd.Timestamp) -> None:
@@ -78,7 +82,8 @@ def stream_dedup_ttl(
 
     ``messages`` needs ``timestamp`` and ``source_id``. A micro-batch looks up
     its own hashes in RocksDB, once each. State is grouped by hash bucket because
-    a Python call per hash would cost more than the lookup.
+    a Python call per hash would cost more than the lookup. Decides at once and refuses
+    messages behind the watermark; ``seen.first_seen`` keeps a whole table instead.
     """
     processor = FirstSeen(ttl_seconds, messages.columns)
     keyed = messages.withWatermark("timestamp", late).withColumn(
