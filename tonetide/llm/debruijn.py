@@ -6,7 +6,7 @@ starts is its source. Walking a document along its repeated edges, a stretch is
 as long as the source walk goes on in step: such a stretch is compacted into one path
 (document, first word, edges, source document, source word), and all words of it are removed.
 
-Windows are compared by two independent hashes, 96 bits together. To keep unrepeated windows
+Windows are compared by two hashes of their words' bytes with different seeds, 95 bits together. To keep unrepeated windows
 from moving at all, a window is first represented by the least hash of its inner 5-word
 grams, which neighbouring windows mostly share. Only windows whose representative occurs in
 two documents are turned into edges; a bitmap of fixed size tells the tasks which these are
@@ -50,12 +50,11 @@ GRAM = 5
 #: A place is the low 23 bits of the text's mark (tells apart rows of one id) and a word number.
 PLACE_BITS = 40
 TAG = (1 << 23) - 1
-_OTHER = np.uint64(0xA0761D6478BD642F)
 
 
-def _hashed(text: bytes) -> np.ndarray:
+def _hashed(text: bytes, seed: int = 0) -> np.ndarray:
     data = np.frombuffer(text, np.uint8)
-    return word_hashes(data, *word_spans(data))
+    return word_hashes(data, *word_spans(data), seed)
 
 
 def _representatives(words: np.ndarray, window: int, gram: int) -> np.ndarray:
@@ -117,7 +116,7 @@ def edges(firsts: DataFrame, grams: Bitmap, window: int, gram: int) -> DataFrame
             if not len(at):
                 continue
             h.append(gram_hashes(words, window)[at])
-            extra.append((gram_hashes(mixed(words ^ _OTHER), window)[at] >> np.uint64(33)))
+            extra.append(gram_hashes(_hashed(text, 1), window)[at] >> np.uint64(33))
             ids.append(np.full(len(at), number, np.int64))
             places.append(at + ((mark & TAG) << PLACE_BITS))
         if not h:
