@@ -93,6 +93,33 @@ def unprocessed_page(raw: DataFrame, limit: int, offset: int = 0) -> DataFrame:
     )
 
 
+def unprocessed_after(
+    raw: DataFrame, limit: int, after: tuple[dt.datetime | None, int] | None = None
+) -> DataFrame:
+    """The next page behind a token (created_at, id), the last row of the page before it.
+
+    Each page is a filter and a top ``limit``, whatever its number: no earlier page is read or
+    sorted. Rows without ``created_at`` come first, as in ``unprocessed_page``.
+    """
+    waiting = raw.filter(F.col("processed_at").isNull())
+    if after is not None:
+        time, number = after
+        if time is None:
+            behind = F.col("created_at").isNotNull() | (F.col("id") > number)
+        else:
+            moment = F.lit(time).cast(raw.schema["created_at"].dataType)
+            same = (F.col("created_at") == moment) & (F.col("id") > number)
+            behind = (F.col("created_at") > moment) | same
+        waiting = waiting.filter(behind)
+    return waiting.orderBy("created_at", "id").limit(limit)
+
+
+def page_token(page: DataFrame) -> tuple[dt.datetime | None, int] | None:
+    """The token of a page; None for an empty one."""
+    last = page.orderBy(F.desc("created_at"), F.desc("id")).select("created_at", "id").first()
+    return (last["created_at"], last["id"]) if last else None
+
+
 def lookup_by_hash(raw: DataFrame, hashes: DataFrame) -> DataFrame:
     """Raw rows whose hash occurs in ``hashes``; unknown and empty hashes find nothing."""
     return raw.join(hashes.select("content_hash"), "content_hash", "left_semi").select(

@@ -167,8 +167,10 @@ def detect_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unprocessed_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    page = ingest.unprocessed_page(fx.v_raw(spark, sf_dir), 50, 25)
-    return page.select("id", "source", "created_at")
+    """The second page, behind a first one of 25 rows."""
+    raw = fx.v_raw(spark, sf_dir)
+    token = ingest.page_token(ingest.unprocessed_after(raw, 25))
+    return ingest.unprocessed_after(raw, 50, token).select("id", "source", "created_at")
 
 
 def lookup_by_hash(spark: SparkSession, sf_dir: str) -> DataFrame:

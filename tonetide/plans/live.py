@@ -41,7 +41,7 @@ def read_sentiment_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def write_results_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = sinks.drain_to_table(_sentiment_stream(spark, sf_dir), "results")
+    stored = sinks.drain_by_day(_sentiment_stream(spark, sf_dir), "results")
     return stored.select(
         "id", "source_id", "source_type", "sentiment_label", _ntz("timestamp"),
         F.col("sentiment_score").cast("double").alias("sentiment_score"),

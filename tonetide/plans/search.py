@@ -9,7 +9,7 @@ from tonetide.operators import search, vectors
 from tonetide.plans.views import DOC_TOKENS, _values
 from tonetide.session import fresh_path
 from tonetide.sources import fixtures as fx
-from tonetide.sources import tables
+from tonetide.sources.embeddings import EmbeddingTable
 
 
 def embed_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,17 +56,20 @@ def lookup_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def upsert_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A bucketed table, upserted with later versions of half the labels and new ids."""
+    """A table upserted with later versions of half the labels, then new ids; folded in between."""
     current = fx.v_emb(spark, sf_dir).select("vec_id", "embedding", "created_at")
     path = fresh_path(spark, "embeddings")
-    tables.write_embedding_buckets(current, path, 16)
+    table = EmbeddingTable.create(spark, path, current.schema, 16)
+    table.upsert(current)
     moved = F.transform("embedding", lambda x: (x * F.lit(2).cast("float")).cast("float"))
     newer = fx.v_emb(spark, sf_dir).filter("label >= 5").select(
         "vec_id", moved.alias("embedding"), (F.col("created_at") + F.expr("INTERVAL 1 DAY")).alias("created_at")
     )
     added = newer.withColumn("vec_id", F.col("vec_id") + 5_000_000)
-    tables.upsert_embedding_table(newer.unionByName(added), path, 16)
-    return spark.read.parquet(path).select(
+    table.upsert(newer)
+    table.compact()
+    EmbeddingTable(spark, path).upsert(added)
+    return table.read().select(
         "vec_id", "created_at", F.element_at("embedding", 1).cast("double").alias("first_element")
     )
 

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tonetide.operators.ordering import newest
 from tonetide.schemas import WRITER_INTERVAL_SECONDS
 from tonetide.session import fresh_path
 from tonetide.sources import tables
+from tonetide.sources.batches import BatchTable
 
 
 def start(
@@ -86,3 +88,29 @@ def drain_to_table(
     if not any(progress.numInputRows for progress in query.recentProgress):
         return spark.createDataFrame([], stream.schema)
     return spark.read.schema(stream.schema).parquet(path).select(*stream.columns)
+
+
+DAY = "result_date"
+
+
+def results_table(spark: SparkSession, path: str, layout: T.StructType) -> BatchTable:
+    """Results by day and micro-batch."""
+    return BatchTable(spark, path, T.StructType([*layout, T.StructField(DAY, T.DateType())]), DAY)
+
+
+def daily_writer(table: BatchTable, time: str = "timestamp", fold_every: int = 64):
+    """foreachBatch body: rows by day; the batches of a day are folded every so often."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        table.write(batch.withColumn(DAY, F.to_date(time)), batch_id)
+        if batch_id and batch_id % fold_every == 0:
+            table.fold(batch_id)
+
+    return write
+
+
+def drain_by_day(stream: DataFrame, name: str, fold_every: int = 64) -> DataFrame:
+    """Process all available input into a fresh table by day; returns its rows."""
+    table = results_table(stream.sparkSession, fresh_path(stream.sparkSession, name), stream.schema)
+    start(stream, daily_writer(table, fold_every=fold_every), None, None).awaitTermination()
+    return table.read().drop(DAY)
