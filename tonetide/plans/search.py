@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonetide.operators import search, vectors
+from tonetide.operators import vectors
 from tonetide.plans.views import DOC_TOKENS, _values
 from tonetide.session import fresh_path
 from tonetide.sources import fixtures as fx
 from tonetide.sources.embeddings import EmbeddingTable
+from tonetide.sources.postings import TermIndex
 
 
 def embed_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +76,16 @@ def upsert_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def term_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = search.term_search_scan(fx.table(spark, sf_dir, "documents"), fx.v_terms(spark))
+    """A stored index: some sources first, with other texts, folded; then all documents."""
+    docs = fx.table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    some = docs.where("source < 'src5'")
+    path = fresh_path(spark, "terms")
+    index = TermIndex.create(spark, path, docs.schema["doc_id"], ("text",), 8)
+    index.append(some.withColumn("text", F.concat_ws(" ", "text", "text")))
+    index.compact(least=1)
+    index = TermIndex(spark, path)
+    index.append(docs)
+    hits = index.search(fx.v_terms(spark))
     return hits.withColumn("rank", F.col("rank").cast("long"))
 
 
