@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tonetide.operators.ordering import rows_at_ranks
+from tonetide.operators.ordering import behind, row_at_rank, same_key
+from tonetide.session import cut_lineage
 
 SAMPLE_EVERY = 100
+KEYS = ["component", "error_type"]
 
 
 def error_summary(errors: DataFrame, prior: DataFrame | None = None) -> DataFrame:
@@ -20,38 +22,71 @@ def error_summary(errors: DataFrame, prior: DataFrame | None = None) -> DataFram
     message of the last occurrence numbered 1, 101, 201, … A prior state keeps
     its sample when no such number falls into the new rows.
     """
-    keys = ["component", "error_type"]
-    totals = errors.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("error_count"),
-        F.min("timestamp").alias("first_occurrence"),
-        F.max("timestamp").alias("last_occurrence"),
+    fresh = error_partials(errors, prior)
+    return fresh if prior is None else merge_error_summaries(prior, fresh)
+
+
+def error_partials(errors: DataFrame, prior: DataFrame | None = None) -> DataFrame:
+    """The summary of the new rows alone, numbered after the counts of ``prior``.
+
+    New rows are read twice: once for counts per second, which give the totals and the second
+    that holds the sample, and once for the rows of those seconds.
+    """
+    second = F.date_trunc("second", "timestamp").cast("timestamp_ntz")
+    counted = errors.groupBy(*KEYS, second.alias("second")).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.min("timestamp").alias("first"),
+        F.max("timestamp").alias("last"),
+    )
+    counts = cut_lineage(counted, "error-counts")
+    totals = counts.groupBy(*KEYS).agg(
+        F.sum("n").alias("error_count"),
+        F.min("first").alias("first_occurrence"),
+        F.max("last").alias("last_occurrence"),
+    )
+    offset = F.lit(0).cast("long")
+    numbered = totals
+    if prior is not None:
+        known = behind(prior.select(*KEYS, F.col("error_count").alias("before")), KEYS, "__")
+        numbered = totals.join(known, same_key(KEYS, "__"), "left")
+        offset = F.coalesce("before", F.lit(0))
+    # the last number n with n % 100 == 1 up to offset + error_count, as a rank among the new rows
+    last = F.floor((F.col("error_count") + offset - 1) / SAMPLE_EVERY) * SAMPLE_EVERY + 1 - offset
+    ranks = numbered.select(*KEYS, last.cast("long").alias("rank")).where("rank > 0")
+    place = _located(counts, ranks)
+    rows = errors.select(*KEYS, "id", "timestamp", "message", second.alias("second"))
+    samples = behind(
+        row_at_rank(rows, [*KEYS, "second"], ["timestamp", "id"], place).select(
+            *KEYS, F.col("message").alias("sample_message")
+        ),
+        KEYS,
+        "__",
+    )
+    return totals.join(samples, same_key(KEYS, "__"), "left").select(*totals.columns, "sample_message")
+
+
+def _located(counts: DataFrame, ranks: DataFrame) -> DataFrame:
+    """Each key's rank as (second, rank inside it): by hours first, then by seconds of one hour."""
+    hour = counts.withColumn("hour", F.date_trunc("hour", "second").cast("timestamp_ntz"))
+    hours = hour.groupBy(*KEYS, "hour").agg(F.sum("n").alias("n"))
+    in_hour = behind(_holding(hours, "hour", KEYS, behind(ranks, KEYS, "__")), [*KEYS, "hour"], "__")
+    return _holding(hour, "second", [*KEYS, "hour"], in_hour).select(*KEYS, "second", "rank")
+
+
+def _holding(counts: DataFrame, unit: str, keys: list[str], ranks: DataFrame) -> DataFrame:
+    """The unit that holds each key's rank, with the rank inside it."""
+    upto = Window.partitionBy(*keys).orderBy(unit)
+    mine = counts.join(ranks, same_key(keys, "__")).withColumn("upto", F.sum("n").over(upto))
+    inside = F.col("rank") - F.col("upto") + F.col("n")
+    return mine.where((inside > 0) & (inside <= F.col("n"))).select(
+        *dict.fromkeys([*KEYS, *keys, unit]), inside.alias("rank")
     )
-    if prior is None:
-        known, offset = None, F.lit(0)
-    else:
-        known = prior.select(*keys, F.col("error_count").alias("prior_count"))
-        offset = F.coalesce("prior_count", F.lit(0))
-    # the last number n with n % 100 == 1 up to offset + group_size, as a rank among the new rows
-    last_sample = (
-        F.floor((F.col("group_size") + offset - 1) / SAMPLE_EVERY) * SAMPLE_EVERY + 1 - offset
-    ).cast("long")
-    samples = rows_at_ranks(
-        errors,
-        keys,
-        ["timestamp", "id"],
-        F.date_trunc("hour", "timestamp"),
-        F.array(last_sample),
-        known,
-    ).select(*keys, F.col("message").alias("sample_message"))
-    summary = totals.join(samples, keys, "left")
-    return summary if prior is None else merge_error_summaries(prior, summary)
 
 
 def merge_error_summaries(prior: DataFrame, fresh: DataFrame) -> DataFrame:
     """Keyed upsert: counts add up, the fresh sample wins where it exists."""
-    keys = ["component", "error_type"]
     both = prior.withColumn("part", F.lit(0)).unionByName(fresh.withColumn("part", F.lit(1)))
-    return both.groupBy(*keys).agg(
+    return both.groupBy(*KEYS).agg(
         F.sum("error_count").alias("error_count"),
         F.min("first_occurrence").alias("first_occurrence"),
         F.max("last_occurrence").alias("last_occurrence"),

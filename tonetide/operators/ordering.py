@@ -8,10 +8,14 @@ key into chunks (a time bucket, a value bucket), do the row-level work inside
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tonetide.session import cut_lineage
+
 
 def previous_value(
     df: DataFrame,
@@ -70,46 +74,48 @@ def running_max(
     )
 
 
-def rows_at_ranks(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    chunk: Column,
-    ranks: Column,
-    known: DataFrame | None = None,
+def same_key(keys: Sequence[str], prefix: str) -> Column:
+    """Equality of ``keys`` with the columns of that name behind ``prefix``; NULL equals NULL."""
+    return reduce(and_, [F.col(k).eqNullSafe(F.col(prefix + k)) for k in keys])
+
+
+def behind(df: DataFrame, keys: Sequence[str], prefix: str) -> DataFrame:
+    """``df`` with ``prefix`` before its key columns."""
+    return df.withColumnsRenamed({k: prefix + k for k in keys})
+
+
+def row_at_rank(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], ranks: DataFrame
 ) -> DataFrame:
-    """Rows that stand at given 1-based ranks within ``keys``, with a ``rank`` column.
+    """The row at the 1-based ``rank`` that ``ranks`` (keys, rank: one row a key) asks for.
 
-    ``ranks`` is an array of ranks computed from ``group_size``, key columns and
-    the columns of ``known`` (one row per key, or none: NULLs). Chunk counts
-    locate the chunk of each rank; only the rows of those chunks are sorted.
+    Rows are dealt by ranges of (keys, order), so that a key that holds most rows fills many
+    tasks; counts per (key, range) locate the range of the rank, and only its rows are sorted.
+    Keys without a wanted rank, or with one beyond their rows, give none. ``df`` is staged twice.
     """
-    split = df.withColumn("__chunk", chunk)
-    running = Window.partitionBy(*keys).orderBy("__chunk")
-    whole = Window.partitionBy(*keys)
-    counts = split.groupBy(*keys, "__chunk").agg(F.count(F.lit(1)).alias("__n"))
-    if known is not None:
-        counts = counts.join(known, [*keys], "left")
-    chunks = (
-        counts.withColumn("__upto", F.sum("__n").over(running))
-        .withColumn("group_size", F.sum("__n").over(whole))
-        .withColumn("__before", F.col("__upto") - F.col("__n"))
-        .withColumn("__ranks", ranks)
-        .withColumn(
-            "__ranks",
-            F.filter(
-                "__ranks", lambda r: (r > F.col("__before")) & (r <= F.col("__upto"))
-            ),
+    wanted = cut_lineage(behind(ranks, keys, "__"), "ranks")
+    among = df.join(wanted.drop("rank"), same_key(keys, "__"), "left_semi")
+    # ranges are sampled from the stored rows, not from what made them
+    dealt = cut_lineage(among, "ranked").repartitionByRange(*keys, *order)
+    parts = cut_lineage(dealt.withColumn("__part", F.spark_partition_id()), "ranges")
+    upto = Window.partitionBy(*keys).orderBy("__part")
+    counts = parts.groupBy(*keys, "__part").agg(F.count(F.lit(1)).alias("__n"))
+    found = (
+        counts.withColumn("__upto", F.sum("__n").over(upto))
+        .join(wanted, same_key(keys, "__"))
+        .where((F.col("rank") <= F.col("__upto")) & (F.col("rank") > F.col("__upto") - F.col("__n")))
+        .select(
+            *[F.col(k).alias(f"__{k}") for k in keys],
+            F.col("__part").alias("__at"),
+            (F.col("rank") - F.col("__upto") + F.col("__n")).alias("__place"),
         )
-        .filter(F.size("__ranks") > 0)
-        .select(*keys, "__chunk", "__before", "__ranks", "group_size")
     )
-    inside = Window.partitionBy(*keys, "__chunk").orderBy(*order)
+    inside = Window.partitionBy(*keys).orderBy(*order)
     return (
-        split.join(chunks, [*keys, "__chunk"])
-        .withColumn("rank", F.row_number().over(inside) + F.col("__before"))
-        .filter(F.array_contains("__ranks", F.col("rank")))
-        .drop("__chunk", "__before", "__ranks")
+        parts.join(found, same_key(keys, "__") & (F.col("__part") == F.col("__at")))
+        .withColumn("__row", F.row_number().over(inside))
+        .where(F.col("__row") == F.col("__place"))
+        .select(*df.columns)
     )
 
 

@@ -11,6 +11,8 @@ from tonetide.operators import alerts, errors, logs, metrics, retention, summari
 from tonetide.session import fresh_path
 from tonetide.sources import fixtures as fx
 from tonetide.sources import tables
+from tonetide.sources.errors import ErrorTable
+from tonetide.sources.summaries import DAY, SummaryTable, touched_days, with_day_of
 
 MIDDLE = dt.datetime(2024, 1, 15)
 MIDDLE_SQL = "TIMESTAMP '2024-01-15 00:00:00'"
@@ -20,6 +22,12 @@ def _at(moment: dt.datetime):
     return F.lit(moment).cast("timestamp_ntz")
 
 
+def _halves(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows before the middle of the month (those without a time too) and the others."""
+    late = F.coalesce(F.col("timestamp") >= _at(MIDDLE), F.lit(False))
+    return rows.filter(~late), rows.filter(late)
+
+
 def hourly_sentiment_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summaries.hourly_sentiment_summary(fx.v_sentiment(spark, sf_dir))
 
@@ -33,13 +41,29 @@ def source_volume_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def refresh_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three views as of mid-month, refreshed with the rows that came after."""
-    results = fx.v_sentiment(spark, sf_dir)
-    before = results.filter(F.col("timestamp") < _at(MIDDLE))
-    after = results.filter(F.col("timestamp") >= _at(MIDDLE))
+    """The three views as of mid-month, stored by day, refreshed with the rows that came after."""
+    results = with_day_of(fx.v_sentiment(spark, sf_dir))
+    before, after = _halves(results)
+    path = fresh_path(spark, "results")
+    tables.write_partitioned(before.hint("rebalance", F.col(DAY)), path, [DAY])
+
+    def stored_results():
+        return spark.read.schema(results.schema).parquet(path)
+
+    views = {
+        name: SummaryTable(spark, fresh_path(spark, f"view-{name}"), name, stored_results)
+        for name in summaries.SUMMARY_VIEWS
+    }
+    days = touched_days(before)
+    for table in views.values():
+        table.refresh_days(days)
+    tables.write_partitioned(after.hint("rebalance", F.col(DAY)), path, [DAY])
+    days = touched_days(after)
+    for table in views.values():
+        table.refresh_days(days)
     parts = []
-    for view, (summarise, unit) in summaries.SUMMARY_VIEWS.items():
-        fresh = summaries.refresh_summary(view, summarise(before), results, after)
+    for view, (_, unit) in summaries.SUMMARY_VIEWS.items():
+        fresh = views[view].read()
         count = "message_count" if view == "volume" else "count"
         label = F.lit("") if view == "volume" else F.col("sentiment_label")
         parts.append(
@@ -85,15 +109,19 @@ def entity_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def error_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prior state from the first half of the month, merged with the second half."""
+    """A stored summary of the first half of the month, extended by the second half."""
     failed = fx.v_logs(spark, sf_dir).filter("level = 'ERROR'")
-    prior = errors.error_summary(failed.filter(F.col("timestamp") < _at(MIDDLE)))
-    return errors.error_summary(failed.filter(F.col("timestamp") >= _at(MIDDLE)), prior)
+    table = ErrorTable(spark, fresh_path(spark, "errors"))
+    for batch, rows in enumerate(_halves(failed)):
+        table.add(rows, batch)
+    return table.read()
 
 
 def recent_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    failed = fx.v_logs(spark, sf_dir).filter("level = 'ERROR'")
-    return errors.recent_errors(errors.error_summary(failed), fx.AS_OF)
+    """Read from the stored summary."""
+    table = ErrorTable(spark, fresh_path(spark, "errors"))
+    table.add(fx.v_logs(spark, sf_dir).filter("level = 'ERROR'"), 0)
+    return errors.recent_errors(table.read(), fx.AS_OF)
 
 
 def pipeline_counters(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -76,13 +76,12 @@ def upsert_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def term_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A stored index: some sources first, with other texts, folded; then all documents."""
+    """A stored index: some sources first, with other texts; then all documents."""
     docs = fx.table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     some = docs.where("source < 'src5'")
     path = fresh_path(spark, "terms")
     index = TermIndex.create(spark, path, docs.schema["doc_id"], ("text",), 8)
     index.append(some.withColumn("text", F.concat_ws(" ", "text", "text")))
-    index.compact(least=1)
     index = TermIndex(spark, path)
     index.append(docs)
     hits = index.search(fx.v_terms(spark))
