@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import os
+import random
 import zlib
 from array import array
 from collections import Counter
@@ -244,6 +245,23 @@ def test_token_files(spark, table, rough, monkeypatch):
     assert token_files.op5_token_files(spark, table([])).count() == 0
 
 
+def test_words_of_a_line_have_their_own_ids():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    rng = random.Random(3)
+    letters = "abzABZ019'’.,!éßΣσς中文ｆ\u00a0\u2028\u0301\u200b\u0130<|>"
+    words = {"".join(rng.choices(letters, k=rng.randrange(1, 9))) for _ in range(3000)}
+    words |= {"<|endoftext|>", "a<|startoftext|>b", "İ", "\u0301x", "\u00a0", "don't"}
+    whole = Tokenizer.from_file(public_tokenizers.path(token_files.TOKENIZER))
+    texts = [" ".join(rng.choices(sorted(words), k=400)) for _ in range(20)] + sorted(words)
+    made = token_files.WordTokenizer(public_tokenizers.path(token_files.TOKENIZER)).encode(
+        [t.encode() for t in texts], b""
+    )
+    for text, ids in zip(texts, made):
+        assert np.frombuffer(ids, "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
+
+
 # ---- mixing -------------------------------------------------------------------------------
 
 

@@ -6,7 +6,8 @@ counts), the coded blocks, their lengths and checksums. Every block is decoded b
 checked. Reading back takes the start of each document from the counts in the indexes.
 
 Text is cut at white space, which no token of this tokenizer contains, and each distinct word
-is tokenized once per task and remembered: the ids are those of the whole text.
+is tokenized once per task and remembered: the ids are those of the whole text. New words go to
+the tokenizer many to a line, and the line's ids are dealt out by their offsets.
 
 Defined cases: a null or empty text has only the end id. Rows without id come first, rows with
 equal ids in the order of a hash of the text. Repeated rows are written each. A document longer
@@ -18,6 +19,7 @@ from __future__ import annotations
 import functools
 import os
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +36,8 @@ END_ID = 2
 CHUNK_IDS = 4 << 20
 #: Words whose ids a worker remembers; beyond, it starts afresh (results do not change).
 REMEMBERED = 400_000
+#: New words that make a line; a call for each would cost more than the tokenizing.
+LINE_WORDS = 200
 CHUNK = (
     "part int, chunk int, n_ids bigint, doc_ids binary, without_id binary, counts binary, "
     "lengths binary, checksums binary, payload binary"
@@ -57,12 +61,28 @@ class WordTokenizer:
             self.known.clear()
         known = self.known
         new = list(set().union(*cut).difference(known))
-        made = self.tokenizer.encode_batch_fast(
-            [w.decode() for w in new], add_special_tokens=False
-        )
-        known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, made))
+        for at in range(0, len(new), LINE_WORDS << 5):
+            known.update(self._tokenized(new[at : at + (LINE_WORDS << 5)]))
         return [b"".join([known[w] for w in words]) + end for words in cut]
 
+    def _tokenized(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        """Each word with its ids. A word that may hold a special token is a line by itself:
+        such tokens may take in the blanks around them."""
+        plain = [w for w in words if b"<|" not in w]
+        lines = [plain[at : at + LINE_WORDS] for at in range(0, len(plain), LINE_WORDS)]
+        lines += [[w] for w in words if b"<|" in w]
+        texts = [[w.decode() for w in line] for line in lines]
+        made = self.tokenizer.encode_batch([" ".join(t) for t in texts], add_special_tokens=False)
+        for line, text, e in zip(lines, texts, made):
+            ids = np.array(e.ids, "<u4").tobytes()
+            if len(line) == 1:
+                yield line[0], ids
+                continue
+            places = np.fromiter((first for first, _ in e.offsets), np.int64, len(e.ids))
+            after = np.cumsum([len(w) + 1 for w in text[:-1]])
+            cuts = (4 * np.searchsorted(places, after)).tolist()
+            yield from zip(line, (ids[a:b] for a, b in zip([0, *cuts], [*cuts, len(ids)])))
+
 
 @functools.cache
 def tokenizer(name: str = TOKENIZER) -> WordTokenizer:
