@@ -268,27 +268,21 @@ def test_words_of_a_line_have_their_own_ids():
 @pytest.mark.parametrize(
     "weights", [{"a": 0.5, "b": 0.3, "c": 0.2}, {"a": 1, "b": 1000}, {f"s{i}": i + 1 for i in range(30)}]
 )
-def test_cycle_deviates_less_than_one_block(weights):
-    shares = mixing.shares_of(weights)
-    done = Counter()
-    for slot, source in enumerate(mixing.cycle_of(shares), 1):
+def test_slots_deviate_less_than_one_block(weights):
+    shares = mixing.exact_shares(weights)
+    length, done = sum(shares.values()), Counter()
+    for slot, (source, *_) in enumerate(itertools.islice(mixing.served(shares), 4000), 1):
         done[source] += 1
-        assert all(abs(done[s] * mixing.CYCLE - slot * n) < mixing.CYCLE for s, n in shares.items())
-    assert done == shares
+        assert all(abs(done[s] * length - slot * n) < length for s, n in shares.items())
 
 
-def test_plan_places_every_block_once():
+def test_schedule_places_every_block_once():
     blocks = {"a": 2500, "b": 3, "c": 700, "d": 0}
-    phases = mixing.plan(blocks, {"a": 1, "b": 2, "c": 3, "d": 1})
-    slots = []
-    for source, own in phases.items():
-        covered = [k for p in own for k in range(p.first, p.last + 1)]
-        assert covered == list(range(blocks[source]))
-        for p in own:
-            for k in range(p.first, p.last + 1):
-                turn, nth = divmod(k - p.first, p.share)
-                slots.append(p.base + turn * mixing.CYCLE + p.places[nth])
-    assert sorted(slots) == list(range(sum(blocks.values())))
+    rows = list(mixing.schedule(blocks, {"a": 1, "b": 2, "c": 3, "d": 1}))
+    assert [slot for *_, slot in rows] == list(range(sum(blocks.values())))
+    assert all(release <= slot < deadline for *_, release, deadline, slot in rows)
+    for source, n in blocks.items():
+        assert [k for s, k, *_ in rows if s == source] == list(range(n))
 
 
 def test_mixing_query(spark, table, make, rough, monkeypatch):

@@ -25,10 +25,8 @@ that has weights).
 from __future__ import annotations
 
 import heapq
-import itertools
 import math
 from collections.abc import Iterator, Mapping
-from dataclasses import dataclass
 from fractions import Fraction
 
 import pyarrow as pa
@@ -38,7 +36,6 @@ from pyspark.sql import functions as F
 from tonetide.llm.common import ROW, documents, pack, unpack
 from tonetide.session import cut_lineage
 
-CYCLE = 1000
 BLOCK_CHARS = 16_384
 PART_ROWS = 4_000
 CHUNK = 256
@@ -55,22 +52,6 @@ def tempered(sizes: Mapping[str, int], power: float = 0.5) -> dict[str, float]:
     return {s: max(n, 1) ** power for s, n in sizes.items()}
 
 
-def shares_of(weights: Mapping[str, float], cycle: int = CYCLE) -> dict[str, int]:
-    """Whole slots per cycle by largest remainder, at least one each."""
-    if len(weights) > cycle:
-        raise ValueError("more sources than slots in a cycle")
-    if any(not w > 0 or math.isinf(w) for w in weights.values()):
-        raise ValueError("weights must be positive")
-    total = sum(weights.values())
-    spare = cycle - len(weights)
-    ideal = {s: spare * w / total for s, w in weights.items()}
-    out = {s: 1 + int(x) for s, x in ideal.items()}
-    left = cycle - sum(out.values())
-    for s in sorted(ideal, key=lambda s: (int(ideal[s]) - ideal[s], s))[:left]:
-        out[s] += 1
-    return out
-
-
 def exact_shares(weights: Mapping[str, float]) -> dict[str, int]:
     """Whole numbers in exactly the proportion of the weights."""
     if any(not w > 0 or math.isinf(w) for w in weights.values()):
@@ -100,11 +81,6 @@ def served(shares: Mapping[str, int]) -> Iterator[tuple[str, int, int, int]]:
         slot += 1
 
 
-def cycle_of(shares: Mapping[str, int]) -> list[str]:
-    """The source served in each slot until every source has had its share once."""
-    return [s for s, *_ in itertools.islice(served(shares), sum(shares.values()))]
-
-
 def schedule(
     blocks: Mapping[str, int], weights: Mapping[str, float]
 ) -> Iterator[tuple[str, int, int, int, int, int]]:
@@ -123,33 +99,6 @@ def schedule(
         phase += 1
 
 
-@dataclass(frozen=True)
-class Phase:
-    """Blocks ``first`` to ``last`` of a source, at ``places`` counted from slot ``base``."""
-
-    first: int
-    last: int
-    base: int
-    share: int
-    places: list[int]
-
-
-def plan(blocks: Mapping[str, int], weights: Mapping[str, float]) -> dict[str, list[Phase]]:
-    """The schedule held in memory: the phases of each source until all blocks are placed."""
-    slots: dict[str, dict[int, list[tuple[int, int]]]] = {s: {} for s in blocks}
-    starts: dict[int, int] = {}
-    for s, block, phase, _, _, slot in schedule(blocks, weights):
-        starts.setdefault(phase, slot)
-        slots[s].setdefault(phase, []).append((block, slot))
-    return {
-        s: [
-            Phase(at[0][0], at[-1][0], starts[n], len(at), [slot - starts[n] for _, slot in at])
-            for n, at in own.items()
-        ]
-        for s, own in slots.items()
-    }
-
-
 def _chunks(blocks: Mapping[str, int], weights: Mapping[str, float], rows: int = 64):
     """The schedule as Arrow batches of PLACES: at most a chunk of each source is held."""
     open_chunks: dict[str, list[dict]] = {}
