@@ -39,10 +39,28 @@ def matrix(vectors) -> np.ndarray:
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
-def bands_needed(threshold: float, bits: int, miss: float) -> int:
-    """Bands so that a pair at ``threshold`` shares no bucket with probability ≤ ``miss``."""
-    agree = 1.0 - math.acos(threshold) / math.pi
-    return math.ceil(math.log(miss) / math.log(1.0 - agree**bits))
+def agreement(threshold: float) -> float:
+    """Probability that a random plane has both vectors of a pair at ``threshold`` on one side."""
+    return 1.0 - math.acos(threshold) / math.pi
+
+
+def bands_needed(threshold: float, bits: int, miss: float, kept: float = 1.0) -> int:
+    """Bands so that a pair at ``threshold`` is overlooked by all with probability ≤ ``miss``.
+
+    ``kept``: probability that a band which holds the pair in one bucket also reports it.
+    """
+    share = min(kept * agreement(threshold) ** bits, 1.0 - 1e-9)
+    return math.ceil(math.log(miss) / math.log1p(-share))
+
+
+def _sign_codes(rows: np.ndarray, planes: np.ndarray, bits: int) -> np.ndarray:
+    """One code per row and band of ``bits`` planes."""
+    signs = (rows @ planes > 0).reshape(len(rows), planes.shape[1] // bits, bits)
+    return signs @ (1 << np.arange(bits, dtype=np.int64))
+
+
+def _rows(vectors: pd.Series) -> np.ndarray:
+    return np.asarray([np.asarray(v, dtype=np.float64) for v in vectors])
 
 
 def band_codes(bits: int, bands: int, seed: int = 17):
@@ -50,11 +68,29 @@ def band_codes(bits: int, bands: int, seed: int = 17):
 
     @F.pandas_udf("array<bigint>")
     def codes(vectors: pd.Series) -> pd.Series:
-        rows = np.asarray([np.asarray(v, dtype=np.float64) for v in vectors])
+        if not len(vectors):
+            return pd.Series([], dtype=object)
+        rows = _rows(vectors)
         planes = np.random.default_rng(seed).standard_normal((rows.shape[1], bands * bits))
-        signs = (rows @ planes > 0).reshape(len(rows), bands, bits)
-        packed = signs @ (1 << np.arange(bits, dtype=np.int64))
-        return pd.Series(list(packed))
+        return pd.Series(list(_sign_codes(rows, planes, bits)))
+
+    return codes
+
+
+def sub_codes(bits: int, subs: int, depth: int, seed: int = 17):
+    """Column function: (vector, band) → one code per sub-band; every band has planes of its own."""
+
+    @F.pandas_udf("array<bigint>")
+    def codes(vectors: pd.Series, bands: pd.Series) -> pd.Series:
+        out = np.zeros((len(vectors), subs), np.int64)
+        if len(vectors):
+            rows, of_row = _rows(vectors), bands.to_numpy()
+            for band in np.unique(of_row):
+                source = np.random.default_rng([seed, 1 + depth, int(band)])
+                planes = source.standard_normal((rows.shape[1], subs * bits))
+                here = of_row == band
+                out[here] = _sign_codes(rows[here], planes, bits)
+        return pd.Series(list(out))
 
     return codes
 

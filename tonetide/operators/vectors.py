@@ -12,13 +12,8 @@ from pyspark.sql import functions as F
 
 from tonetide.functions.stage import with_once
 from tonetide.functions.text import tokens
-from tonetide.functions.vectors import (
-    band_codes,
-    bands_needed,
-    cosine,
-    matrix,
-    token_counts_to_unit,
-)
+from tonetide.functions.vectors import matrix, token_counts_to_unit
+from tonetide.operators import sign_buckets
 from tonetide.operators.ordering import newest
 from tonetide.schemas import DUPLICATE_SIMILARITY
 from tonetide.session import cut_lineage
@@ -26,8 +21,6 @@ from tonetide.session import cut_lineage
 QUERY_BYTES_BOUND = 16 * 1024 * 1024
 QUERY_STRIP = 256
 BLOCK_ROWS = 4096
-#: Bits of a sign-hash code. Buckets stay small while 2 ** bits is about the number of rows.
-BITS = 16
 TIE_DIGITS = 12
 
 
@@ -108,7 +101,7 @@ def _best(ids: np.ndarray, distances: np.ndarray, k: int) -> tuple[np.ndarray, n
     return ids[order], distances[order]
 
 
-def _nearest_in(query_ids, query_rows, ids, rows, k) -> Iterator[tuple]:
+def nearest_in(query_ids, query_rows, ids, rows, k) -> Iterator[tuple]:
     """Per query its k nearest of ``rows``; the distance table is made in strips."""
     for start in range(0, len(query_ids), QUERY_STRIP):
         strip = query_rows[start : start + QUERY_STRIP]
@@ -164,7 +157,7 @@ def _knn_scan(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
             if query_rows is None or not len(batch):
                 continue
             ids, vectors = batch["vec_id"].to_numpy(), matrix(batch["embedding"])
-            for q, near_ids, near in _nearest_in(query_ids, query_rows, ids, vectors, k):
+            for q, near_ids, near in nearest_in(query_ids, query_rows, ids, vectors, k):
                 if q in best:
                     near_ids = np.concatenate([best[q][0], near_ids])
                     near = np.concatenate([best[q][1], near])
@@ -197,7 +190,7 @@ def _knn_blocks(corpus, queries, k, query_count, block_rows) -> DataFrame:
             )
         parts = [
             pd.DataFrame({"query_id": q, "vec_id": ids, "distance": distances})
-            for q, ids, distances in _nearest_in(
+            for q, ids, distances in nearest_in(
                 asked["q_id"].to_numpy(),
                 matrix(asked["q_vector"]),
                 stored["c_id"].to_numpy(),
@@ -221,7 +214,6 @@ def near_duplicate_pairs(
     corpus: DataFrame,
     threshold: float = DUPLICATE_SIMILARITY,
     method: str = "lsh",
-    bits: int = BITS,
     miss: float = 1e-6,
     salts: int = 16,
     block_rows: int = BLOCK_ROWS,
@@ -232,23 +224,28 @@ def near_duplicate_pairs(
 
     One row per duplicate, so a group of copies costs rows linear in its size,
     never all pairs of the group. Equal vectors are folded to one representative
-    before anything is compared.
+    before anything is compared; they meet by 128 bits of hash, so vectors travel once.
 
-    ``method='lsh'`` compares vectors that share a sign-hash bucket, at every size; the
-    number of bands is derived from ``bits`` so that a pair exactly at the threshold
+    ``method='lsh'`` compares vectors that share a sign-hash bucket, at every size;
+    buckets and bands are derived (``sign_buckets``) so that a pair exactly at the threshold
     is overlooked with probability ``miss`` at most (closer pairs far less).
     ``'exact'`` compares everything block by block. NULL and zero vectors, and those
     not ``dim`` wide (None: the usual width), have no partner; ``split_vectors`` returns them.
     """
     vectors = split_vectors(corpus.select("vec_id", "embedding"), dim)[0]
-    distinct = vectors.groupBy("embedding").agg(F.min("vec_id").alias("rep"))
-    distinct = cut_lineage(distinct, "distinct-vectors")
+    mark = {"__h1": F.xxhash64("embedding"), "__h2": F.xxhash64(F.lit(7), "embedding")}
+    marked = vectors.withColumns(mark)
+    firsts = marked.groupBy(*mark).agg(
+        F.min("vec_id").alias("rep"), F.min_by("embedding", "vec_id").alias("embedding")
+    )
+    firsts = cut_lineage(firsts, "distinct-vectors")
+    distinct = firsts.select("rep", "embedding")
     if method == "exact":
         links = _links_exact(distinct, threshold, distinct.count(), block_rows)
     else:
-        links = _links_lsh(distinct, threshold, bits, bands_needed(threshold, bits, miss), salts)
+        links = sign_buckets.links(distinct, threshold, miss, salts)
     # copies of a representative point to its own partner, or to it
-    members = vectors.join(distinct, "embedding").select("vec_id", "rep")
+    members = marked.select("vec_id", *mark).join(firsts.select("rep", *mark), list(mark)).select("vec_id", "rep")
     partner = members.join(links, "rep", "left").select(
         "vec_id",
         F.coalesce("partner", F.when(F.col("rep") != F.col("vec_id"), F.col("rep"))).alias(
@@ -261,59 +258,6 @@ def near_duplicate_pairs(
     return partner.filter(F.col("duplicate_of").isNotNull())
 
 
-def _links_lsh(distinct: DataFrame, threshold: float, bits: int, bands: int, salts: int) -> DataFrame:
-    codes = band_codes(bits, bands)
-    coded = with_once(distinct, {"codes": codes("embedding")})
-    hashed = coded.select("rep", F.posexplode("codes").alias("band", "code"))
-    sizes = hashed.groupBy("band", "code").agg(
-        F.min("rep").alias("leader"), F.count(F.lit(1)).alias("n")
-    )
-    crowded = sizes.filter(F.col("n") > 1)
-    placed = cut_lineage(hashed.join(crowded, ["band", "code"]), "bucket-members")
-
-    # 1. every member against the earliest of its bucket: linear in members
-    to_leader = placed.filter(F.col("leader") < F.col("rep"))
-    led = _verify(
-        to_leader.select("rep", F.col("leader").alias("partner")).distinct(), distinct, threshold
-    )
-    led = cut_lineage(led, "leader-links")
-
-    # 2. members unlike their leader against the earlier members of the bucket.
-    # A member like its leader is settled for that bucket: none is earlier.
-    settled = led.select("rep", F.col("partner").alias("leader"))
-    open_members = to_leader.join(settled, ["rep", "leader"], "left_anti").filter(F.col("n") > 2)
-    salt = F.pmod(F.xxhash64("rep"), F.lit(salts))
-    left = open_members.select("band", "code", "leader", "rep").withColumn(
-        "salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    )
-    right = placed.filter(F.col("n") > 2).select(
-        "band", "code", F.col("rep").alias("partner"), salt.cast("int").alias("salt")
-    )
-    rest = (
-        left.join(right, ["band", "code", "salt"])
-        .filter((F.col("partner") < F.col("rep")) & (F.col("partner") != F.col("leader")))
-        .select("rep", "partner")
-        .distinct()
-    )
-    followed = _verify(rest, distinct, threshold)
-    best = F.min_by(F.col("similarity"), F.col("partner"))
-    return led.unionByName(followed).groupBy("rep").agg(
-        F.min("partner").alias("partner"), best.alias("similarity")
-    )
-
-
-def _verify(pairs: DataFrame, distinct: DataFrame, threshold: float) -> DataFrame:
-    left = distinct.withColumnsRenamed({"embedding": "__left"})
-    right = distinct.withColumnsRenamed({"embedding": "__right", "rep": "partner"})
-    return (
-        pairs.join(left, "rep")
-        .join(right, "partner")
-        .withColumn("similarity", cosine(F.col("__left"), F.col("__right")))
-        .filter(F.col("similarity") >= threshold)
-        .select("rep", "partner", "similarity")
-    )
-
-
 LINKS = "rep long, partner long, similarity double"
 
 

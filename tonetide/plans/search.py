@@ -11,6 +11,7 @@ from tonetide.session import fresh_path
 from tonetide.sources import fixtures as fx
 from tonetide.sources.embeddings import EmbeddingTable
 from tonetide.sources.postings import TermIndex
+from tonetide.sources.vector_groups import VectorGroups
 
 
 def embed_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +37,20 @@ def knn_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def knn_search_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of every twentieth vector, from a stored table of vector groups."""
+    corpus = fx.v_emb(spark, sf_dir)
+    index = VectorGroups.build(spark, fresh_path(spark, "vector-groups"), corpus)
+    asked = corpus.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    hits = index.search(asked, 10)
+    return hits.select(
+        "query_id",
+        "vec_id",
+        F.col("rank").cast("long").alias("rank"),
+        F.abs(F.round("distance", 6)).alias("distance"),
+    )
+
+
 def near_duplicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = vectors.near_duplicate_pairs(fx.v_emb_dups(spark, sf_dir))
     return pairs.withColumn("similarity", F.round("similarity", 6))
@@ -95,7 +110,7 @@ def evict_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        embed_text, knn_search, near_duplicate_pairs, drop_near_duplicates, lookup_embeddings,
+        embed_text, knn_search, knn_search_grouped, near_duplicate_pairs, drop_near_duplicates, lookup_embeddings,
         upsert_embeddings, term_search, evict_embeddings,
     )
 }
@@ -118,6 +133,12 @@ WITH scored AS (SELECT query_id, vec_id, label,
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM scored)
 SELECT query_id, vec_id, rank, round(distance, 6) AS distance, round(1 - distance, 6) AS similarity,
   label::bigint AS label FROM ranked WHERE rank <= 10""",
+    "knn_search_grouped": """
+WITH scored AS (SELECT q.vec_id AS query_id, v.vec_id,
+    round(1 - list_cosine_similarity(v.embedding::double[], q.embedding::double[]), 9) AS distance
+  FROM v_emb v, v_emb q WHERE q.vec_id % 20 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM scored)
+SELECT query_id, vec_id, rank, abs(round(distance, 6)) AS distance FROM ranked WHERE rank <= 10""",
     "near_duplicate_pairs": f"WITH {_PAIRS.strip()} SELECT vec_id, duplicate_of, round(similarity, 6) AS similarity FROM pairs",
     "drop_near_duplicates": f"""WITH {_PAIRS.strip()},
 chain AS (SELECT vec_id AS node, duplicate_of AS root FROM pairs UNION
