@@ -104,6 +104,95 @@ def test_keep_good_keeps_columns(make, rough):
     assert quality_model.keep_good(make([])).count() == 0
 
 
+def plain_estimate(votes, trust, expected):
+    """Accuracies of voters by expectation-maximisation, vote by vote."""
+    rules = len(votes[0])
+    prior, on_good, on_bad = 0.8, [0.9] * rules, [0.6] * rules
+
+    def good(v):
+        a, b = prior, 1 - prior
+        for j, x in enumerate(v):
+            a *= {1: on_good[j], -1: 1 - on_good[j], 0: 1}[x]
+            b *= {1: 1 - on_bad[j], -1: on_bad[j], 0: 1}[x]
+        return a / (a + b)
+
+    for _ in range(200):
+        p = [good(v) for v in votes]
+        goods, bads = sum(p), len(p) - sum(p)
+        prior = (goods + 1) / (len(p) + 2)
+        for j in range(rules):
+            up = sum(x for x, v in zip(p, votes) if v[j] == 1)
+            against = sum(x for x, v in zip(p, votes) if v[j] == -1)
+            on_good[j] = (up + 1 + trust * expected[0] * goods) / (up + against + 2 + trust * goods)
+            up = sum(1 - x for x, v in zip(p, votes) if v[j] == -1)
+            against = sum(1 - x for x, v in zip(p, votes) if v[j] == 1)
+            on_bad[j] = (up + 1 + trust * expected[1] * bads) / (up + against + 2 + trust * bads)
+    return [good(v) for v in votes]
+
+
+def votes_of(spark, facts, rules):
+    rows = spark.createDataFrame([tuple(f) for f in facts], ", ".join(f"{n} long" for n in quality_rules.NAMES))
+    return [tuple(r) for r in rows.select(*[r.vote().alias(r.name) for r in rules]).collect()]
+
+
+def junk(corpus):
+    """The corpus with texts of several bad kinds."""
+    rows = [t for _, t in corpus]
+    rows += ["#$% " * 20 + t for t in rows[:6]]
+    rows += ["SHOUT " + t.upper() for t in rows[6:14]]
+    rows += ["\n".join(t.split()[:8] * 6) for t in rows[14:24]]
+    rows += [" ".join("%d9" % (i * n) for i in range(60)) for n in range(1, 9)]
+    rows += [" ".join(f"{w.upper()}#$%&" for w in t.split()) for t in rows[24:44]]
+    return [(i, t) for i, t in enumerate(rows)]
+
+
+def test_rule_posteriors_against_plain_estimate(spark, table, corpus):
+    rows = junk(corpus)
+    got = quality_rules.op2_quality_rules(spark, table(rows)).collect()
+    facts = {i: quality_rules.facts_of(t.encode()) for i, t in rows}
+    judged = [r for r in got if not r.base_failed]
+    votes = votes_of(spark, [facts[r.doc_id] for r in judged], quality_rules.RULES)
+    expected = plain_estimate(votes, 0.0, (0, 0))
+    assert len({r.kept for r in judged}) == 2
+    for row, p in zip(judged, expected):
+        assert row.quality == pytest.approx(p, abs=1e-6)
+        assert row.kept == (p >= 0.5)
+
+
+def test_classifier_against_plain_training(spark, table, corpus):
+    rows = junk(corpus)
+    got = {r.doc_id: r.score for r in quality_model.op6_quality_classifier(spark, table(rows)).collect()}
+    facts = [quality_rules.facts_of(t.encode()) for _, t in rows]
+    labels = plain_estimate(votes_of(spark, facts, quality_model.LABELLERS), 1.0, (0.99, 0.4))
+    features = []
+    for (_, t), f in zip(rows, facts):
+        slots, weights = quality_model.slots_of(t.encode(), f)
+        sums = Counter()
+        for s, w in zip(slots.tolist(), weights.tolist()):
+            sums[s] += w
+        features.append(sums)
+    goods = sum(labels)
+    weight = [p / goods + (1 - p) / (len(labels) - goods) for p in labels]
+    # Adam, full batch, over the slots that occur (-1: the bias)
+    names = sorted({s for f in features for s in f}) + [-1]
+    w, first, second = ({s: 0.0 for s in names} for _ in range(3))
+    value = lambda f: w[-1] + sum(w[s] * x for s, x in f.items())
+    for step in range(1, 151):
+        slope = {s: 1e-5 * w[s] for s in names}
+        slope[-1] = 0.0
+        for f, p, much in zip(features, labels, weight):
+            error = much * (1 / (1 + np.exp(-value(f))) - p)
+            slope[-1] += error
+            for s, x in f.items():
+                slope[s] += error * x
+        for s in names:
+            first[s] = 0.9 * first[s] + 0.1 * slope[s]
+            second[s] = 0.99 * second[s] + 0.01 * slope[s] ** 2
+            w[s] -= 0.5 * first[s] / (1 - 0.9**step) / ((second[s] / (1 - 0.99**step)) ** 0.5 + 1e-6)
+    for (i, _), f in zip(rows, features):
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-value(f))), abs=0.01)
+
+
 # ---- suffix arrays ------------------------------------------------------------------------
 
 

@@ -171,6 +171,8 @@ def fit(docs: DataFrame, text: str = "text", sample_rows: int = SAMPLE_ROWS) ->
     model = estimate(patterns, np.array([r[-1] for r in found], float), trust=1.0)
     # the sample, whose size is a parameter
     sample = voted.where("slots is not null").select(*votes, "slots", "weights").toArrow()
+    # rows come in any order; sums of floats shall not depend on it
+    sample = sample.sort_by([(c, "ascending") for c in ("slots", "weights", *votes)])
     seen = np.column_stack([sample[v].to_numpy() for v in votes]).reshape(-1, len(votes))
     rows = [
         (np.frombuffer(s, "<i4").astype(np.int64), np.frombuffer(w, "<f4"))

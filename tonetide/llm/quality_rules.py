@@ -155,10 +155,12 @@ def estimate(
     """Expectation-maximisation over vote patterns with their counts.
 
     Starts from "rules are mostly right and most texts are good"; one pseudo-count on each
-    side keeps accuracies inside (0, 1) where a rule never voted. ``trust`` adds, per rule,
+    side keeps accuracies inside (0, 1) where a rule never voted. That is all the prior the
+    quality rules use: their accuracies come from the data alone. ``trust`` adds, per rule,
     that many times the texts of each class as prior votes, right at the rates ``expected`` on
-    good and on bad texts: with several unlike kinds of bad texts, of which each rule knows
-    one, it keeps the other kinds from passing as good texts with a habit.
+    good and on bad texts. It is for votes among which plainly bad texts were left in (the
+    labellers of the classifier): their kinds are so unlike that some pass for good texts
+    with a habit otherwise.
     """
     rules = votes.shape[1]
     now = Estimate(0.8, np.full(rules, 0.9), np.full(rules, 0.6))
@@ -207,7 +209,7 @@ def judge(
     found = voted(facts.select(NAMES)).where("not base_failed").groupBy(*votes).count()
     found = found.orderBy(*votes).collect()
     patterns = np.array([r[:-1] for r in found], np.int8).reshape(-1, len(rules))
-    model = estimate(patterns, np.array([r[-1] for r in found], float), trust=1.0)
+    model = estimate(patterns, np.array([r[-1] for r in found], float))
     quality = model.posterior(patterns)
     table = spark.createDataFrame(
         [(*map(int, p), float(q)) for p, q in zip(patterns, quality)],
