@@ -13,7 +13,7 @@ from tonetide.sources import tables
 
 SF = "/root/testdata/sf0.001"
 # steps that run Python in batches, by design
-PYTHON_STEPS = {"embed_text", "knn_search"}
+PYTHON_STEPS = {"embed_text", "knn_search", "knn_search_grouped"}
 # run while the plan is built (they write tables first)
 EAGER = {
     "near_duplicate_pairs", "drop_near_duplicates", "write_aggregates", "partition_monthly",
