@@ -3,7 +3,7 @@ import pytest
 
 from tonetide.functions.vectors import agreement
 from tonetide.operators import sign_buckets, vectors
-from tonetide.session import fresh_path
+from tonetide.session import cut_lineage, fresh_path
 from tonetide.sources.vector_groups import GROUP, VectorGroups
 
 from test_vectors import first_partners, frame
@@ -109,3 +109,32 @@ def test_split_plan_keeps_the_bound():
             assert (1 - same**bits * a_split**sign_buckets.SPLITS) ** bands <= 1e-6
     assert sign_buckets.first_bits(0) == 4 and sign_buckets.first_bits(10**9) == 16
     assert vectors.DUPLICATE_SIMILARITY == 0.95
+
+
+def test_groups_of_near_copies_write_no_more_than_their_members(spark, monkeypatch):
+    """Groups of 400 around a centre, at about the threshold from each other: one answer per band."""
+    rng = np.random.default_rng(31)
+    centres = np.repeat(rng.standard_normal((4, 24)), 400, axis=0)
+    rows = centres + 0.22 * rng.standard_normal(centres.shape)
+    distinct = frame(spark, rows, schema="rep long, embedding array<double>")
+    written = []
+
+    def counted(df, name):
+        table = cut_lineage(df, name)
+        written.append(table.count())
+        return table
+
+    monkeypatch.setattr(sign_buckets, "cut_lineage", counted)
+    links = sign_buckets.links(distinct, 0.95, 1e-6).collect()
+    bands, _ = sign_buckets.plan(0.95, sign_buckets.first_bits(len(rows)), 1e-6)
+    assert {r.rep: r.partner for r in links} == first_partners(rows)
+    assert sum(written) <= len(rows) * (bands + 1)
+
+
+def test_buckets_beyond_a_task_give_the_same(spark):
+    rng = np.random.default_rng(37)
+    rows = 1.0 + 0.42 * rng.standard_normal((600, 24))
+    rows[400:] = rows[:200] + 0.05 * rng.standard_normal((200, 24))
+    distinct = frame(spark, rows, schema="rep long, embedding array<double>")
+    links = sign_buckets.links(distinct, 0.95, 1e-6, salts=3, few_open=16, task_rows=100).collect()
+    assert {r.rep: r.partner for r in links} == first_partners(rows)
