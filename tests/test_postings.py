@@ -83,3 +83,19 @@ def test_a_search_reads_the_buckets_of_its_terms(spark, queries):
     assert scans and all("bucket#" in x.split("PartitionFilters: [")[1].split("]")[0] for x in scans)
     assert {r.term for r in index.lookup(one).collect()} >= {"apple"}
     assert index.lookup(one).count() < index.postings.read().count()
+
+
+def test_search_does_not_deal_postings_by_bucket(spark):
+    """Few buckets would be few tasks that read all postings; terms are picked where they lie."""
+    docs = spark.createDataFrame([(i, f"the text {i}") for i in range(50)], "doc_id long, text string")
+    index = TermIndex.create(spark, fresh_path(spark, "terms"), docs.schema["doc_id"], buckets=4)
+    index.append(docs)
+    index.append(docs.where("doc_id < 5"))
+    queries = spark.createDataFrame([(1, "the"), (1, "text")], "query_id long, term string")
+    found = index.lookup(queries)
+    assert "hashpartitioning(coalesce(bucket" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {r.term for r in found.collect()} == {"the", "text"} and found.count() == 100
+    index.compact()
+    found = index.lookup(queries)
+    assert "hashpartitioning(coalesce(bucket" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {r.term for r in found.collect()} == {"the", "text"} and found.count() == 100

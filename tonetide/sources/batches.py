@@ -74,7 +74,8 @@ class BatchTable:
         rows = stored(self.spark, f"{self.path}/open", self.open_schema)
         rows = self._empty(self.open_schema) if rows is None else rows
         done = commits.select(F.col(self.by).alias("__by"), "upto")
-        joined = rows.join(done, F.col(self.by).eqNullSafe(F.col("__by")), "left")
+        # commits have a row per partition; dealt by partition, few tasks would read all rows
+        joined = rows.join(F.broadcast(done), F.col(self.by).eqNullSafe(F.col("__by")), "left")
         return joined.where(F.col("upto").isNull() | (F.col(BATCH) > F.col("upto"))).select(*rows.columns)
 
     def _folded(self, commits: DataFrame) -> DataFrame:
@@ -82,17 +83,21 @@ class BatchTable:
         rows = self._empty(self.folded_schema) if rows is None else rows
         held = commits.select(F.col(self.by).alias("__by"), "held")
         same = F.col(self.by).eqNullSafe(F.col("__by")) & (F.col(VERSION) == F.col("held"))
-        return rows.join(held, same).select(*rows.columns)
+        return rows.join(F.broadcast(held), same).select(*rows.columns)
 
-    def read(self, before: int | None = None) -> DataFrame:
+    def read(
+        self, before: int | None = None, chosen: Callable[[DataFrame], DataFrame] | None = None
+    ) -> DataFrame:
         """All rows, merged; only those of batches below ``before``, if it is given (batches that
-        are folded are taken to be)."""
+        are folded are taken to be). ``chosen`` narrows the rows before they are merged; it must
+        keep or leave out all rows that merge."""
         commits = self._commits()
         open_ = self._open(commits)
         if before is not None:
             open_ = open_.where(F.col(BATCH) < before)
         parts = [self._folded(commits), open_]
         rows = parts[0].select(*self.columns).union(parts[1].select(*self.columns))
+        rows = chosen(rows) if chosen else rows
         return self.merge(rows) if self.merge else rows
 
     def of_batch(self, batch_id: int) -> DataFrame:

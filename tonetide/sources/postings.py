@@ -107,10 +107,12 @@ class TermIndex:
         return number
 
     def lookup(self, queries: DataFrame) -> DataFrame:
-        """Postings (term, key, tf) in the buckets of the queries' terms."""
+        """Postings (term, key, tf) of the queries' terms; only their buckets are read."""
         terms = queries.select(F.lower("term").alias("term")).distinct()
         met = [r[0] for r in terms.select(self._bucket("term")).distinct().collect()]  # at most all buckets
-        rows = self.postings.read().where(F.col(BUCKET).isin(met))
+        rows = self.postings.read(
+            chosen=lambda all_: all_.where(F.col(BUCKET).isin(met)).join(terms, "term", "left_semi")
+        )
         return rows.select("term", F.col("key").alias(self.key), "tf")
 
     def search(self, queries: DataFrame, k: int = 10) -> DataFrame:
