@@ -138,3 +138,22 @@ def test_buckets_beyond_a_task_give_the_same(spark):
     distinct = frame(spark, rows, schema="rep long, embedding array<double>")
     links = sign_buckets.links(distinct, 0.95, 1e-6, salts=3, few_open=16, task_rows=100).collect()
     assert {r.rep: r.partner for r in links} == first_partners(rows)
+
+
+def test_a_task_leaves_k_hits_per_query(spark):
+    """However many groups and batches it scans; ties go to the smaller id."""
+    rows = np.random.default_rng(41).standard_normal((1200, 8))
+    rows[600:] = rows[:600]
+    df = frame(spark, rows)
+    index = VectorGroups.build(spark, fresh_path(spark, "groups"), df, groups=60)
+    ids = index.layout.ids.tolist()
+    unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    found = index._scan(np.arange(5), unit[:5], [ids] * 5, 4)
+    assert found.count() <= 5 * 4 * found.rdd.getNumPartitions()
+    queries = frame(spark, rows[:5]).withColumnRenamed("vec_id", "query_id")
+    for bound in (0, 1 << 24):
+        hits = index.search(queries, 4, query_bytes_bound=bound).collect()
+        got = sorted((r.query_id, r.rank, r.vec_id) for r in hits)
+        away = np.round(1.0 - unit[:5] @ unit.T, 12)
+        want = [(q, i + 1, int(v)) for q in range(5) for i, v in enumerate(np.lexsort((np.arange(1200), away[q]))[:4])]
+        assert got == want

@@ -23,6 +23,8 @@ from tonetide.operators.vectors import (
     BLOCK_ROWS,
     HITS,
     QUERY_BYTES_BOUND,
+    BestSoFar,
+    hits_frame,
     nearest_in,
     split_vectors,
     usual_width,
@@ -200,13 +202,18 @@ class VectorGroups:
                 askers.setdefault(g, []).append(place)
 
         def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            best = BestSoFar(k, len(query_ids))
             for batch in batches:
                 for group, part in batch.groupby(GROUP):
                     places = askers[group]
-                    yield _hits(
-                        query_ids[places], vectors[places],
-                        part["vec_id"].to_numpy(), matrix(part["embedding"]), k,
+                    best.add(
+                        nearest_in(
+                            query_ids[places], vectors[places],
+                            part["vec_id"].to_numpy(), matrix(part["embedding"]), k,
+                        )
                     )
+            if best.parts:
+                yield hits_frame(*best.best())
 
         chosen = self.rows().where(F.col(GROUP).isin(sorted(askers)))
         return chosen.select("vec_id", "embedding", GROUP).mapInPandas(scan, HITS)
@@ -251,10 +258,12 @@ class VectorGroups:
 
         def nearest(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
             if not len(a) or not len(b):
-                return _hits([], None, None, None, k)
-            return _hits(
-                a["query_id"].to_numpy(), matrix(a["embedding"]),
-                b["vec_id"].to_numpy(), matrix(b["embedding"]), k,
+                return hits_frame(*nearest_in([], None, None, None, k))
+            return hits_frame(
+                *nearest_in(
+                    a["query_id"].to_numpy(), matrix(a["embedding"]),
+                    b["vec_id"].to_numpy(), matrix(b["embedding"]), k,
+                )
             )
 
         keys = [GROUP, "q", "v"]
@@ -267,11 +276,3 @@ def _kth(hits: DataFrame, k: int) -> DataFrame:
     ranked = hits.select("query_id", "distance", F.row_number().over(order).alias("rank"))
     return ranked.where(F.col("rank") == k).select("query_id", F.col("distance").alias("kth"))
 
-
-def _hits(query_ids, query_rows, ids, rows, k: int) -> pd.DataFrame:
-    parts = [
-        pd.DataFrame({"query_id": q, "vec_id": near, "distance": distances})
-        for q, near, distances in (nearest_in(query_ids, query_rows, ids, rows, k) if len(query_ids) else ())
-    ]
-    none = pd.DataFrame({"query_id": [], "vec_id": [], "distance": []})
-    return pd.concat(parts) if parts else none.astype({"query_id": "int64", "vec_id": "int64"})
