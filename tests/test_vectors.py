@@ -188,3 +188,17 @@ def test_one_over_wide_row_is_the_only_reject(spark):
     for bound in (0, 1 << 24):
         hits = vectors.knn_search(df, queries, 2, query_bytes_bound=bound).collect()
         assert {h.query_id for h in hits} == set(range(6)) and len(hits) == 12
+
+
+def test_embedding_counts_slices_not_whole_batches():
+    """Values do not depend on the slices that bound the working arrays."""
+    import pyarrow as pa
+
+    from tonetide.functions.vectors import TEXT_STEP, token_counts_to_unit
+
+    rng = np.random.default_rng(3)
+    words = pa.array([None if i == 7 else [f"w{j}" for j in rng.integers(0, 50, i % 9)] for i in range(650)])
+    whole = token_counts_to_unit(16, 10_000).func(words)
+    for step in (1, 7, TEXT_STEP):
+        assert token_counts_to_unit(16, step).func(words).equals(whole)
+    assert TEXT_STEP < 650 and len(token_counts_to_unit(16).func(words.slice(0, 0))) == 0
