@@ -190,7 +190,7 @@ def test_one_over_wide_row_is_the_only_reject(spark):
         assert {h.query_id for h in hits} == set(range(6)) and len(hits) == 12
 
 
-def test_embedding_counts_slices_not_whole_batches():
+def test_embedding_counts_slices_not_whole_batches(spark):
     """Values do not depend on the slices that bound the working arrays."""
     import pyarrow as pa
 
