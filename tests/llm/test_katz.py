@@ -83,6 +83,33 @@ def test_scores(spark, table, rough, monkeypatch, small):
         assert any(values == pytest.approx(e, rel=1e-9) for e in expected[row.doc_id]), row
 
 
+@pytest.mark.parametrize("small", [False, True])
+def test_the_stored_tables_score_other_texts(spark, make, rough, monkeypatch, small):
+    """Pairs with their discounted probabilities are a table, and it is enough for new texts."""
+    if small:
+        monkeypatch.setattr(katz, "CHUNK_TOKENS", 500)
+        monkeypatch.setattr(katz, "BUCKET_TOKENS", 1500)
+    _, ones, after, p2 = brute(rough)
+    model = katz.Model(make(rough))
+    stored = sorted((r.n, r.log_p) for r in model.pairs.collect())
+    counted = [(c, math.log10(p2(a, w))) for a, seen in after.items() for w, c in seen.items()]
+    assert len(stored) == len(counted)
+    assert [x for row in stored for x in row] == pytest.approx(
+        [x for row in sorted(counted) for x in row], rel=1e-9, abs=1e-12
+    )
+    # repeated rows, a word training has not, a known word after it, unseen pairs, no words
+    new = [(1, "unheard of"), (1, "unheard of"), (2, None), (None, rough[3][1])]
+    new += [(i, " ".join(reversed((t or "").split()))) for i, t in rough[:40]]
+    got = sorted(map(tuple, model.score(make(new)).collect()), key=str)
+    want = []
+    for i, text in new:
+        seq = tokens(text)
+        score = sum(math.log10(p2(a, w)) for a, w in zip(["<s>"] + seq, seq))
+        want.append((i, len(seq), sum(ones[w] > 0 for w in seq), score))
+    for g, e in zip(got, sorted(want, key=str), strict=True):
+        assert g[:3] == e[:3] and g[3] == pytest.approx(e[3], rel=1e-9)
+
+
 def test_held_out_texts_are_predicted_better_than_by_single_words(spark):
     got = katz.op3_katz_backoff(spark, "/root/testdata/sf0.01").where("held_out")
     score, base = got.selectExpr("sum(score)", "sum(base_score)").first()

@@ -13,10 +13,14 @@ tokens are dealt by pair. A bucket knows the counts of its pairs and words, and
 
 * per text: how many of its pairs have count 1, 2, 3, 4, 5, and the sum of everything that
   does not wait for the discounts,
-* per context that scored texts use: its numbers of pairs by count and the probability P of
-  the words seen after it, from which the stored table of contexts gets C and alpha,
+* its part of the stored table of pairs: every pair seen in training with its count,
 * pairs not seen in training, which meet their context's alpha in a join.
 
+The table of contexts (C and alpha) is made from the table of pairs; both have discounted
+probabilities as soon as all buckets are counted. ``Model.pairs`` and ``Model.contexts`` are
+these tables as rows, and ``Model.score`` reads any texts' probabilities from them: a pair's,
+or where it is not seen alpha times the word's, or that alone after an unseen context.
+
 A text of the training set has only seen pairs; backing off concerns the other texts. All
 counts cover all texts; pairs move once, packed in arrays, and nothing is cut off.
 
@@ -26,6 +30,7 @@ training texts. Repeated rows count each. An empty table gives an empty table.
 
 from __future__ import annotations
 
+import functools
 import math
 import zlib
 from collections.abc import Iterator
@@ -232,19 +237,21 @@ def deal_pairs(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
 # ---- buckets ------------------------------------------------------------------------------
 
 #: One table for four kinds of rows: ``texts`` (chunk's list of texts, or sums of a bucket for
-#: them), contexts (``ctx`` with ``sums``), unseen pairs (``ctx``, ``text``, ``times``), counts
-#: of counts (``sums`` alone).
+#: them), the bucket's training pairs (``pairs``), unseen pairs (``ctx``, ``text``, ``times``),
+#: counts of counts (``n`` alone).
 FOUND = (
-    "kind string, chunk bigint, texts binary, ctx bigint, text int, times int, "
-    "n array<bigint>, mass double"
+    "kind string, chunk bigint, texts binary, pairs binary, ctx bigint, text int, times int, "
+    "n array<bigint>"
 )
+#: Words, their counts, their numbers of contexts; contexts and counts of their pairs.
+_TABLE_KINDS = ("<u8", "<i8", "<u4", "<u8", "<u4")
 _SUM_KINDS = ("<u4", "<f8", "<f8", "<u4", *["<u4"] * K, "<u4")
 
 
 def _found(kind: str, rows: int, **columns) -> pa.RecordBatch:
     kinds = {
-        "chunk": pa.int64(), "texts": pa.binary(), "ctx": pa.int64(), "text": pa.int32(),
-        "times": pa.int32(), "n": pa.list_(pa.int64()), "mass": pa.float64(),
+        "chunk": pa.int64(), "texts": pa.binary(), "pairs": pa.binary(), "ctx": pa.int64(),
+        "text": pa.int32(), "times": pa.int32(), "n": pa.list_(pa.int64()),
     }
     arrays = [pa.array([kind] * rows, pa.string())]
     for name, type_ in kinds.items():
@@ -287,11 +294,18 @@ def _bucket(
         )
     of_word = own[word]
     p = words.probability(of_word)
-    del word, own, first
 
     yield _found(
         "counts", 1, n=[[int((count == r).sum()) for r in range(1, K + 2)]]
     )
+    seen = count > 0
+    followed = np.bincount(word[seen], minlength=len(own))
+    kept = followed > 0
+    columns = [w[first][kept], own[kept], followed[kept], ctx[seen], count[seen]]
+    yield _found(
+        "pairs", 1, pairs=[_packed(*(c.astype(k) for c, k in zip(columns, _TABLE_KINDS)))]
+    )
+    del word, own, first, seen, columns
 
     # what a token adds to its text's sums, by pair
     base = np.log10((of_word + 1) / (words.total + words.types + 1))
@@ -327,23 +341,6 @@ def _bucket(
             times=times[at].astype(np.int32),
         )
 
-    # contexts
-    some = np.flatnonzero((count > 0) & known)
-    if len(some):
-        values, slot = np.unique(ctx[some], return_inverse=True)
-        c = count[some]
-        total = lambda weights: np.bincount(slot, weights, len(values))
-        table = np.column_stack(
-            [total(c == r) for r in range(1, K + 1)] + [total(np.where(c > K, c, 0))]
-        ).astype(np.int64)
-        lists = pa.ListArray.from_arrays(
-            pa.array(np.arange(len(values) + 1, dtype=np.int32) * (K + 1)),
-            pa.array(table.reshape(-1)),
-        )
-        yield _found(
-            "context", len(values), ctx=values.view(np.int64), n=lists, mass=total(p[some])
-        )
-
 
 def work_buckets(
     dealt: DataFrame, buckets: int, words: Unigrams, often: dict[int, int], wanted: Bitmap
@@ -407,8 +404,13 @@ def _texts(table: pa.Table, log_kept: np.ndarray, log_first: float) -> pa.Table:
     )
 
 
+ROWS = "ctx bigint, h bigint, n bigint, kept double"
+CONTEXTS = "ctx bigint, total bigint, left double, p double"
+TOKENS = "row bigint, doc_id bigint, ctx bigint, h bigint, times bigint"
+
+
 class Model:
-    """Counts of all texts; ``words``, ``contexts`` are its stored tables."""
+    """Counts of all texts; ``words``, ``contexts`` and the pairs in ``found`` are stored tables."""
 
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text: str = "text"):
         rows = docs.select(docs[id_col].alias("id"), docs[text].cast("binary").alias("text"))
@@ -431,33 +433,114 @@ class Model:
         # words with a large share of all tokens: at most 8 per bucket
         hot = self.words.where(F.col("n") > limit).select("h", "n").collect()
         often = {r["h"]: r["n"] for r in hot}
-        wanted = Bitmap(self.words.where("held and n > 0"), "h")
+        self.wanted = Bitmap(self.words.where("held and n > 0"), "h")
         hashes = np.sort(np.array(list(often), np.int64).view(np.uint64))
         dealt = deal_pairs(rows, hashes, buckets)
         self.found = cut_lineage(
-            work_buckets(dealt, buckets, self.unigrams, often, wanted), "pairs"
+            work_buckets(dealt, buckets, self.unigrams, often, self.wanted), "pairs"
         )
         pairs = self.found.where("kind = 'counts'").agg(
             *[F.coalesce(F.sum(F.col("n")[i]), F.lit(0)) for i in range(K + 1)]
         )
         self.discount = discounts(list(pairs.first()))
-        self.contexts = cut_lineage(self._contexts(), "contexts")
-
-    def _contexts(self) -> DataFrame:
+        #: of the words that held-out texts have, and the start
+        self.contexts = cut_lineage(self._contexts(self.wanted), "contexts")
+
+    def _table(self, work, schema: str) -> DataFrame:
+        """``work`` over the packed pairs of each bucket: words, counts, contexts, counts, kept."""
+        by_count = np.array([0.0, *(r * d for r, d in enumerate(self.discount, 1))])
+
+        def run(batches):
+            for batch in batches:
+                for blob in batch["pairs"]:
+                    w, own, per_word, ctx, n = _unpacked(blob.as_py(), *_TABLE_KINDS)
+                    n = n.astype(np.int64)
+                    kept = np.where(n > K, n * KEPT_ABOVE, by_count[np.minimum(n, K)])
+                    if len(n):
+                        columns = work(np.repeat(w, per_word), np.repeat(own, per_word), ctx, n, kept)
+                        names = [c.split()[0] for c in schema.split(", ")]
+                        yield from pa.table(columns, names).to_batches(1 << 16)
+
+        return self.found.where("kind = 'pairs'").select("pairs").mapInArrow(run, schema)
+
+    def _contexts(self, only: Bitmap | None) -> DataFrame:
         """(ctx, total, log_back): count C of a context, log10 of C * alpha."""
-        sums = [F.sum(F.col("n")[i]).alias(f"n{i + 1}") for i in range(K + 1)]
-        table = (
-            self.found.where("kind = 'context'").groupBy("ctx").agg(*sums, F.sum("mass").alias("p"))
-        )
-        total = sum((F.col(f"n{r}") * r for r in range(1, K + 1)), F.col(f"n{K + 1}"))
-        kept = sum(
-            (F.col(f"n{r}") * (r * d) for r, d in enumerate(self.discount, 1)),
-            F.col(f"n{K + 1}") * KEPT_ABOVE,
+        words = self.unigrams
+
+        def work(w, own, ctx, n, kept):
+            some = slice(None) if only is None else only.holds(ctx) | (ctx == START)
+            values, slot = np.unique(ctx[some], return_inverse=True)
+            sums = [
+                np.bincount(slot, c[some], len(values)) for c in (n, n - kept, words.probability(own))
+            ]
+            return [values.view(np.int64), sums[0].astype(np.int64), *sums[1:]]
+
+        table = self._table(work, CONTEXTS).groupBy("ctx").agg(
+            F.sum("total").alias("total"), F.sum("left").alias("left"), F.sum("p").alias("p")
         )
         return table.select(
-            "ctx",
-            total.alias("total"),
-            F.log10((total - kept) / (1 - F.col("p"))).alias("log_back"),
+            "ctx", "total", F.log10(F.col("left") / (1 - F.col("p"))).alias("log_back")
+        )
+
+    @functools.cached_property
+    def all_contexts(self) -> DataFrame:
+        """As ``contexts``, of every context that training has."""
+        return cut_lineage(self._contexts(None), "contexts")
+
+    @functools.cached_property
+    def pairs(self) -> DataFrame:
+        """(ctx, h, n, log_p): all training pairs with their discounted probability, by context."""
+
+        def work(w, own, ctx, n, kept):
+            return [ctx.view(np.int64), w.view(np.int64), n, kept]
+
+        rows = self._table(work, ROWS).join(self.all_contexts.select("ctx", "total"), "ctx")
+        log_p = F.log10(F.col("kept") / F.col("total"))
+        return cut_lineage(rows.select("ctx", "h", "n", log_p.alias("log_p")), "probabilities")
+
+    def score(self, docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+        """(doc_id, n_tokens, n_known, score) of any texts, by the stored tables alone."""
+
+        def run(batches):
+            part, number = TaskContext.get().partitionId() << 33, 0
+            for batch in batches:
+                for i, t in zip(batch["id"].to_pylist(), batch["text"].to_pylist()):
+                    w = tokens(t)
+                    pair, times = np.unique(
+                        np.column_stack([np.append(START, w[:-1]), w]), axis=0, return_counts=True
+                    )
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(np.full(len(pair), part + number)),
+                            pa.array([i] * len(pair), pa.int64()),
+                            pa.array(pair[:, 0].copy().view(np.int64)),
+                            pa.array(pair[:, 1].copy().view(np.int64)),
+                            pa.array(times.astype(np.int64)),
+                        ],
+                        [c.split()[0] for c in TOKENS.split(", ")],
+                    )
+                    number += 1
+
+        texts = docs.select(docs[id_col].alias("id"), docs[text].cast("binary").alias("text"))
+        one = self.unigrams
+        n = F.coalesce(F.col("count"), F.lit(0))
+        keep = F.array(*[F.lit(float(d)) for d in [*one.discount, KEPT_ABOVE]])
+        alone = F.when(n > 0, F.get(keep, F.least(n, F.lit(K + 1)).cast("int") - 1) * n / one.total)
+        log_one = F.log10(alone.otherwise(1 - one.seen_mass))
+        log_back = F.col("log_back") - F.log10("total")
+        log_p = F.coalesce("log_p", log_back + log_one, log_one)
+        return (
+            texts.mapInArrow(run, TOKENS)
+            .join(self.pairs.select("ctx", "h", "log_p"), ["ctx", "h"], "left")
+            .join(self.all_contexts, "ctx", "left")
+            .join(self.words.select("h", F.col("n").alias("count")), "h", "left")
+            .groupBy("row", "doc_id")
+            .agg(
+                F.sum("times").alias("n_tokens"),
+                F.sum(F.when(n > 0, F.col("times")).otherwise(0)).alias("n_known"),
+                F.sum(F.col("times") * log_p).alias("score"),
+            )
+            .drop("row")
         )
 
     def scores(self) -> DataFrame:
