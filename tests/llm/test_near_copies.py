@@ -76,6 +76,45 @@ def test_similarities_around_the_threshold(make, similarity):
     assert len(rows) - len(found) >= 0.95 * (len(rows) - len(want)) > 0
 
 
+def test_fingerprints_are_simhash():
+    """Bits by majority, one at a time; segments hold the bits they name, each once a round."""
+    shingles = near_copies.shingle_set(" ".join(f"w{i * i % 911}" for i in range(700)).encode())
+    assert len(shingles) > 2 * near_copies._STEP
+    for some in (shingles, shingles[:1], shingles[:6]):
+        words = near_copies.fingerprint(some)
+        for j, word in enumerate(words.tolist()):
+            h = common.mixed(some * near_copies._TIMES[j] + near_copies._PLUS[j]).tolist()
+            for bit in range(64):
+                assert (word >> bit & 1) == (2 * sum(x >> bit & 1 for x in h) > len(h))
+    bits_of = near_copies.segments(5000, 0.8)
+    keys = near_copies.segment_keys(words[None], bits_of)[0].tolist()
+    assert len(set(keys)) == len(bits_of) >= near_copies.BANDS
+    for number, (key, bits) in enumerate(zip(keys, bits_of.tolist())):
+        want = number
+        for bit in bits:
+            want = 2 * want + (words[bit // 64].item() >> bit % 64 & 1)
+        assert key == want and len(set(bits)) == len(bits)
+
+
+def test_similar_sets_share_segments_and_unlike_ones_do_not():
+    """At 0.8 nine of ten pairs share a segment and lie within the radius, as derived."""
+    rng = np.random.default_rng(3)
+    bits_of = near_copies.segments(200_000, 0.8)
+    found = {}
+    for share in (0.8, 0.9, 0.0):
+        hits = 0
+        for _ in range(300):
+            both = round(270 * 2 * share / (1 + share))
+            pool = rng.integers(0, 1 << 63, 540, dtype=np.uint64)
+            a, b = pool[:270], np.append(pool[:both], pool[270 : 540 - both])
+            words = np.array([near_copies.fingerprint(a), near_copies.fingerprint(b)])
+            keys = near_copies.segment_keys(words, bits_of)
+            apart = (words[0, -1] ^ words[1, -1]).item().bit_count()
+            hits += bool((keys[0] == keys[1]).any()) and apart <= near_copies.RADIUS
+        found[share] = hits / 300
+    assert found[0.8] >= 0.9 and found[0.9] >= 0.99 and found[0.0] == 0, found
+
+
 def test_a_large_group_costs_two_comparisons_per_member_and_band(spark):
     keys = [list(range(near_copies.BANDS)) for _ in range(500)]
     frame = spark.createDataFrame(list(enumerate(keys)), "mark bigint, keys array<bigint>")
