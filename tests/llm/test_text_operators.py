@@ -289,6 +289,20 @@ def test_substring_stage_keeps_columns(make, rough):
     assert got.where("n_chars <> length(text)").count() == 0
 
 
+def test_words_are_forgotten_with_their_task():
+    """A worker is used again by other stages, whose room the words would take."""
+    import pyarrow as pa
+
+    vocabulary = pieces.vocabulary()
+    batches = [pa.array(["some words", None]), pa.array(["of a text"])]
+    made = []
+    for ids in pieces._encoded_batches(batches, vocabulary):
+        assert vocabulary.known
+        made += [np.array(r, "<u4").tobytes() for r in ids.to_pylist()]
+    assert not vocabulary.known
+    assert made == vocabulary.encode(["some words", None, "of a text"])
+
+
 # ---- token files --------------------------------------------------------------------------
 
 

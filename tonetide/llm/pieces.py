@@ -28,7 +28,7 @@ import math
 import re
 import zlib
 from array import array
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from tonetide.llm.common import documents, pack, unpack
+from tonetide.llm.common import documents, give_back, pack, unpack
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
@@ -149,16 +149,28 @@ def _slices(texts: pa.Array, rows: int = 500):
 def encoded(text: Column, model: str = MODEL) -> Column:
     """The ids of a text as an array of integers."""
 
-    def run(texts: pa.Array) -> pa.Array:
-        pieces = vocabulary(model)
-        made = [ids for part in _slices(texts) for ids in pieces.encode(part)]
-        ends = np.append(0, np.cumsum([len(b) // 4 for b in made])).astype(np.int32)
-        values = np.frombuffer(b"".join(made), np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from _encoded_batches(batches, vocabulary(model))
 
     return arrow_udf(run, "array<int>")(text.cast("string"))
 
 
+def _encoded_batches(batches: Iterable[pa.Array], pieces: Pieces) -> Iterator[pa.Array]:
+    """The ids of each batch of a task's texts.
+
+    Words are forgotten at the task's end: the worker goes on to tasks that need the room.
+    """
+    try:
+        for texts in batches:
+            made = [ids for part in _slices(texts) for ids in pieces.encode(part)]
+            ends = np.append(0, np.cumsum([len(b) // 4 for b in made])).astype(np.int32)
+            values = np.frombuffer(b"".join(made), np.int32)
+            yield pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
+    finally:
+        pieces.known.clear()
+        give_back()
+
+
 def decoded(ids: Column, model: str = MODEL) -> Column:
     """The text of an array of ids."""
 
