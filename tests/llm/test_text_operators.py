@@ -365,6 +365,33 @@ def test_words_of_a_line_have_their_own_ids():
         assert np.frombuffer(ids, "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
 
 
+def test_words_share_the_ids_of_their_letters():
+    """Capitals and marks after a word ask for no more tokenizing; the ids stay those of the text."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(token_files.TOKENIZER)
+    words = token_files.WordTokenizer(path)
+    text = "Größer größer, GRÖSSER. word Word... WORD! don't x1 a<b <|endoftext|> µ word\x1cword"
+    made = np.frombuffer(words.encode([text.encode(), "word, größer".encode()], b"")[0], "<u4").tolist()
+    assert made == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    parts = {"größer", "grösser", "word", ",", ".", "...", "!"}
+    whole = {"don't", "x1", "a<b", "<|endoftext|>", "µ", "word\x1cword"}
+    assert set(words.known) == parts | whole | {""}
+
+
+@pytest.mark.parametrize("chunk_ids", [1, 7, 60])
+def test_chunks_end_with_the_text_that_fills_them(spark, table, rough, tmp_path, chunk_ids):
+    docs = spark.read.parquet(f"{table(rough)}/documents.parquet")
+    token_files.write(docs, f"{tmp_path}/small", chunk_ids=chunk_ids)
+    token_files.write(docs, f"{tmp_path}/whole")
+    rows = [token_files.read(spark, f"{tmp_path}/{n}").orderBy("start").collect() for n in ("small", "whole")]
+    assert rows[0] == rows[1]
+    for r in spark.read.parquet(f"{tmp_path}/small").collect():
+        counts = np.frombuffer(r.counts, "<u4")
+        assert r.n_ids == counts.sum() and counts[:-1].sum() < chunk_ids
+
+
 # ---- mixing -------------------------------------------------------------------------------
 
 
